@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, token_counts
+from . import bpe, licenses, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_licenses": licenses.op3_licenses,
     "op4_bpe": bpe.op4_bpe,
     "op9_packing": packing.op9_packing,
     "op10_token_counts": token_counts.op10_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_licenses": licenses.oracle(),
+}

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, packing, quality, token_counts
+from . import bpe, licenses, ngram_join, packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": licenses.op3_licenses,
     "op4_bpe": bpe.op4_bpe,
     "op7_quality": quality.op7_quality,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_packing": packing.op9_packing,
     "op10_token_counts": token_counts.op10_token_counts,
 }

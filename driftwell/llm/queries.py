@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, ngram_join, packing, quality, token_counts
+from . import additive_quantiser, bpe, embedding_dups, licenses, ngram_join, packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_neighbours": additive_quantiser.op2_neighbours,
     "op3_licenses": licenses.op3_licenses,
     "op4_bpe": bpe.op4_bpe,
+    "op6_embedding_dups": embedding_dups.op6_embedding_dups,
     "op7_quality": quality.op7_quality,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_packing": packing.op9_packing,

@@ -285,6 +285,22 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     )
 
 
+def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that ``classes`` (id, class_id) puts behind another id.
+
+    An id goes if each of its rows has another id for its class. Equal rows of one id become one.
+    Rows without an id stay.
+    """
+    rows = classes.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.bool_and(F.col(id_col) != F.col("class_id")).alias("goes"), F.count("*").alias("n"))
+    rows = materialise(rows.where("goes or n > 1"))
+    gone, twice = rows.where("goes").select(id_col), rows.where("not goes").select(id_col)
+    few = gone.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti")
+    if twice.head(1):
+        kept = kept.join(twice, id_col, "left_anti").unionByName(kept.join(twice, id_col, "left_semi").dropDuplicates([id_col, text_col]))
+    return kept.select(docs.columns)
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's near-duplicate class and its number of links."""
     return join_documents(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ kept rules compile back into one Spark column expression. No label, language,
 source or id is an input of a score.
 
 Training rows: labelled rows of documents whose crc32(doc_id as text) mod 4 is
-not 2, at most about ``FIT_ROWS`` of them, chosen by a hash of the id. Rows
+not 2, at most ``FIT_ROWS`` of them, those with the smallest hashes of their ids. Rows
 without a label don't train. With no training rows, or one class only, the
 score is the smoothed share of label 1 everywhere.
 
@@ -42,21 +42,31 @@ def share(text: Column, others: str) -> Column:
     return F.coalesce(F.try_divide(F.length(F.regexp_replace(text, others, "")), F.length(text)), F.lit(0.0))
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text by name, each a double."""
-    words, lines = F.split(text, "[ \n]+", -1), F.split(text, "\n", -1)
-    repeats = F.length(F.regexp_replace(text, r"(?<!\S)(\S++)(?= \1(?!\S))", "")) / F.greatest(F.length(text), F.lit(1))
-    return {
-        "chars": F.log1p(F.length(text).cast("double")),
-        "word_length": F.length(text) / F.size(words),
-        "upper": share(text, "[^A-Z]+"),
-        "digits": share(text, "[^0-9]+"),
-        "symbols": share(text, "[^!-+/:-@\\[-`{-~]+"),
-        "stops": F.length(F.regexp_replace(text, "[^.]+", "")) / F.size(words),
-        "unique_words": F.size(F.array_distinct(words)) / F.size(words),
-        "repeats": F.when(F.length(text) > 0, 1.0 - repeats).otherwise(0.0),
-        "repeated_lines": 1.0 - F.size(F.array_distinct(lines)) / F.size(lines),
-    }
+def bind(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` evaluated once however often it is used, in filters too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def statistics(text: Column) -> Column:
+    """A struct of the statistics of a text, each a double."""
+
+    def of(x: Column) -> Column:
+        t, words, lines = x["t"], F.size(x["words"]), F.size(x["lines"])
+        repeats = F.length(F.regexp_replace(t, r"(?<!\S)(\S++)(?= \1(?!\S))", "")) / F.greatest(F.length(t), F.lit(1))
+        values = {
+            "chars": F.log1p(F.length(t).cast("double")),
+            "word_length": F.length(t) / words,
+            "upper": share(t, "[^A-Z]+"),
+            "digits": share(t, "[^0-9]+"),
+            "symbols": share(t, "[^!-+/:-@\\[-`{-~]+"),
+            "stops": F.length(F.regexp_replace(t, "[^.]+", "")) / words,
+            "unique_words": F.size(F.array_distinct(x["words"])) / words,
+            "repeats": F.when(F.length(t) > 0, 1.0 - repeats).otherwise(0.0),
+            "repeated_lines": 1.0 - F.size(F.array_distinct(x["lines"])) / lines,
+        }
+        return F.struct(*(v.cast("double").alias(k) for k, v in values.items()))
+
+    return bind(F.struct(text.alias("t"), F.split(text, "[ \n]+", -1).alias("words"), F.split(text, "\n", -1).alias("lines")), of)
 
 
 #: The statistics, in the order of the trees' features.
@@ -70,18 +80,23 @@ class RuleEnsemble:
     rules: tuple[tuple[Rule, float], ...]
     intercept: float
 
-    def score(self) -> Column:
-        """The probability of label 1, over columns named as the statistics."""
-        logit = F.lit(self.intercept)
-        for rule, weight in self.rules:
-            logit = logit + F.when(holds(rule), F.lit(weight)).otherwise(F.lit(0.0))
-        return 1.0 / (1.0 + F.exp(-logit))
+    def score(self, text: Column) -> Column:
+        """The probability of label 1 of a text."""
+
+        def of(s: Column) -> Column:
+            logit = F.lit(self.intercept)
+            for rule, weight in self.rules:
+                logit = logit + F.when(holds(rule, s), F.lit(weight)).otherwise(F.lit(0.0))
+            return 1.0 / (1.0 + F.exp(-logit))
+
+        return bind(statistics(text), of) if self.rules else of(F.lit(None))
 
 
-def holds(rule: Rule) -> Column:
+def holds(rule: Rule, s: Column) -> Column:
+    """Whether the statistics in struct ``s`` meet every test of a rule."""
     test = F.lit(True)
     for name, sign, value in rule:
-        test = test & ((F.col(name) <= value) if sign == "<=" else (F.col(name) > value))
+        test = test & ((s[name] <= value) if sign == "<=" else (s[name] > value))
     return test
 
 
@@ -106,25 +121,18 @@ def paths(tree: str, names: list[str]) -> set[Rule]:
     return found
 
 
-def fit(rows: DataFrame, label: str = "label", fit_rows: int = FIT_ROWS) -> RuleEnsemble:
-    """A rule ensemble from ``rows``: the statistics by name and a 0/1 label, with nulls dropped.
-
-    The rows on which trees and lasso are fitted are bounded by ``fit_rows``, in expectation.
-    """
-    rows = rows.where(F.col(label).isin(0, 1)).select(*NAMES, F.col(label).cast("double").alias("y"), "key")
-    n, ones = rows.agg(F.count("*"), F.sum("y")).first()
-    prior = math.log(((ones or 0) + 0.5) / (n - (ones or 0) + 0.5))
-    if not n or not 0 < ones < n:
+def fit(rows: DataFrame) -> RuleEnsemble:
+    """A rule ensemble from a bounded table of ``s`` (a struct of statistics) and ``y`` (0 or 1)."""
+    n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    prior = math.log((ones + 0.5) / (n - ones + 0.5))
+    if not 0 < ones < n:
         return RuleEnsemble((), prior)
-    if n > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1_000_000)) < int(1e6 * fit_rows / n))
-    rows = materialise(rows.coalesce(8))
-    vectors = VectorAssembler(inputCols=NAMES, outputCol="x").transform(rows)
+    vectors = VectorAssembler(inputCols=NAMES, outputCol="x").transform(rows.select("s.*", "y"))
     forest = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=TREES, maxDepth=DEPTH, maxBins=64, minInstancesPerNode=5, featureSubsetStrategy="0.6", subsamplingRate=0.7, seed=SEED).fit(vectors)
     rules = sorted(set().union(*(paths(t, NAMES) for t in re.split(r"\n *Tree \d+", forest.toDebugString)[1:])))
     if not rules:
         return RuleEnsemble((), prior)
-    binary = rows.select("y", array_to_vector(F.array(*(holds(r).cast("double") for r in rules))).alias("x"))
+    binary = rows.select("y", array_to_vector(F.array(*(holds(r, F.col("s")).cast("double") for r in rules))).alias("x"))
     lasso = LogisticRegression(featuresCol="x", labelCol="y", elasticNetParam=1.0, regParam=LASSO, standardization=False, maxIter=60).fit(binary)
     weights = lasso.coefficients.toArray()
     return RuleEnsemble(tuple((r, float(w)) for r, w in zip(rules, weights, strict=True) if w), float(lasso.intercept))
@@ -134,15 +142,30 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(id, held_out, score, predicted) for each document, by rules learned from the labelled ones."""
-    stats = materialise(docs.select(F.col(id_col).cast("long").alias("key"), text_of(text_col).alias("t")).select("key", *(c.cast("double").alias(k) for k, c in statistics(F.col("t")).items())))
-    marks = labels.groupBy(F.col(id_col).cast("long").alias("key")).agg(F.max(label_col).alias("label"))
-    model = fit(stats.where(~held_out("key")).join(marks, "key"), fit_rows=fit_rows)
-    score = stats.select(F.col("key").alias(id_col), held_out("key").alias("held_out"), model.score().alias("score"))
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> RuleEnsemble:
+    """Rules from the labelled documents outside the held-out quarter, at most ``fit_rows`` labels of them."""
+    marks = (
+        labels.select(F.col(id_col).cast("long").alias("key"), F.col(label_col).alias("label")).where(~held_out("key") & F.col("label").isin(0, 1))
+        .groupBy("key").agg(F.max("label").cast("double").alias("y"))
+        .orderBy(F.xxhash64("key", F.lit(SEED)), "key").limit(fit_rows)
+    )
+    # Bounded by fit_rows, so that the texts need no shuffle.
+    texts = docs.select(F.col(id_col).cast("long").alias("key"), text_of(text_col).alias("t"))
+    return fit(materialise(texts.join(F.broadcast(marks), "key").select("y", statistics(F.col("t")).alias("s"))))
+
+
+def score_documents(docs: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out, score, predicted) for each document."""
+    score = docs.select(F.col(id_col).cast("long").alias(id_col), held_out(id_col).alias("held_out"), model.score(text_of(text_col)).alias("score"))
     return score.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def keep_good(docs: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The documents that the model doesn't reject, in one pass without a shuffle."""
+    return docs.where(model.score(text_of(text_col)) >= threshold)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by rules learned from their labels."""
-    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, learn(docs, table(spark, sf_dir, "labels")))

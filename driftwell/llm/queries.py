@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_quantiser, bpe, embedding_dups, licenses, ngram_join, packing, quality, token_counts
+from . import additive_quantiser, bpe, embedding_dups, licenses, ngram_join, packing, pii, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
     "op2_neighbours": additive_quantiser.op2_neighbours,
     "op3_licenses": licenses.op3_licenses,
     "op4_bpe": bpe.op4_bpe,
+    "op5_pii": pii.op5_pii,
     "op6_embedding_dups": embedding_dups.op6_embedding_dups,
     "op7_quality": quality.op7_quality,
     "op8_ngram_join": ngram_join.op8_ngram_join,

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chains import viterbi
 from .common import slices, table, text_of
 from .pii_examples import labelled
 
@@ -185,40 +186,9 @@ class ChainField:
         unknown = len(self.index)
         return np.array([[self.index.get(x, unknown) for x in f] for f in features(words)])
 
-    def decode(self, chains: list[list[str]], cells: int = 200_000) -> list[np.ndarray]:
-        """The likeliest states of each chain, by Viterbi over batches of chains of like length."""
-        out: list[np.ndarray] = [np.empty(0, int)] * len(chains)
-        order = sorted(range(len(chains)), key=lambda k: len(chains[k]))
-        at = 0
-        while at < len(order):
-            end = at
-            while end < len(order) and (end == at or len(chains[order[end]]) * (end - at + 1) <= cells):
-                end += 1
-            part = order[at:end]
-            self._viterbi([self.ids(chains[k]) for k in part], part, out)
-            at = end
-        return out
-
-    def _viterbi(self, ids: list[np.ndarray], part: list[int], out: list[np.ndarray]) -> None:
-        n, t, s = len(ids), max(map(len, ids)), len(STATES)
-        emit = np.zeros((n, t, s), np.float32)
-        for k, x in enumerate(ids):
-            emit[k, : len(x)] = self.weights[x].sum(1)
-        lengths = np.array([len(x) for x in ids])
-        score, back = self.first + emit[:, 0], np.zeros((n, t, s), np.int8)
-        for j in range(1, t):
-            moves = score[:, :, None] + self.steps[None]
-            back[:, j] = moves.argmax(1)
-            new = moves.max(1) + emit[:, j]
-            score = np.where((j < lengths)[:, None], new, score)
-        path = np.zeros((n, t), np.int8)
-        last = score.argmax(1)
-        for j in range(t - 1, -1, -1):
-            inside = j < lengths
-            path[:, j] = np.where(inside, last, 0)
-            last = np.where(inside & (j > 0), back[np.arange(n), j, last], last)
-        for k, i in enumerate(part):
-            out[i] = path[k, : lengths[k]]
+    def decode(self, chains: list[list[str]]) -> list[np.ndarray]:
+        """The likeliest states of each chain."""
+        return viterbi([self.weights[self.ids(c)].sum(1) for c in chains], self.first, self.steps)
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:

@@ -7,10 +7,11 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_quantiser, bpe, embedding_dups, licenses, ngram_join, packing, pii, quality, token_counts
+from . import additive_quantiser, bpe, embedding_dups, licenses, ngram_join, packing, pii, quality, token_counts, transcripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
+    "op1_chat_format": transcripts.op1_chat_format,
     "op2_neighbours": additive_quantiser.op2_neighbours,
     "op3_licenses": licenses.op3_licenses,
     "op4_bpe": bpe.op4_bpe,

@@ -41,6 +41,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CUE = re.compile(r"[0-9@+]")
 _DOT = re.compile(r"(?<!\S)[(\[]?dot[)\]]?(?!\S)")
+_SPELLED = re.compile(r"\S+\s+[(\[]?at[)\]]?\s+\S+(?:\s+[(\[]?dot[)\]]?\s+\S+)*\s+[(\[]?dot[)\]]?\s+(?:com|org|net|edu|gov|info|io|[a-z]{2})", re.I)
 _WORD = re.compile(r"\S+")
 _DIGITS = re.compile(r"[0-9]")
 #: Words on either side of a cue that the field reads too.
@@ -154,11 +155,11 @@ def own_features(word: str) -> tuple[str, ...]:
 def features(words: list[str]) -> list[tuple[str, ...]]:
     own = [own_features(w) for w in words]
     edge = ("s:^", "n:^", "w:^", "k:^", "p:^")
-    padded = [edge, edge, *own, edge, edge]
+    padded = [*[edge] * 3, *own, *[edge] * 3]
     out = []
     for k, f in enumerate(own):
-        b2, b, a, a2 = padded[k], padded[k + 1], padded[k + 3], padded[k + 4]
-        out.append((*f, *("-1" + x for x in b[:4]), *("+1" + x for x in a[:4]), "-2" + b2[2], "-2" + b2[3], "+2" + a2[2], "+2" + a2[3]))
+        b3, b2, b, _, a, a2, a3 = padded[k : k + 7]
+        out.append((*f, *("-1" + x for x in b[:4]), *("+1" + x for x in a[:4]), "-2" + b2[2], "-2" + b2[3], "+2" + a2[2], "+2" + a2[3], "-3" + b3[2], "+3" + a3[2]))
     return out
 
 
@@ -197,10 +198,9 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def train(rows: list[tuple[str, list[Span]]], rounds: int = 150, rate: float = 0.1, ridge: float = 0.02) -> ChainField:
-    """Weights that maximise the regularised likelihood of the labelled rows, by Adam on exact gradients."""
+    """Weights that maximise the regularised likelihood of the labelled rows' windows, by Adam on exact gradients."""
     chains, tags = [], []
-    for text, spans in rows:
-        words = [m.span() for m in _WORD.finditer(text)]
+    for text, words, spans in ((text, w, spans) for text, spans in rows for w in windows(text)):
         inside = [next((s for s in spans if s[1] < e and b < s[2]), None) for b, e in words]
         chains.append([text[b:e] for b, e in words])
         tags.append([STATES.index("O" if s is None else ("I-" if k and inside[k - 1] == s else "B-") + s[0]) for k, s in enumerate(inside)])
@@ -250,7 +250,7 @@ def plausible(kind: str, text: str) -> bool:
     """Whether marked words can be such an item at all."""
     d = digits_of(text)
     if kind == "email":
-        return "@" in text or bool(re.search(r"\bat\b.+\bdot\b", text, re.I | re.S))
+        return "@" in text or _SPELLED.fullmatch(text) is not None
     if kind == "ip":
         m = _IP.search(text)
         return bool(m) and all(len(p) <= 3 and int(p) <= 255 for p in m[0].split("."))

@@ -22,6 +22,13 @@ mail to [email|a_b+c@mail5.example.org] please
 write [email|jane (at) example (dot) com] instead
 email: [email|jane at example dot com] or call
 her address [email|sam.lee at mail dot example dot org] works
+send the form to [email|kim at school dot edu] by noon
+ask for it from [email|tom at office dot net] or wait
+contact [email|jane at firm dot com]
+it is [email|max at lab dot org]
+they wrote to [email|zoe at club dot net]
+we looked at the dot and the line
+my new mail is [email|lee at home dot org] since may
 the and [email|54@mail3.example.com] of the
 e-mail [email|info@localhost] only
 server [ip|192.168.10.24] is down
@@ -69,6 +76,8 @@ isbn 978-3-16-148410-0 in print
 0 1 2 3 4 5 6 7 8 9
 temperature of 21.5 or 22.75 degrees
 1000000 rows and 64 columns
+the dot at the end of the line
+look at the dot on the map
 the of and to in is was
 """.strip().splitlines()
 

@@ -118,10 +118,10 @@ def shortened(text: Column, width: int = 28) -> Column:
 
 
 def precision_recall(predicted: DataFrame, truth: DataFrame) -> DataFrame:
-    """(doc_id, precision, recall) from exploded spans (doc_id, pii_type, start, end).
+    """(doc_id, precision, recall, recall_ref) from exploded spans (doc_id, pii_type, start, end).
 
     A prediction is right if it overlaps a truth of its type; recall counts the truths that
-    a prediction overlaps. An empty side gives 0.
+    a prediction overlaps, recall_ref the right predictions for each truth, which can exceed 1. An empty side gives 0.
     """
     p, t = predicted.select("doc_id", "pii_type", "start", "end").alias("p"), truth.select("doc_id", "pii_type", "start", "end").alias("t")
     meet = (F.col("p.doc_id") == F.col("t.doc_id")) & (F.col("p.pii_type") == F.col("t.pii_type")) & (F.greatest("p.start", "t.start") < F.least("p.end", "t.end"))
@@ -130,7 +130,12 @@ def precision_recall(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     for df, name in ((predicted, "n_pred"), (truth, "n_true"), (p.join(t, meet, "left_semi"), "right_pred"), (t.join(p, meet, "left_semi"), "right_true")):
         docs = docs.join(count(df, name), "doc_id", "left")
     docs = docs.na.fill(0)
-    return docs.select("doc_id", F.coalesce(F.try_divide("right_pred", "n_pred"), F.lit(0.0)).alias("precision"), F.coalesce(F.try_divide("right_true", "n_true"), F.lit(0.0)).alias("recall"))
+    return docs.select("doc_id", F.coalesce(F.try_divide("right_pred", "n_pred"), F.lit(0.0)).alias("precision"), F.coalesce(F.try_divide("right_true", "n_true"), F.lit(0.0)).alias("recall"), F.coalesce(F.try_divide("right_pred", "n_true"), F.lit(0.0)).alias("recall_ref"))
+
+
+def macro_mean(scores: DataFrame) -> DataFrame:
+    """One row: the plain means over documents."""
+    return scores.agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("recall_ref").alias("recall_ref"))
 
 
 def wrong_offsets(spans: DataFrame, docs: DataFrame) -> DataFrame:

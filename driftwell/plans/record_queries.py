@@ -144,6 +144,11 @@ def pii_precision_recall(spark, d):
     return pii_spans.precision_recall(a, b)
 
 
+def pii_macro_mean(spark, d):
+    m = pii_spans.macro_mean(pii_precision_recall(spark, d))
+    return m.select(*(F.round(c, 6).alias(c) for c in m.columns))
+
+
 def span_offsets(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
     spans = pii_spans_(spark, d)
@@ -151,9 +156,11 @@ def span_offsets(spark, d):
 
 
 pii_spans_.__name__ = "pii_spans"
-QUERIES = {f.__name__: f for f in (fk_integrity, parent_lookup, group_left_join, flatten_array, abnormal_labs, record_age, lab_proximity, implausible_labs, lab_coverage, encounter_bounds, quality_rules, quarantine, rendered_notes, csv_export, pii_counts, pii_spans_, pii_report, pii_entities, pii_precision_recall, span_offsets)}
+QUERIES = {f.__name__: f for f in (fk_integrity, parent_lookup, group_left_join, flatten_array, abnormal_labs, record_age, lab_proximity, implausible_labs, lab_coverage, encounter_bounds, quality_rules, quarantine, rendered_notes, csv_export, pii_counts, pii_spans_, pii_report, pii_entities, pii_precision_recall, pii_macro_mean, span_offsets)}
 
 _TYPE = "case o_orderstatus when 'F' then 'inpatient' when 'O' then 'outpatient' else 'emergency' end"
+_PR = """with a as (select doc_id, lang as k, doc_id % 50 as s, doc_id % 50 + 10 as e from documents), b as (select doc_id, case when doc_id % 5 = 0 then 'xx' else lang end as k, doc_id * 7 % 50 as s, doc_id * 7 % 50 + 8 as e from documents where doc_id % 3 > 0),
+p as (select a.doc_id, case when coalesce(a.k = b.k and greatest(a.s, b.s) < least(a.e, b.e), false) then 1.0::double else 0.0::double end as h from a left join b using (doc_id))"""
 _FK = [("orders_customer", "orders", "customer", "o_custkey", "c_custkey"), ("lineitem_orders", "lineitem", "orders", "l_orderkey", "o_orderkey"), ("lineitem_part", "lineitem", "part", "l_partkey", "p_partkey"), ("lineitem_supplier", "lineitem", "supplier", "l_suppkey", "s_suppkey"), ("customer_nation", "customer", "nation", "c_nationkey", "n_nationkey"), ("documents_labels", "(select doc_id as id from documents)", "labels", "id", "doc_id")]
 _RULE = {"status": "o_orderstatus in ('F', 'O')", "date_in_past": "o_orderdate < timestamp '2001-01-01'", "price_range": "o_totalprice between 2000 and 450000", "priority": "trim(o_orderpriority) <> ''"}
 
@@ -172,7 +179,7 @@ ORACLE_SQL = {
     "quarantine": "select * from (select o_orderkey, array_to_string(list_filter([" + ", ".join(f"case when not coalesce({t}, false) then '{n}' end" for n, t in _RULE.items()) + "], lambda x: x is not null), ',') as broken from orders) where broken <> ''",
     "csv_export": f"select {_TYPE} as encounter_type, count(*) as n, cast(sum(o_orderkey) as bigint) as ids, max(cast(o_orderdate as date)) as last from orders group by 1",
     "pii_counts": "select doc_id, " + ", ".join("len(regexp_extract_all(coalesce(text, ''), '" + p.replace("(?U)", "").replace("'", "''") + f"')) as {k.lower()}" for k, p in pii_spans.PATTERNS) + " from documents",
-    "pii_precision_recall": """with a as (select doc_id, lang as k, doc_id % 50 as s, doc_id % 50 + 10 as e from documents), b as (select doc_id, case when doc_id % 5 = 0 then 'xx' else lang end as k, doc_id * 7 % 50 as s, doc_id * 7 % 50 + 8 as e from documents where doc_id % 3 > 0)
-select doc_id, cast(case when h then 1.0 else 0.0 end as double) as precision, cast(case when h then 1.0 else 0.0 end as double) as recall from (select a.doc_id, coalesce(a.k = b.k and greatest(a.s, b.s) < least(a.e, b.e), false) as h from a left join b using (doc_id))""",
+    "pii_precision_recall": f"{_PR} select doc_id, h as precision, h as recall, h as recall_ref from p",
+    "pii_macro_mean": f"{_PR} select round(avg(h), 6) as precision, round(avg(h), 6) as recall, round(avg(h), 6) as recall_ref from p",
     "span_offsets": "select 0::bigint as n_wrong",
 }

@@ -59,8 +59,8 @@ def test_precision_recall(spark):
     schema = "doc_id long, pii_type string, start int, end int"
     p = spark.createDataFrame([(0, "A", 0, 5), (0, "A", 3, 8), (0, "B", 20, 25), (1, "A", 0, 1)], schema)
     t = spark.createDataFrame([(0, "A", 0, 10), (0, "A", 30, 40), (2, "A", 0, 1)], schema)
-    got = {r["doc_id"]: (round(r["precision"], 4), r["recall"]) for r in pii_spans.precision_recall(p, t).collect()}
-    assert got == {0: (0.6667, 0.5), 1: (0.0, 0.0), 2: (0.0, 0.0)}
+    got = {r["doc_id"]: (round(r["precision"], 4), r["recall"], r["recall_ref"]) for r in pii_spans.precision_recall(p, t).collect()}
+    assert got == {0: (0.6667, 0.5, 1.0), 1: (0.0, 0.0, 0.0), 2: (0.0, 0.0, 0.0)}
 
 
 def test_wrong_offsets(spark):

@@ -1,39 +1,22 @@
-"""Helpers shared by the operators: reading tables, shared-folder tables, bounded caches."""
+"""Helpers shared by the operators: reading tables, bounded caches, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwell.sources.shared import materialise
 from driftwell.sources.shipping import ship
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["BoundedCache", "component_labels", "materialise", "slices", "table", "text_of"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder.
 
-    Only where none is set, as in tests, a temporary one is made.
-    """
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_of(column: str = "text"):

@@ -139,3 +139,14 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, block: int =
 def op6_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and whether it is kept, for each row of embeddings."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def oracle(threshold: float = THRESHOLD) -> str:
+    """The same result from every pair of vectors."""
+    return f"""
+with recursive v as (select vec_id, embedding::double[] as e from embeddings where vec_id is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v as a join v as b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= {threshold}),
+r(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) as component_id from r group by a), n as (select a, count(*) as n from l group by a)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from embeddings join c on c.a = vec_id left join n on n.a = vec_id"""

@@ -304,3 +304,17 @@ def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_c
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's near-duplicate class and its number of links."""
     return join_documents(table(spark, sf_dir, "documents"))
+
+
+def oracle(threshold: float = THRESHOLD, n: int = N_WORDS) -> str:
+    """The same result from every pair of documents that share an n-gram."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') as w from documents),
+g as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - {n - 1}, 1) + 1), lambda i: array_to_string(w[i : i + {n - 1}], ' '))) as g from w where len(w) > 0),
+z as (select doc_id, count(*) as n from g group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from g as a join g as b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join z as x on x.doc_id = a join z as y on y.doc_id = b where shared >= {threshold} * (x.n + y.n - shared) - 1e-9),
+r(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) as class_id from r group by a), k as (select a, count(*) as n from l group by a)
+select doc_id, class_id, coalesce(k.n, 0) as n_links from documents join c on c.a = doc_id left join k on k.a = doc_id"""

@@ -24,4 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_licenses": licenses.oracle(),
+    "op6_embedding_dups": embedding_dups.oracle(),
+    "op8_ngram_join": ngram_join.oracle(),
 }

@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwell.functions.columns import running_sums
 from driftwell.operators import drift, features, metrics
 from driftwell.sources.shared import materialise
 from driftwell.sources.tables import Snapshots, save_model
@@ -68,12 +69,12 @@ def label_indexer(column: str, to: str) -> StringIndexer:
 def stratified_split(df: DataFrame, label: str, id_col: str, share: float = 0.25, seed: int = 0) -> DataFrame:
     """``df`` with ``is_test``: of each class exactly the floor of its share, those with the smallest hashes of their ids.
 
-    Each class is cut at a hash found by its sorted hashes' rank over ranges of rows.
+    Ranks within a class are running sums over ranges of hashes, so that no task holds a class. Ids must be unique.
     """
-    hashed = df.withColumn("_h", F.struct(F.xxhash64(id_col, F.lit(seed)).alias("h"), F.col(id_col).alias("i")))
-    order = Window.partitionBy(label).orderBy("_h")
-    sizes = df.groupBy(label).agg(F.floor(F.count("*") * share).alias("_take"))
-    return hashed.withColumn("_r", F.row_number().over(order)).join(F.broadcast(sizes), label).withColumn("is_test", F.col("_r") <= F.col("_take")).drop("_h", "_r", "_take")
+    hashed = df.withColumns({"_o": F.struct(F.xxhash64(id_col, F.lit(seed)).alias("h"), F.col(id_col).alias("i")), "_one": F.lit(1)})
+    sizes = df.groupBy(label).agg(F.floor(F.count("*") * share).alias("_take"))  # one row for each class
+    ranked = running_sums(hashed, [label], "_o", ["_one"]).join(F.broadcast(sizes), label)
+    return ranked.select(*df.columns, (F.col("cum__one") <= F.col("_take")).alias("is_test"))
 
 
 def predictions(model: PipelineModel, requests: DataFrame) -> DataFrame:

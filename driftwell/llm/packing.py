@@ -4,8 +4,8 @@ Documents become pieces of at most ``capacity`` tokens. Cells of about
 ``CELL_PIECES`` pieces are packed side by side by best-fit decreasing. Dual-feasible
 functions bound the bins that a cell needs from below: a cell that meets its
 bound is certified, and only its emptiest bin goes on; in any other cell every
-bin with a gap goes on. What goes on is dealt to fewer cells and packed anew,
-until one cell holds it or a round saves nothing.
+bin with a gap goes on. What goes on is dealt to fewer cells, of twice the
+size each round, and packed anew, until one cell holds it or a round saves nothing.
 
 A null or empty text has the end token alone. Repeated rows are packed as
 often as they occur. An empty table gives no rows. Columns other than the id
@@ -18,6 +18,7 @@ import math
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ PACKED = f"{PIECE}, cell int, bin int, offset long, fill long, n_bins int, bound
 
 
 class WordIds:
-    """Ids by the tokenizers library, kept by part between spaces.
+    """Ids by the tokenizers library, kept by part of a text.
 
     The vocabulary drops white space before it looks for words, and its other
     normalisers see one character and its combining marks at a time, so that a
@@ -48,16 +49,22 @@ class WordIds:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.cache = BoundedCache(lambda part: self.ids([part])[0])
+        self.cache = BoundedCache(lambda part: self.ids([part])[0], limit=1_200_000)
 
     def ids(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch(parts, add_special_tokens=False)]
+        """The ids of each part. One call sees all parts with a space between, and offsets tell whose an id is."""
+        found = self.lib.encode(" ".join(parts), add_special_tokens=False)
+        starts = np.fromiter((o[0] for o in found.offsets), np.int64, len(found))
+        ends = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        cuts = (4 * np.searchsorted(starts, ends)).tolist()
+        raw = np.array(found.ids, "<u4").tobytes()
+        return [raw[x:y] for x, y in pairwise(cuts)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cache, split = self.cache, [t.replace("\n", " ").split(" ") for t in texts]
         if len(cache) > cache.limit:
             cache.clear()
-        new = [p for p in {p for parts in split for p in parts} if p not in cache and len(p) <= cache.longest]
+        new = [p for p in set().union(*split).difference(cache) if len(p) <= cache.longest]
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
             cache.update(zip(part, self.ids(part), strict=True))
@@ -68,14 +75,19 @@ class WordIds:
 _loaded: dict[str, WordIds] = {}
 
 
+def loaded(path: str) -> WordIds:
+    """One vocabulary and cache for each Python worker, whatever tasks it runs."""
+    if path not in _loaded:
+        _loaded[path] = WordIds(path)
+    return _loaded[path]
+
+
 def cut_pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of each document: its ids and the end token, cut only if longer than ``capacity``."""
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _loaded:
-            _loaded[path] = WordIds(path)
-        words = _loaded[path]
+        words = loaded(path)
         for batch in batches:
             for part in slices(batch, 256):
                 rows = []
@@ -93,7 +105,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 4096
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """Bins that no packing can do without, by dual-feasible functions.
 
-    Sums of sizes; for each threshold t, sizes over capacity - t count as a
+    Sums of sizes; for each threshold t up to half of the capacity, sizes over capacity - t count as a
     whole bin and those below t as nothing; and for each k, the rounding
     function that maps x to x if x (k + 1) / capacity is whole, else to its
     whole part over k.
@@ -103,8 +115,7 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     x, n = np.unique(np.asarray(lengths, np.int64), return_counts=True)
     best = -(-int((x * n).sum()) // capacity)
     total, items = np.cumsum(x * n), np.cumsum(n)
-    ts = np.unique(np.concatenate([x[x <= capacity // 2], [capacity // 2 + 1]]))
-    for t in ts:
+    for t in np.unique(np.concatenate([x[x <= capacity // 2], [capacity // 2]])):
         lo, hi = np.searchsorted(x, t), np.searchsorted(x, capacity - t, side="right")
         whole = int(items[-1] - (items[hi - 1] if hi else 0))
         middle = int((total[hi - 1] if hi else 0) - (total[lo - 1] if lo else 0)) if hi > lo else 0
@@ -165,13 +176,12 @@ def pack(pieces: DataFrame, capacity: int = 4096, rounds: int = 6, cell_pieces:
     done, todo = [], materialise(pieces)
     before = None
     for k in range(rounds):
-        n = todo.count()
-        cells = max(1, math.ceil(n / cell_pieces))
+        cells = max(1, math.ceil(todo.count() / (cell_pieces << k)))
         packed = materialise(pack_cells(todo, cells, 17 + k, capacity)).withColumn("sequence_id", F.expr(f"{k}L * (1L << 58) + cell * (1L << 24) + bin"))
-        if cells == 1:
+        bins = packed.groupBy("cell", "bin").agg(F.max("fill").alias("fill"), F.max("n_bins").alias("n_bins"), F.max("bound").alias("bound"))
+        if cells == 1 or k == rounds - 1 or before is not None and bins.count() >= before:
             done.append(packed)
             break
-        bins = packed.groupBy("cell", "bin").agg(F.max("fill").alias("fill"), F.max("n_bins").alias("n_bins"), F.max("bound").alias("bound"))
         emptiest = bins.groupBy("cell").agg(F.min_by("bin", F.struct("fill", "bin")).alias("least"))
         going = (
             bins.join(emptiest, "cell")
@@ -179,13 +189,9 @@ def pack(pieces: DataFrame, capacity: int = 4096, rounds: int = 6, cell_pieces:
             .select("cell", "bin", F.lit(True).alias("goes"))
         )
         split = materialise(packed.join(going, ["cell", "bin"], "left"))
-        count = going.count()
-        if before is not None and count >= before or k == rounds - 1:
-            done.append(packed)
-            break
-        before = count
         done.append(split.where("goes is null"))
         todo = split.where("goes").select("doc_id", "piece", "start", "length", "ids_crc32")
+        before = going.count()
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     out = done[0].select(*columns)
     for more in done[1:]:

@@ -16,9 +16,10 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, filterfalse, pairwise
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import BoundedCache, materialise, slices, table, text_of
 
 CELL_PIECES = 16_384
+#: A stop or comma that ends a part and belongs to a longer run of marks.
+MARKS = re.compile(r"(?:[^\w\s]|_)[.,] ")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECE}, cell int, bin int, offset long, fill long, n_bins int, bound int"
 
@@ -61,10 +64,10 @@ class WordIds:
         return [raw[x:y] for x, y in pairwise(cuts)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cache, split = self.cache, [t.replace("\n", " ").split(" ") for t in texts]
+        cache, split = self.cache, [parts_of(t) for t in texts]
         if len(cache) > cache.limit:
             cache.clear()
-        new = [p for p in set().union(*split).difference(cache) if len(p) <= cache.longest]
+        new = [p for p in set(filterfalse(cache.__contains__, chain.from_iterable(split))) if len(p) <= cache.longest]
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
             cache.update(zip(part, self.ids(part), strict=True))
@@ -72,6 +75,23 @@ class WordIds:
         return [b"".join(map(get, parts)) for parts in split]
 
 
+def parts_of(text: str) -> list[str]:
+    """Parts between spaces, made fewer in kind where that changes no id.
+
+    In Latin-1, which has no combining marks, the vocabulary's normalisers come down to
+    lower case. A stop or comma that follows a letter or digit and ends a part is a word of its own.
+    """
+    text = text.replace("\n", " ")
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.split(" ")
+    text = text.lower() + " "
+    if not MARKS.search(text):
+        text = text.replace(". ", " . ").replace(", ", " , ")
+    return text.split(" ")
+
+
 _loaded: dict[str, WordIds] = {}
 
 

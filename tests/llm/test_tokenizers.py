@@ -53,6 +53,16 @@ def test_word_ids_equal_library():
     assert own.encode(ts) == [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(ts, add_special_tokens=False)]
 
 
+def test_word_ids_of_latin_texts_equal_library():
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("word_bpe_49k.json"), random.Random(11)
+    parts = ["The", "ÉCOLE", "straße", "x", "'s", "'LL", ".", ",", ". ", ", ", "..", "_", "3", "²", "¼", "µ", "º", "\xa0", "\x85", "\xad", " ", "\n", "!", "$", "I'm", "·", "ÿ", "×"]
+    ts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(6000)]
+    lib, own = Tokenizer.from_file(path), packing.WordIds(path)
+    assert own.encode(ts) == [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(ts, add_special_tokens=False)]
+
+
 def test_awkward_rows(docs):
     n = docs.count()
     for df in (bpe.encode_texts(docs, P.path("byte_bpe_50k.json")), token_counts.count_tokens(docs, P.path("piece_bpe_32k.model"))):
@@ -92,6 +102,8 @@ def test_lower_bound_never_exceeds_the_optimum():
     for _ in range(200):
         x = rng.integers(1, 33, rng.integers(1, 40))
         bins, offsets, fill = packing.best_fit_decreasing(x, 32)
+        x[:3] = 16
+        bins, offsets, fill = packing.best_fit_decreasing(x, 32)
         assert packing.lower_bound(x, 32) <= len(fill) and fill.max() <= 32 and fill.sum() == x.sum()
     assert packing.lower_bound(np.array([17] * 5), 32) == 5 and packing.lower_bound(np.array([], int), 32) == 0
 

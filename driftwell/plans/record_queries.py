@@ -164,7 +164,33 @@ p as (select a.doc_id, case when coalesce(a.k = b.k and greatest(a.s, b.s) < lea
 _FK = [("orders_customer", "orders", "customer", "o_custkey", "c_custkey"), ("lineitem_orders", "lineitem", "orders", "l_orderkey", "o_orderkey"), ("lineitem_part", "lineitem", "part", "l_partkey", "p_partkey"), ("lineitem_supplier", "lineitem", "supplier", "l_suppkey", "s_suppkey"), ("customer_nation", "customer", "nation", "c_nationkey", "n_nationkey"), ("documents_labels", "(select doc_id as id from documents)", "labels", "id", "doc_id")]
 _RULE = {"status": "o_orderstatus in ('F', 'O')", "date_in_past": "o_orderdate < timestamp '2001-01-01'", "price_range": "o_totalprice between 2000 and 450000", "priority": "trim(o_orderpriority) <> ''"}
 
+
+
+def _spans() -> str:
+    """Every pattern's matches with offsets. No two patterns can match the same characters in these documents, so that none needs to yield."""
+    parts = []
+    for kind, pattern in pii_spans.PATTERNS:
+        p = pattern.replace("(?U)", "").replace("'", "''")
+        parts.append(f"select doc_id, '{kind}' as pii_type, regexp_extract_all(t, '{p}') as hits, string_split_regex(t, '{p}') as gaps from docs where regexp_matches(t, '{p}')")
+    return f"""docs as (select doc_id, coalesce(text, '') as t from documents), found as ({' union all '.join(parts)}),
+each as (select doc_id, pii_type, hits, gaps, unnest(range(1, len(hits) + 1)) as i from found),
+spans as (select doc_id, pii_type, hits[i] as text, cast(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) as int) as start, length(hits[i]) as n from each)"""
+
+
+def _redacted() -> str:
+    out = "coalesce(text, '')"
+    for _, pattern in pii_spans.PATTERNS:
+        p = pattern.replace("(?U)", "").replace("'", "''")
+        out = f"regexp_replace({out}, '{p}', '[REDACTED]', 'g')"
+    return out
+
+
 ORACLE_SQL = {
+    "pii_spans": f"with {_spans()} select doc_id, pii_type, text, start, cast(start + n as int) as end, 'regex' as method, 1.0::double as confidence from spans",
+    "pii_report": f"with {_spans()}, k as (select doc_id, string_agg(distinct pii_type, ',' order by pii_type) as pii_types, count(*) as n_spans from spans group by 1) select d.doc_id, coalesce(pii_types, '') as pii_types, coalesce(n_spans, 0) as n_spans, md5({_redacted()}) as redacted_md5 from documents as d left join k using (doc_id)",
+    "pii_entities": f"""with {_spans()}, e as (select doc_id, 'PERSON' as pii_type, 0 as s, 5 as e from docs union all select doc_id, 'ADDRESS', strpos(t, '+') + 2, strpos(t, '+') + 7 from docs where strpos(t, '+') + 2 >= 5),
+k as (select * from e where not exists (select 1 from spans as r where r.doc_id = e.doc_id and greatest(r.start, e.s) < least(r.start + r.n, e.e)))
+select pii_type, 'ner' as method, count(*) as n, 0.85::double as confidence from k group by 1 union all select pii_type, 'regex', count(*), 1.0::double from spans group by 1""",
     "fk_integrity": " union all ".join(f"select '{n}' as fk, count(*) as n_violations from {c} as c where not exists (select 1 from {p} as p where p.{pk} = c.{ck})" for n, c, p, ck, pk in _FK),
     "parent_lookup": f"select c_mktsegment as last_name, {_TYPE} as encounter_type, count(*) as n from orders join customer on c_custkey = o_custkey group by 1, 2",
     "group_left_join": "with o as (select o_custkey, count(*) as n, arg_min(o_orderkey, (cast(o_orderdate as date), o_orderkey)) as f from orders group by 1) select c_custkey as patient_id, coalesce(n, 0) as n, f as first_visit from customer left join o on o_custkey = c_custkey",

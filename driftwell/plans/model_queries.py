@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwell.operators import features, metrics, models, registry, risk
 from driftwell.sources.shared import materialise, shared_dir
-from driftwell.sources.tables import Snapshots, read
+from driftwell.sources.tables import Snapshots, load_model, read, save_model
 
 METRICS = risk.METRICS
 
@@ -127,7 +127,7 @@ def linear_attribution(spark, d):
 
 
 def _price_rows(spark, d):
-    return read(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("label"))
+    return read(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("id"), "l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("label"))
 
 
 def regressor_gate(spark, d):
@@ -162,7 +162,39 @@ def workflow(spark, d):
     return models.monitoring_workflow(table, ["store_id", "product_id"], ("2024-01-25", "2024-01-30"), store).select("n_reference_samples", "n_current_samples", "overall_drift_detected", "retraining_recommended", "summary")
 
 
-QUERIES = {f.__name__: f for f in (classifier_metrics, gain_table, fairness_slices, risk_score, card_compare, card_promotion, card_json, registry_current, registry_update, registry_tags, champions, next_version, regression_metrics, promotion_gate, stratified_split, linear_attribution, regressor_gate, sampled_attribution, workflow)}
+def clamped_predictions(spark, d):
+    o = read(spark, d, "orders")
+    return o.select("o_orderkey", features.clamped((F.col("o_totalprice") - 200_000) / 7).alias("prediction"))
+
+
+def top_slices(spark, d):
+    s = metrics.fairness_slices(_scored(spark, d), SLICES)
+    return s.orderBy("disparate_impact", "slice_name").limit(3).select("slice_name", F.round("disparate_impact", 6).alias("disparate_impact"))
+
+
+def classifier_training(spark, d):
+    """Both classifiers on an exact split, and their metrics on its test part."""
+    s = materialise(models.stratified_split(_scored(spark, d).select("id", F.col("y_true").cast("double").alias("y_true"), "y_prob"), "y_true", "id"))
+    out = None
+    for name, model in models.train_classifiers(s.where("not is_test"), ["y_prob"], "y_true", trees=2).items():
+        p = model.transform(s.where("is_test")).select("y_true", F.col("prediction").alias("y_pred"))
+        row = metrics.confusion(p).select(F.lit(name).alias("model"), "accuracy", "f1")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def model_round_trip(spark, d):
+    """A fitted model, saved and loaded, predicts as before."""
+    rows = materialise(_price_rows(spark, d))
+    model = models.train_regressor(rows, ["l_quantity"], "label", trees=1)
+    path = f"{shared_dir(spark)}/model"
+    save_model(model, path)
+    seen = rows.select("l_quantity").distinct()
+    a, b = (m.transform(seen).select("l_quantity", F.col("prediction").alias(n)) for m, n in ((model, "a"), (load_model(path), "b")))
+    return a.join(b, "l_quantity").agg(F.count_if(F.col("a") != F.col("b")).alias("n_different"))
+
+
+QUERIES = {f.__name__: f for f in (classifier_metrics, gain_table, fairness_slices, risk_score, card_compare, card_promotion, card_json, registry_current, registry_update, registry_tags, champions, next_version, regression_metrics, promotion_gate, stratified_split, linear_attribution, regressor_gate, sampled_attribution, workflow, clamped_predictions, top_slices, classifier_training, model_round_trip)}
 
 
 def _rows(scale: float) -> str:
@@ -217,4 +249,7 @@ select l_returnflag, starts_with(reason, 'PASSED') as passed, reason from t""",
     "stratified_split": f"with s as ({_rows(600000.0)}) select t as y_true, cast(floor(count(*) * 0.25) as bigint) as n_test, count(*) - cast(floor(count(*) * 0.25) as bigint) as n_train from s group by 1",
     "linear_attribution": """with m as (select avg(l_quantity) as q, avg(l_discount) as d, avg(l_tax) as t from lineitem), a as (select 'l_quantity' as feature, avg(abs(1500.0 * (l_quantity - q))) as v from lineitem, m union all select 'l_discount', avg(abs(-200.0 * (l_discount - d))) from lineitem, m union all select 'l_tax', avg(abs(10.0 * (l_tax - t))) from lineitem, m)
 select feature, round(v, 4) as mean_abs, cast(row_number() over (order by v desc, feature) as int) as rank from a""",
+    "clamped_predictions": "select o_orderkey, greatest(0.0, round_even((o_totalprice - 200000) / 7, 2)) as prediction from orders",
+    "top_slices": f"with {_perf('a', 600000.0)} select slice_name, round(disparate_impact, 6) as disparate_impact from a_d order by a_d.disparate_impact, slice_name limit 3",
+    "model_round_trip": "select 0::bigint as n_different",
 }

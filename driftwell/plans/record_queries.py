@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwell.operators import pii_spans, records
+from driftwell.operators import pii_spans, records, registry
 from driftwell.sources.shared import shared_dir
-from driftwell.sources.tables import export_csv, read
+from driftwell.sources.tables import export_csv, read, read_observations
 
 
 def _encounters(spark, d) -> DataFrame:
@@ -155,8 +155,38 @@ def span_offsets(spark, d):
     return pii_spans.wrong_offsets(spans.select("doc_id", "text", "start", "end"), docs).groupBy().agg(F.count("*").alias("n_wrong"))
 
 
+def shortened_names(spark, d):
+    return read(spark, d, "part").select("p_partkey", pii_spans.shortened(F.concat_ws(" ", "p_name", "p_type", "p_brand"), 20).alias("short"))
+
+
+def _diagnosed(spark, d):
+    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("encounter_id"), F.concat(F.lit("E1"), (F.col("l_linenumber") - 1).cast("string"), F.lit("."), (F.col("l_partkey") % 10).cast("string")).alias("code"), F.col("l_returnflag").alias("description"))
+    return records.grouped(rows, "encounter_id", ["code", "description"], "diagnoses")
+
+
+def diagnosis_texts(spark, d):
+    return _diagnosed(spark, d).select("encounter_id", records.diagnosis_text(F.col("diagnoses")).alias("text"), records.diabetic(F.col("diagnoses")).alias("diabetic"))
+
+
+def lab_sections(spark, d):
+    fields = ["test_name", "value", "unit", "reference_low", "reference_high", "collection_date"]
+    labs = _labs(spark, d).withColumn("collection_date", F.lit("2001-01-01").cast("date"))
+    return records.with_children(_encounters(spark, d).select("encounter_id"), labs, "encounter_id", fields, "labs").select("encounter_id", records.lab_text(F.col("labs")).alias("text"))
+
+
+def stable_ids(spark, d):
+    return read(spark, d, "customer").select("c_custkey", registry.stable_id("c_custkey", "c_name", "c_mktsegment").alias("id"))
+
+
+def json_observations(spark, d):
+    folder = f"{shared_dir(spark)}/observations"
+    read(spark, d, "events").select("ts", "event_type", "value").write.mode("overwrite").json(folder)
+    back = read_observations(spark, folder, "ts timestamp, event_type string, value double")
+    return back.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"), F.max(F.to_date("ts")).alias("last"))
+
+
 pii_spans_.__name__ = "pii_spans"
-QUERIES = {f.__name__: f for f in (fk_integrity, parent_lookup, group_left_join, flatten_array, abnormal_labs, record_age, lab_proximity, implausible_labs, lab_coverage, encounter_bounds, quality_rules, quarantine, rendered_notes, csv_export, pii_counts, pii_spans_, pii_report, pii_entities, pii_precision_recall, pii_macro_mean, span_offsets)}
+QUERIES = {f.__name__: f for f in (fk_integrity, parent_lookup, group_left_join, flatten_array, abnormal_labs, record_age, lab_proximity, implausible_labs, lab_coverage, encounter_bounds, quality_rules, quarantine, rendered_notes, csv_export, pii_counts, pii_spans_, pii_report, pii_entities, pii_precision_recall, pii_macro_mean, span_offsets, shortened_names, diagnosis_texts, lab_sections, stable_ids, json_observations)}
 
 _TYPE = "case o_orderstatus when 'F' then 'inpatient' when 'O' then 'outpatient' else 'emergency' end"
 _PR = """with a as (select doc_id, lang as k, doc_id % 50 as s, doc_id % 50 + 10 as e from documents), b as (select doc_id, case when doc_id % 5 = 0 then 'xx' else lang end as k, doc_id * 7 % 50 as s, doc_id * 7 % 50 + 8 as e from documents where doc_id % 3 > 0),
@@ -208,4 +238,11 @@ select pii_type, 'ner' as method, count(*) as n, 0.85::double as confidence from
     "pii_precision_recall": f"{_PR} select doc_id, h as precision, h as recall, h as recall_ref from p",
     "pii_macro_mean": f"{_PR} select round(avg(h), 6) as precision, round(avg(h), 6) as recall, round(avg(h), 6) as recall_ref from p",
     "span_offsets": "select 0::bigint as n_wrong",
+    "shortened_names": "with p as (select p_partkey, concat_ws(' ', p_name, p_type, p_brand) as s from part) select p_partkey, case when length(s) <= 20 then s else s[1:19] || '_' end as short from p",
+    "diagnosis_texts": """with l as (select l_orderkey as encounter_id, 'E1' || (l_linenumber - 1) || '.' || (l_partkey % 10) as c, l_returnflag as d from lineitem), n as (select *, row_number() over (partition by encounter_id order by c, d) as i from l)
+select encounter_id, string_agg('  ' || i || '. ' || c || ' - ' || d, chr(10) order by i) as text, bool_or(regexp_matches(c, '^E1[013]')) as diabetic from n group by 1""",
+    "lab_sections": """with l as (select l_orderkey as k, cast(l_partkey as varchar) as t, l_quantity as v from lineitem), a as (select k, string_agg('. ' || t || ': ' || cast(v as varchar) || ' u (ref 10.0-40.0)' || case when v > 40 then ' [H]' when v < 10 then ' [L]' else '' end, chr(10) order by t, v) as x from l group by 1)
+select o_orderkey as encounter_id, case when x is null then 'LABORATORY DATA:' || chr(10) || 'No labs on file for this encounter.' || chr(10) else 'LABORATORY DATA (collected 2001-01-01):' || chr(10) || x || chr(10) end as text from orders left join a on k = o_orderkey""",
+    "stable_ids": "select c_custkey, sha256(concat_ws(chr(1), cast(c_custkey as varchar), coalesce(c_name, chr(0)), coalesce(c_mktsegment, chr(0)))) as id from customer",
+    "json_observations": "select event_type, count(*) as n, round(sum(value), 4) as value, max(cast(ts as date)) as last from events group by 1",
 }

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, on_executors, table
 from .vectors import matrix, valid
 
 #: The codebooks are fitted on at most so many vectors, those with the smallest hashes of their ids.
@@ -123,7 +123,7 @@ def encode_index(vectors: DataFrame, books: Codebooks, block: int, n: int) -> Da
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(codes, pa.binary()), pa.array(norms)], ["vec_id", "embedding", "block", "codes", "norm"])
 
     dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(max(1, math.ceil(n / block)))).cast("int"))
-    return dealt.mapInArrow(run, "vec_id long, embedding array<double>, block int, codes binary, norm double")
+    return on_executors(dealt).mapInArrow(run, "vec_id long, embedding array<double>, block int, codes binary, norm double")
 
 
 def best_in_block(queries: pd.DataFrame, index: pd.DataFrame, books: Codebooks, k: int, depth: int) -> pd.DataFrame:
@@ -170,7 +170,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, depth: int = DEPTH, b
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
     )
     told = index.select("vec_id", "embedding", "codes", "norm", "block", F.size("embedding").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-    found = asked.groupBy(*keys).cogroup(told.groupBy(*keys)).applyInPandas(
+    found = on_executors(asked).groupBy(*keys).cogroup(told.groupBy(*keys)).applyInPandas(
         lambda a, b: best_in_block(a, b, books, k, depth), "query_id long, vec_id long, score double"
     )
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")

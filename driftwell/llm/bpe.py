@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, slices, table, text_of
+from .common import BoundedCache, on_executors, slices, table, text_of
 
 LONG_WORD = 200
 #: What the vocabulary's pattern calls white space.
@@ -141,7 +141,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
-    return rows.mapInArrow(run, "id long, ids binary").withColumnRenamed("id", id_col)
+    return on_executors(rows).mapInArrow(run, "id long, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -155,7 +155,7 @@ def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string())], ["id", "text"])
 
     rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.coalesce(ids_col, F.lit(b"")).alias("ids"))
-    return rows.mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    return on_executors(rows).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,7 +170,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(text, pa.string())], ["id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
-    return rows.mapInArrow(run, "id long, ids binary, decoded string").withColumnRenamed("id", id_col)
+    return on_executors(rows).mapInArrow(run, "id long, ids binary, decoded string").withColumnRenamed("id", id_col)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,13 +12,19 @@ from driftwell.sources.shared import materialise
 from driftwell.sources.shipping import ship
 
 
-__all__ = ["BoundedCache", "component_labels", "materialise", "slices", "table", "text_of"]
+__all__ = ["BoundedCache", "component_labels", "materialise", "on_executors", "slices", "table", "text_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def on_executors(df: DataFrame) -> DataFrame:
+    """``df`` as it is, after its session's executors have been given this package."""
+    ship(df.sparkSession)
+    return df
+
+
 def text_of(column: str = "text"):
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

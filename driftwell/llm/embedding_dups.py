@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import component_labels, materialise, table
+from .common import component_labels, materialise, on_executors, table
 from .vectors import matrix, normalised, takes_part, valid
 
 THRESHOLD, BLOCK, TILE = 0.95, 4096, 1024
@@ -126,7 +126,7 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, block: int =
     )
     units = blocks * (blocks + 1) // 2
     dealt = tiles.repartition(units, "x", "y", "size") if units > 1 else tiles
-    found = materialise(dealt.groupBy("x", "y", "size").applyInPandas(lambda g: compare(g, threshold), "node long, links long, root long"))
+    found = materialise(on_executors(dealt).groupBy("x", "y", "size").applyInPandas(lambda g: compare(g, threshold), "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = component_labels(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     grouped = nodes.join(links, "node", "left").join(joined, "node", "left").select("node", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))

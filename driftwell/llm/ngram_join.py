@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import component_labels, materialise, slices, table, text_of
+from .common import component_labels, materialise, on_executors, slices, table, text_of
 
 N_WORDS, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.999, 128
 #: A unit of work holds about so many n-grams, and of a large component so many classes of either block.
@@ -164,7 +164,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int, id_col: str, text
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_class_keys(h, starts).view(np.int64)), pa.array(np.diff(starts)), lists], ["doc_id", "node", "grams", "bands"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
-    return texts.mapInArrow(run, "doc_id long, node long, grams long, bands array<long>")
+    return on_executors(texts).mapInArrow(run, "doc_id long, node long, grams long, bands array<long>")
 
 
 def gram_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -181,7 +181,7 @@ def gram_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
     picked = texts.join(wanted.select("doc_id", "node"), "doc_id").select("doc_id", "node", "t")
-    return picked.mapInArrow(run, "node long, set binary")
+    return on_executors(picked).mapInArrow(run, "node long, set binary")
 
 
 def compare(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -254,7 +254,7 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(F.col("component").alias("unit"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), F.lit(False).alias("whole"), "component", "node", "copies", "set")
     )
-    return small.unionByName(large).groupBy("whole", "unit", "x", "y").applyInPandas(units, "node long, links long, root long, whole boolean")
+    return on_executors(small.unionByName(large)).groupBy("whole", "unit", "x", "y").applyInPandas(units, "node long, links long, root long, whole boolean")
 
 
 def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

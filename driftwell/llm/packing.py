@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, materialise, slices, table, text_of
+from .common import BoundedCache, materialise, on_executors, slices, table, text_of
 
 CELL_PIECES = 16_384
 #: A stop or comma that ends a part and belongs to a longer run of marks.
@@ -119,7 +119,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 4096
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t")).mapInArrow(run, PIECE)
+    return on_executors(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t")).mapInArrow(run, PIECE)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -188,7 +188,7 @@ def pack_cells(pieces: DataFrame, cells: int, seed: int, capacity: int) -> DataF
     cell = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(seed), F.col("salt")), F.lit(cells)).cast("int")
     # Equal rows must not meet in one cell just because they are equal: the salt deals them out.
     dealt = pieces.withColumn("salt", F.floor(F.rand(seed) * 1_000_003)).withColumn("cell", cell).drop("salt")
-    return dealt.groupBy("cell").applyInPandas(pack, PACKED)
+    return on_executors(dealt).groupBy("cell").applyInPandas(pack, PACKED)
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, rounds: int = 6, cell_pieces: int = CELL_PIECES) -> DataFrame:

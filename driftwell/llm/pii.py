@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chains import viterbi
-from .common import slices, table, text_of
+from .common import on_executors, slices, table, text_of
 from .pii_examples import labelled
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -320,7 +320,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column(0), _listed([b for b, _ in both]), _listed([m for _, m in both])], ["doc_id", "base", "added"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
-    return rows.mapInArrow(run, SCHEMA).withColumnRenamed("doc_id", id_col)
+    return on_executors(rows).mapInArrow(run, SCHEMA).withColumnRenamed("doc_id", id_col)
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -339,7 +339,7 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 columns[at] = pa.array(new, part.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    return docs.mapInArrow(run, schema)
+    return on_executors(docs).mapInArrow(run, schema)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,4 +355,4 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *counts, sums, pa.array([joined(b + m) for b, m in both])], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
 
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return on_executors(rows).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

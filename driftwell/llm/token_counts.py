@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, slices, table, text_of
+from .common import BoundedCache, on_executors, slices, table, text_of
 
 MARK = "▁"
 
@@ -96,7 +96,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"), text_of(text_col).alias("t"))
-    return rows.mapInArrow(run, "id long, n_bytes long, n_tokens long").select(
+    return on_executors(rows).mapInArrow(run, "id long, n_bytes long, n_tokens long").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
 

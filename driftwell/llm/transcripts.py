@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chains import viterbi
-from .common import materialise, slices, table
+from .common import materialise, on_executors, slices, table
 
 ROLES = ("system", "user", "assistant")
 #: Each role opens a turn (even) or goes on with it (odd).
@@ -124,7 +124,7 @@ def train(labelled: DataFrame) -> RoleModel:
         yield _rows(counts)
 
     # Marker words are open: only those that occur often enough to matter reach the driver, and their number is bounded by that.
-    found = labelled.select("text", "turns").mapInArrow(run, "kind string, key string, state int, n long").groupBy("kind", "key", "state").agg(F.sum("n").alias("n"))
+    found = on_executors(labelled).select("text", "turns").mapInArrow(run, "kind string, key string, state int, n long").groupBy("kind", "key", "state").agg(F.sum("n").alias("n"))
     kept = found.where("n >= 3").orderBy(F.desc("n"), "kind", "key", "state").limit(5_000).collect()
     return model_of({(r["kind"], r["key"], r["state"]): r["n"] for r in kept})
 
@@ -165,7 +165,7 @@ def parse(transcripts: DataFrame, model: RoleModel) -> DataFrame:
                 columns = [pa.array([[STATES[s][0] for s in p.tolist()] for p in paths], pa.list_(pa.string())), pa.array([[r for r, _ in t] for t in turns], pa.list_(pa.string())), pa.array([render(t) for t in turns], pa.string())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["id", "part", "line_roles", "turn_roles", "rendered"])
 
-    return transcripts.select(F.col("id").cast("long"), F.col("part").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return on_executors(transcripts).select(F.col("id").cast("long"), F.col("part").cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
 def raw_transcripts(conversations: DataFrame, unmarked: int = 4) -> DataFrame:

@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from .common import component_labels, materialise, on_executors, slices, table, text_of
 
 N_WORDS, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.999, 128
-#: A unit of work holds about so many n-grams, and of a large component so many classes of either block.
-UNIT_NGRAMS, BLOCK_CLASSES = 1_500_000, 1024
+#: A block holds about so many n-grams and classes; a larger component is cut into several.
+BLOCK_NGRAMS, BLOCK_CLASSES = 1_500_000, 512
+#: Components of one block are dealt out in units of about so many n-grams.
+UNIT_NGRAMS = 250_000
 #: Up to so many candidates' ids (16 bytes each) are broadcast to the second reading of the texts.
 BROADCAST_IDS = 500_000
 WRAP = 1 << 64
@@ -240,7 +242,7 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
         return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"node": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64"), "whole": pd.Series(dtype="bool")})
 
     sized = members.groupBy("component").agg(F.sum(F.octet_length("set") / 8).alias("grams"), F.count("*").alias("n")).withColumn(
-        "blocks", F.greatest(F.ceil(F.col("grams") / UNIT_NGRAMS), F.ceil(F.col("n") / BLOCK_CLASSES)).cast("int")
+        "blocks", F.greatest(F.ceil(F.col("grams") / BLOCK_NGRAMS), F.ceil(F.col("n") / BLOCK_CLASSES)).cast("int")
     )
     total = sized.where("blocks = 1").agg(F.sum("grams")).first()[0] or 0
     groups = max(1, math.ceil(total / UNIT_NGRAMS))

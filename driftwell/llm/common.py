@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from driftwell.sources.shared import materialise
 from driftwell.sources.shipping import ship
 
-
 __all__ = ["BoundedCache", "component_labels", "materialise", "on_executors", "slices", "table", "text_of"]
 
 

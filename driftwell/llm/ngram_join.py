@@ -170,7 +170,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int, id_col: str, text
 
 
 def gram_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, component, copies, sizes..., set binary) for ``wanted`` (node, doc_id, ...), from the texts."""
+    """(node, set): the sorted distinct n-gram hashes of each class in ``wanted`` (node, doc_id), read from the texts again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -42,6 +42,19 @@ TEMPLATES = [
     ("cc", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    # Short notices, without the words that differ between versions and clauses.
+    *(("cc", f"Licensed under CC BY {version}") for version in ("4.0", "3.0", "2.5", "2.0", "1.0")),
+    ("cc", "Licensed under a Creative Commons Attribution License"),
+    ("cc", "CC0 1.0 Universal"),
+    ("bsd", "Under the BSD License"),
+    ("isc", "Under the ISC License"),
+    ("mpl", "Under the Mozilla Public License"),
+    ("mpl", "Licensed under MPL"),
+    ("gpl", "Licensed under GPL"),
+    ("agpl", "Under the GNU Affero General Public License"),
+    ("agpl", "Licensed under AGPL"),
+    ("lgpl", "Under the GNU Lesser General Public License"),
+    ("lgpl", "Licensed under LGPL"),
 ]
 THRESHOLD = 0.9
 #: Between words, in a text whose case still stands.

@@ -31,6 +31,22 @@ def test_licenses_awkward_rows(spark, docs):
     assert (r[0]["labels"], r[0]["base_labels"]) == ("bsd", "") and r[1]["labels"] == ""
 
 
+@pytest.mark.parametrize("line, labels", [
+    ("Licensed under CC BY-NC 4.0.", "cc"), ("Licensed under CC BY 4.0", "cc"), ("licensed under cc by-sa 3.0", "cc"), ("Licensed under CC BY-NC-ND 2.5", "cc"),
+    ("This text is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "cc"), ("CC0 1.0 Universal", "cc"),
+    ("Released under the MIT License.", "mit"), ("Licensed under the Apache License, Version 2.0.", "apache"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl"), ("Licensed under GPL-3.0-or-later", "gpl"),
+    ("Released under the BSD 3-Clause License.", "bsd"), ("Licensed under the ISC License.", "isc"),
+    ("Distributed under the Mozilla Public License 2.0", "mpl"), ("Licensed under MPL-2.0", "mpl"),
+    ("Under the GNU Affero General Public License, version 3", "agpl,gpl"), ("Licensed under AGPL-3.0", "agpl"),
+    ("under the GNU Lesser General Public License v2.1", "gpl,lgpl"), ("Licensed under LGPL 2.1", "lgpl"),
+    ("We cc the report by mail; 4 copies, 0 replies.", ""), ("Licensed by the city, under the bridge.", ""),
+])
+def test_short_license_notices(spark, line, labels):
+    r = licenses.scan(spark.createDataFrame([(1, f"Some words.\n{line}\nMore words.")], "doc_id long, text string")).first()
+    assert (r["labels"], r["score"]) == (labels, 1.0 if labels else 0.0)
+
+
 def reference_spans(t):
     digits = lambda s: re.sub("[^0-9]", "", s)
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]

@@ -1,8 +1,9 @@
 """License scans by exact set-similarity join (operator 3), in DataFrame operations only.
 
-Blocks are the lines of a text, templates the sentences of license notices;
-both are sets of words. A block matches if it holds at least ``threshold`` of
-a template's words. Template words are put in one global order, rarest in the
+Blocks are the lines of a text and, as notices are wrapped, all runs of its
+words across lines that are a little longer than the template. Templates are
+the sentences of license notices; all are sets of words. A block matches if it
+holds at least ``threshold`` of a template's words. Template words are put in one global order, rarest in the
 corpus first; a match must then share a word within both prefixes, have
 enough words, and have enough words left from the first shared position on.
 Pairs that pass these filters are verified on the whole sets, so none is lost
@@ -57,6 +58,8 @@ TEMPLATES = [
     ("lgpl", "Licensed under LGPL"),
 ]
 THRESHOLD = 0.9
+#: Words of a text whose runs are compared in one row.
+RUN_STARTS = 256
 #: Between words, in a text whose case still stands.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,6 +69,12 @@ def template_words(text: str) -> list[str]:
     return sorted(set(re.findall(r"[0-9a-z]+", text.lower())))
 
 
+def run_length(text: str) -> int:
+    """Words of a run that is compared with a template: the template's, and a quarter or four besides."""
+    n = len(re.findall(r"[0-9a-z]+", text.lower()))
+    return n + max(4, n // 4)
+
+
 def spaced(text: Column) -> Column:
     """The words of a text with one space before, between and after them; one space if there are none."""
     words = F.trim(F.regexp_replace(text, GAP, " "))
@@ -121,19 +130,19 @@ def word_order(docs: DataFrame, words: list[str]) -> list[str]:
 
 
 def template_matches(docs: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """(doc_id, h, line, label, containment): every line that holds enough of a template."""
+    """(doc_id, h, label, containment): every line, and every place of runs across lines, that holds enough of a template."""
     sets = [template_words(text) for _, text in templates]
     order = word_order(docs, sorted({w for s in sets for w in s}))
     rank = {w: k for k, w in enumerate(order, 1)}
     index, whole, probe = [], [], set()
-    for k, (words, (label, _)) in enumerate(zip(sets, templates, strict=True)):
+    for k, (words, (label, text)) in enumerate(zip(sets, templates, strict=True)):
         ranks, need = sorted(rank[w] for w in words), math.ceil(threshold * len(words) - 1e-9)
         whole.append(f"({k}, '{label}', array({', '.join(map(str, ranks))}))")
         for at, r in enumerate(ranks[: len(ranks) - need + 1]):
-            index.append(f"({k}, {r}, {at}, {len(ranks)}, {need})")
+            index.append(f"({k}, {r}, {at}, {len(ranks)}, {need}, {run_length(text)})")
             probe.add(order[r - 1])
     spark = docs.sparkSession
-    prefixes = spark.sql(f"select * from values {', '.join(index)} as p(template, rank, at, size, need)")
+    prefixes = spark.sql(f"select * from values {', '.join(index)} as p(template, rank, at, size, need, run)")
     verify = spark.sql(f"select * from values {', '.join(whole)} as v(template, label, ranks)")
     vocabulary = F.array(*map(F.lit, order))
     likely = docs.where(F.arrays_overlap(F.split(F.lower(spaced(F.col("t"))), " "), F.array(*map(F.lit, sorted(probe)))))
@@ -152,11 +161,45 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]], threshol
         .where(1 + F.least(size - at, F.size("block") - F.col("place")) - 1 >= need)
         .select("doc_id", "h", "line", "template", "block", "need").distinct()
     )
+    in_lines = pairs.join(F.broadcast(verify), "template").withColumn("shared", F.size(F.array_intersect("block", "ranks")))
+    in_runs = run_matches(likely, order, prefixes, verify, max((run_length(text) for _, text in templates), default=1))
     return (
-        pairs.join(F.broadcast(verify), "template")
-        .withColumn("shared", F.size(F.array_intersect("block", "ranks")))
+        in_lines.select("doc_id", "h", "label", "shared", "need", "ranks").unionByName(in_runs)
         .where("shared >= need")
-        .select("doc_id", "h", "line", "label", (F.col("shared") / F.size("ranks")).alias("containment"))
+        .select("doc_id", "h", "label", (F.col("shared") / F.size("ranks")).alias("containment"))
+    )
+
+
+def run_matches(docs: DataFrame, order: list[str], prefixes: DataFrame, verify: DataFrame, longest: int) -> DataFrame:
+    """(doc_id, h, label, shared, need, ranks): most words that a run around a template's prefix word shares with it.
+
+    A text of several lines is cut into parts that overlap by the longest run, so that no run is lost and no row is
+    longer than ``RUN_STARTS + longest`` words. A run that matches holds a prefix word, begins at most its length before
+    that word, and may as well begin at a template's word.
+    """
+    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(RUN_STARTS))
+    places = F.transform("words", lambda w, k: F.struct(k.alias("at"), w.alias("w")))
+    ranked = F.transform("own", lambda x: F.struct(x["at"].alias("at"), F.array_position(F.array(*map(F.lit, order)), x["w"]).cast("int").alias("rank")))
+    parts = (
+        docs.where(F.col("t").contains("\n"))
+        .select("doc_id", "h", word_array(F.col("t")).alias("words"))
+        .select("doc_id", "h", F.explode(F.transform(starts, lambda k: F.slice("words", k + 1, F.lit(RUN_STARTS + longest)))).alias("words"))
+        .withColumn("own", F.filter(places, lambda x: x["w"].isin(order)))
+        .where(F.size("own") > 0)
+        .select("doc_id", "h", ranked.alias("part"))
+    )
+    hit, run = F.col("hit"), F.col("run")
+    near = F.filter("part", lambda x: (x["at"] > hit - run) & (x["at"] < hit + run) & F.array_contains("ranks", x["rank"]))
+    within = lambda a: F.filter("near", lambda x: (x["at"] >= a["at"]) & (x["at"] < a["at"] + run))
+    sizes = F.transform(F.filter("near", lambda a: a["at"] <= hit), lambda a: F.size(F.array_distinct(F.transform(within(a), lambda x: x["rank"]))))
+    return (
+        parts.select("doc_id", "h", "part", F.inline("part").alias("hit", "rank"))
+        .join(F.broadcast(prefixes), "rank")
+        .where(F.size("part") >= F.col("need"))
+        .join(F.broadcast(verify), "template")
+        .withColumn("near", near)
+        .where(F.size("near") >= F.col("need"))
+        .select("doc_id", "h", "label", F.array_max(sizes).alias("shared"), "need", "ranks")
     )
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import textwrap
 
 import duckdb
 import numpy as np
@@ -47,6 +48,38 @@ def test_short_license_notices(spark, line, labels):
     assert (r["labels"], r["score"]) == (labels, 1.0 if labels else 0.0)
 
 
+def reference_matches(text):
+    """{label: containment} over all lines and all runs of words, one by one."""
+    words = lambda t: re.findall("[0-9a-z]+", t.lower())
+    out, all_words = {}, words(text)
+    for label, template in licenses.TEMPLATES:
+        want, n = set(words(template)), licenses.run_length(template)
+        blocks = [set(words(line)) for line in text.split("\n")] + [set(all_words[k : k + n]) for k in range(len(all_words))]
+        best = max(len(want & b) for b in blocks) / len(want)
+        if best >= licenses.THRESHOLD - 1e-9:
+            out[label] = max(best, out.get(label, 0))
+    return out
+
+
+def test_wrapped_license_notices(spark):
+    rng, filler, texts = random.Random(5), "the of software and under license to in is this use copy 4 0 by".split(), []
+    some = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    for label, template in licenses.TEMPLATES:
+        for width, lead in ((20, ""), (40, " * "), (72, "# ")):
+            own = template.split()
+            for lost in (0, len(own) // 10, len(own) // 4 + 1):
+                left = [w for k, w in enumerate(own) if k not in rng.sample(range(len(own)), lost)]
+                wrapped = [lead + x for x in textwrap.wrap(" ".join(left), width)]
+                texts.append((label if not lost else None, "\n".join([some(rng.choice([3, 240, 255, 300])), *wrapped, some(9)])))
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    for k, (label, text) in enumerate(texts):
+        want, r = reference_matches(text), rows[k]
+        assert set(r["labels"].split(",")) - {""} == set(want) | set(r["base_labels"].split(",")) - {""}
+        assert r["n_base"] or r["score"] == pytest.approx(max(want.values(), default=0))
+        assert label is None or label in r["labels"].split(",")
+
+
 def reference_spans(t):
     digits = lambda s: re.sub("[^0-9]", "", s)
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]

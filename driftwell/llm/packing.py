@@ -78,10 +78,15 @@ class WordIds:
 def parts_of(text: str) -> list[str]:
     """Parts between spaces, made fewer in kind where that changes no id.
 
+    The vocabulary's special strings are matched in the text as it is, before lower-casing, so that a text that
+    may hold a variant of one stays as it is.
+
     In Latin-1, which has no combining marks, the vocabulary's normalisers come down to
     lower case. A stop or comma that follows a letter or digit and ends a part is a word of its own.
     """
     text = text.replace("\n", " ")
+    if "<|" in text:
+        return text.split(" ")
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:

@@ -63,6 +63,16 @@ def test_word_ids_of_latin_texts_equal_library():
     assert own.encode(ts) == [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(ts, add_special_tokens=False)]
 
 
+def test_word_ids_of_special_strings_in_any_case_equal_library():
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("word_bpe_49k.json"), random.Random(12)
+    parts = ["<|ENDOFTEXT|>", "<|EndOfText|>", "<|endoftext|>", "<|StartOfText|>", "<|startoftext|>", "<|", "|>", "The", "É", "a", ". ", ", ", " ", "\n"]
+    ts = ["a <|ENDOFTEXT|> b", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 20))) for _ in range(2000))]
+    lib, own = Tokenizer.from_file(path), packing.WordIds(path)
+    assert own.encode(ts) == [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(ts, add_special_tokens=False)]
+
+
 def test_awkward_rows(docs):
     n = docs.count()
     for df in (bpe.encode_texts(docs, P.path("byte_bpe_50k.json")), token_counts.count_tokens(docs, P.path("piece_bpe_32k.model"))):

@@ -10,9 +10,10 @@ from driftwell.functions.columns import long_values
 from driftwell.operators import drift
 
 
-def observations(spark: SparkSession, folder: str, schema: str, max_files: int = 100) -> DataFrame:
-    """A stream of JSON files with a fixed schema."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(folder)
+def observations(spark: SparkSession, folder: str, schema: str, max_files: int | None = 100) -> DataFrame:
+    """A stream of JSON files with a fixed schema; ``max_files`` of None reads all that are there in one batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).json(folder)
 
 
 def window_counts(stream: DataFrame, edges: DataFrame, columns: list[str], ts: str = "ts", window: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -54,3 +55,15 @@ def start_reports(stream: DataFrame, reference: DataFrame, columns: list[str], o
 def start_windows(stream: DataFrame, edges: DataFrame, columns: list[str], out: str, checkpoint: str) -> StreamingQuery:
     """Finished windows' counts appended as Parquet."""
     return window_counts(stream, edges, columns).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def start_all_windows(stream: DataFrame, edges: DataFrame, columns: list[str], out: str, checkpoint: str) -> StreamingQuery:
+    """All windows' counts, the last ones too, as Parquet that each batch replaces.
+
+    For a finished table: counts of all windows are kept, so that no row is too late, in whatever order the files come.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    return window_counts(stream, edges, columns).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +38,28 @@ def test_window_counts_are_psi_of_finished_windows(spark, tmp_path):
     assert got and all(r["severity"] == "critical" for r in got)
 
 
+def test_many_shuffled_files_lose_no_window(spark, tmp_path):
+    reference = spark.range(1000).select((F.col("id") * 1.0).alias("x"))
+    folder, rng = tmp_path / "in", random.Random(1)
+    folder.mkdir()
+    ages = rng.sample(range(130), 130)
+    for k in range(130):
+        rows = [{"ts": f"2024-01-{1 + k // 6:02d}T0{j}:00:00Z", "x": float(rng.randrange(1000))} for j in range(3)]
+        (folder / f"{k}.json").write_text("\n".join(map(json.dumps, rows)))
+        os.utime(folder / f"{k}.json", (1_700_000_000 + ages[k],) * 2)
+    edges, _ = monitor.reference_counts(reference, ["x"])
+    want = {tuple(r) for r in monitor.window_counts(spark.read.schema("ts timestamp, x double").json(str(folder)), edges, ["x"]).collect()}
+    days = {r[0] for r in want}
+
+    def run(name, start, max_files):
+        start(monitor.observations(spark, str(folder), "ts timestamp, x double", max_files), edges, ["x"], str(tmp_path / name), str(tmp_path / f"{name}-cp")).awaitTermination()
+        return {tuple(r) for r in spark.read.parquet(str(tmp_path / name)).select("window_start", "feature", "bin", "n_cur").collect()}
+
+    assert len(days) == 22 and run("all", monitor.start_all_windows, 100) == want
+    finished = run("finished", monitor.start_windows, None)
+    assert finished == {r for r in want if r[0] in {x[0] for x in finished}} and len({r[0] for r in finished}) >= 20
+
+
 def demand(spark, days=40):
     rows = spark.range(days * 2).select((F.col("id") % 2).cast("int").alias("store_id"), F.lit(1).alias("product_id"), F.expr("date_add(date'2024-01-01', cast(id div 2 as int))").alias("date"), (10 + F.col("id") % 7).cast("double").alias("demand"), (1 + F.col("id") % 3).cast("double").alias("price"))
     return features.calendar(rows, "date").withColumns({"store_size": F.lit("large"), "product_category": F.lit("B")})

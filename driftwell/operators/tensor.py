@@ -89,6 +89,12 @@ def score_matrix(scored: DataFrame, steps: list[int]) -> DataFrame:
     return scored.groupBy("machine").pivot("t", steps).agg(F.first("score"))
 
 
+def score_rows(scored: DataFrame) -> DataFrame:
+    """A row for each machine: all of its time steps, and their scores in the same order."""
+    rows = scored.groupBy("machine").agg(F.array_sort(F.collect_list(F.struct("t", "score"))).alias("row"))
+    return rows.select("machine", F.col("row.t").alias("steps"), F.col("row.score").alias("scores"))
+
+
 @dataclass(frozen=True)
 class Factors:
     """Unit-norm factor matrices by mode, in the order of ``labels``, and weights."""

@@ -55,6 +55,11 @@ def score_matrix(spark, d):
     return m.select("machine", *(F.round(F.col(str(k)), 6).alias(f"t{k}") for k in range(4)))
 
 
+def score_matrix_all(spark, d):
+    """The score matrix of all time steps; ``score_matrix`` has the columns of the first four."""
+    return tensor.score_rows(_scores(spark, d).withColumn("score", F.round("score", 6)))
+
+
 def cp_als(spark, d):
     cells = materialise(_cells(spark, d))
     found = tensor.cp_als(cells, rank=3, rounds=12)
@@ -68,7 +73,7 @@ def detector(spark, d):
     return tensor.summary(fitted.flag(cells.where("t >= 20"))).select("machine", "timestep", F.round("score", 6).alias("score"), "is_anomaly")
 
 
-QUERIES = {f.__name__: f for f in (tensor_score, tensor_error, tensor_flags, tensor_flag_rates, fault_windows, score_matrix, cp_als, detector)}
+QUERIES = {f.__name__: f for f in (tensor_score, tensor_error, tensor_flags, tensor_flag_rates, fault_windows, score_matrix, score_matrix_all, cp_als, detector)}
 
 _BASE = """c as (select user_id % 20 as machine, event_type as sensor, cast(date_diff('day', date '2024-01-01', cast(ts as date)) as bigint) as t, sum(value) as value from events where value is not null group by 1, 2, 3),
 g as (select avg(value) as m from c), a as (select machine, avg(value) as a from c group by 1), b as (select sensor, avg(value) as b from c group by 1), k as (select t, avg(value) as k from c group by 1),
@@ -83,6 +88,7 @@ ORACLE_SQL = {
     "tensor_flag_rates": f"with {_FLAG} select round(avg(cast(is_anomaly as double)), 6) as flag_rate, round(avg(score), 6) as mean_score, round(quantile_cont(score, 0.95), 6) as p95_score, (select machine from f order by score desc, machine, t limit 1) as peak_machine from f",
     "fault_windows": f"with {_FLAG}, w as (select n_nationkey % 20 as machine, n_nationkey as t_start, n_nationkey + 5 as t_end, n_name as type from nation) select cast(w.machine as bigint) as machine, cast(t_start as bigint) as t_start, cast(t_end as bigint) as t_end, type, round(max(score), 6) as max_score, count(*) filter (where is_anomaly) as n_flagged from w left join f on w.machine = f.machine and f.t >= t_start and f.t < t_end group by 1, 2, 3, 4",
     "score_matrix": f"with {_BASE} select machine, " + ", ".join(f"round(max(score) filter (where t = {k}), 6) as t{k}" for k in range(4)) + " from s where t < 4 group by machine",
+    "score_matrix_all": f"with {_BASE} select machine, list(t order by t) as steps, list(round(score, 6) order by t) as scores from s group by machine",
     "detector": """with c as (select user_id % 20 as machine, event_type as sensor, cast(date_diff('day', date '2024-01-01', cast(ts as date)) as bigint) as t, sum(value) as value from events where value is not null group by 1, 2, 3),
 o as (select * from c where t < 20), g as (select avg(value) as m from o), a as (select machine, avg(value) as a from o group by 1), b as (select sensor, avg(value) as b from o group by 1),
 r as (select machine, t, value, value - a * b / m as e from c join a using (machine) join b using (sensor), g),

@@ -145,3 +145,11 @@ def test_snapshots_and_csv(spark, tmp_path):
     assert store.load("a").count() == 5 and [r["name"] for r in store.list().collect()] == ["a", "b"]
     export_csv({"x": spark.range(2)}, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv/x")).count() == 2
+
+
+def test_score_rows_hold_every_step(spark):
+    from driftwell.operators import tensor
+
+    scored = spark.createDataFrame([(m, t, m + t / 100) for m in range(3) for t in range(40) if (m, t) != (1, 7)], "machine long, t long, score double")
+    rows = {r["machine"]: dict(zip(r["steps"], r["scores"], strict=True)) for r in tensor.score_rows(scored).collect()}
+    assert {(m, t): s for m, r in rows.items() for t, s in r.items()} == {(r["machine"], r["t"]): r["score"] for r in scored.collect()}

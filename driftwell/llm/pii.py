@@ -40,8 +40,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CUE = re.compile(r"[0-9@+]")
-_DOT = re.compile(r"(?<!\S)[(\[]?dot[)\]]?(?!\S)")
+_DOT = re.compile(r"(?<!\S)[(\[]?dot[)\]]?(?!\S)|[(\[](?:at|dot)[)\]]", re.I)
 _SPELLED = re.compile(r"\S+\s+[(\[]?at[)\]]?\s+\S+(?:\s+[(\[]?dot[)\]]?\s+\S+)*\s+[(\[]?dot[)\]]?\s+(?:com|org|net|edu|gov|info|io|[a-z]{2})", re.I)
+_LABEL, _DOTS, _TOP = r"[^\s()\[\].]+", r"(?:\s*[(\[]dot[)\]]\s*|\s+dot\s+)", r"(?:com|org|net|edu|gov|info|io|[a-z]{2})"
+_MIXED = rf"{_LABEL}(?:(?:{_DOTS}|\.){_LABEL})*"
+#: With brackets instead of spaces, or stops of which some are spelled.
+_BRACKETED = re.compile(rf"[^\s()\[\]]+(?:\s*[(\[]at[)\]]\s*{_MIXED}(?:{_DOTS}|\.)|\s+at\s+{_MIXED}{_DOTS}){_TOP}", re.I)
 _WORD = re.compile(r"\S+")
 _DIGITS = re.compile(r"[0-9]")
 #: Words on either side of a cue that the field reads too.
@@ -87,9 +91,10 @@ def base_spans(text: str) -> list[Span]:
 
 
 def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Chains of words (start, end): each word with a digit, an at or plus sign, or that is a spelled dot, and ``REACH`` words on either side."""
+    """Chains of words (start, end): each word with a digit, an at or plus sign, that is a spelled dot in any case or holds a bracketed at or dot, and ``REACH`` words on either side."""
     cues = [m.start() for m in _CUE.finditer(text)]
-    if "dot" in text:
+    low = text.lower()
+    if "dot" in low or "(at)" in low or "[at]" in low:
         cues = sorted([*cues, *(m.start() for m in _DOT.finditer(text))])
     out: list[list[tuple[int, int]]] = []
     done, k, any_cue = 0, 0, False
@@ -127,7 +132,7 @@ def windows(text: str) -> list[list[tuple[int, int]]]:
 
 
 #: Words that tell something about their neighbours.
-CUE_WORDS = frozenset("phone tel mobile fax call dial text reach contact mail email e-mail write address at dot (at) (dot) ssn social security card visa pay number no server host ip connect from version chapter page section figure room year in license isbn".split())
+CUE_WORDS = frozenset("phone tel mobile fax call dial text reach contact mail email e-mail write address at dot (at) (dot) [at] [dot] ssn social security card visa pay number no server host ip connect from version chapter page section figure room year in license isbn".split())
 
 
 def shape(word: str) -> str:
@@ -250,7 +255,7 @@ def plausible(kind: str, text: str) -> bool:
     """Whether marked words can be such an item at all."""
     d = digits_of(text)
     if kind == "email":
-        return "@" in text or _SPELLED.fullmatch(text) is not None
+        return "@" in text or _SPELLED.fullmatch(text) is not None or _BRACKETED.fullmatch(text) is not None
     if kind == "ip":
         m = _IP.search(text)
         return bool(m) and all(len(p) <= 3 and int(p) <= 255 for p in m[0].split("."))

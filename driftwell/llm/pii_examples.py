@@ -29,6 +29,18 @@ it is [email|max at lab dot org]
 they wrote to [email|zoe at club dot net]
 we looked at the dot and the line
 my new mail is [email|lee at home dot org] since may
+CONTACT [email|JANE AT EXAMPLE DOT COM] FOR MORE
+Write To [email|Tom At Mail Dot Example Dot Org] Today
+write [email|jane(at)example(dot)com] instead
+mail to [email|lee[at]example[dot]com] please
+contact [email|tom.ray[at]mail[dot]example[dot]org] or call
+it is [email|kim[at]club[dot]net]
+the and [email|bob.fox[at]post[dot]home[dot]org], of
+the of [email|eva.lin(at)post(dot)home(dot)edu] and the
+her address [email|sue(at)mail(dot)firm(dot)net] works
+ask for it from [email|max (at) school.edu] by noon
+they wrote to [email|zoe(at)lab.org] since may
+send the form to [email|ann [at] office [dot] net] now
 the and [email|54@mail3.example.com] of the
 e-mail [email|info@localhost] only
 server [ip|192.168.10.24] is down
@@ -78,10 +90,15 @@ temperature of 21.5 or 22.75 degrees
 1000000 rows and 64 columns
 the dot at the end of the line
 look at the dot on the map
+they stare at the dot on a page
+you look at a dot in the sky
+he points at one dot at the end
+call f(at) and g[dot] in the code
+the list[at] of the and (dot) of
 the of and to in is was
 """.strip().splitlines()
 
-_MARK = re.compile(r"\[(\w+)\|([^\]]*)\]")
+_MARK = re.compile(r"\[(\w+)\|((?:[^\[\]]|\[\w+\])*)\]")
 
 
 def labelled() -> list[tuple[str, list[tuple[str, int, int]]]]:

@@ -113,6 +113,17 @@ def test_field_learns_its_table_and_leaves_clean_text_alone():
     assert all(not b + m for b, m in pii.found(clean, field))
 
 
+@pytest.mark.parametrize("address", ["MARY AT TEST DOT ORG", "Mary At Test Dot Org", "mary[at]test[dot]org", "mary(at)test(dot)org", "MARY[AT]TEST[DOT]ORG", "mary.poe[at]mail[dot]test[dot]org", "mary [at] test [dot] org", "mary(at)test.org", "mary (at) test.org"])
+def test_spelled_addresses_in_any_form(address):
+    field = pii.train(pii_examples.labelled())
+    for text in (f"mail to {address} or wait", f"the of {address}, and", f"write {address}"):
+        (base, more), at = pii.found([text], field)[0], text.index(address)
+        assert base + more == [("email", at, at + len(address))]
+        assert pii.redact(text, base + more) == text.replace(address, "[EMAIL]")
+    clean = ["LOOK AT THE DOT AND THE LINE", "Look At The Dot On The Map", "x[at] y(dot) z", "see f(at) or g[dot] there", "values[at][dot] of the"]
+    assert all(not b + m for b, m in pii.found(clean, field))
+
+
 def test_pii_awkward_rows(docs):
     rows = {r["doc_id"]: r for r in pii.find_spans(docs).collect()}
     assert rows[1]["base"] == [] and [s["kind"] for s in rows[9]["base"]] == ["email", "phone"]

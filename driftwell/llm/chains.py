@@ -38,3 +38,28 @@ def viterbi(emit: list[np.ndarray], first: np.ndarray, steps: np.ndarray, cells:
             out[i] = path[k, : lengths[k]]
         at = end
     return out
+
+
+def best_steps(emit: np.ndarray, entry: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """(states, states): the best score of a way through all places, from each state before them to each state at the last.
+
+    ``entry``: log scores from each state before the first place to each state at it.
+    """
+    best = entry + emit[0]
+    for e in emit[1:]:
+        best = (best[:, :, None] + steps[None]).max(1) + e
+    return best
+
+
+def best_between(emit: np.ndarray, first: np.ndarray, steps: np.ndarray, last: int) -> np.ndarray:
+    """The likeliest states of one chain that ends in state ``last``; ties go to the lower state."""
+    score, back = first + emit[0], np.zeros(emit.shape, np.int8)
+    for j in range(1, len(emit)):
+        moves = score[:, None] + steps
+        back[j] = moves.argmax(0)
+        score = moves.max(0) + emit[j]
+    path = np.zeros(len(emit), np.int8)
+    path[-1] = last
+    for j in range(len(emit) - 1, 0, -1):
+        path[j - 1] = back[j, path[j]]
+    return path

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from driftwell.sources.shared import materialise
 from driftwell.sources.shipping import ship
 
-__all__ = ["BoundedCache", "component_labels", "materialise", "on_executors", "slices", "table", "text_of"]
+__all__ = ["BoundedCache", "component_labels", "join_often", "materialise", "on_executors", "slices", "smallest_hashes", "table", "text_of", "with_least"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,29 +51,60 @@ def slices(batch, rows: int = 512) -> Iterator:
         yield batch.slice(start, rows)
 
 
-def component_labels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
+def smallest_hashes(df: DataFrame, key: str, n: int, limit: int, seed: int = 0) -> DataFrame:
+    """The ``limit`` rows of a table of ``n`` with the smallest hashes of ``key``, which should be unique.
+
+    A bound on the hash, from the count, leaves little more than ``limit`` rows to be sorted. Should it leave fewer,
+    which a table of few different keys can bring about, all rows are sorted.
+    """
+    h = F.xxhash64(key, F.lit(seed))
+    if n > 2 * limit:
+        below = int(-(1 << 63) + (1 << 64) * min(1.0, (limit + 8 * limit**0.5 + 64) / n))
+        few = df.where(h < below)
+        if few.count() >= limit:
+            df = few
+    return df.orderBy(h, key).limit(limit)
+
+
+def join_often(rows: DataFrame, told: DataFrame, keys: list[str], often: str, n: int, how: str = "inner") -> DataFrame:
+    """``rows``, about ``n`` of them, joined with ``told``, which has each key once and in ``often`` the number of rows that it meets.
+
+    Keys of over 1/50,000 of the rows are at most 50,000; they come by broadcast, so that no task gathers the
+    rows of a common key. The others are joined by shuffle, or as Spark decides. ``often`` is not part of the result.
+    """
+    most = max(1000, n // 50_000)
+    columns = [*rows.columns, *(c for c in told.columns if c not in (*keys, often))]
+    marked = rows.join(F.broadcast(told.where(F.col(often) > most).withColumn("_hot", F.lit(True))), keys, "left")
+    others = marked.where("_hot is null").select(*rows.columns).join(told.where(F.col(often) <= most), keys, how)
+    return marked.where("_hot").select(*columns).unionByName(others.select(*columns))
+
+
+def with_least(rows: DataFrame, n: int, least: int = 1) -> DataFrame:
+    """(u, v, m) from (u, v) of about ``n`` rows: m is the least v of each u that has ``least`` rows or more."""
+    low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+    return join_often(rows, low.where(F.col("k") >= least), ["u"], "k", n)
+
+
+def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a long, b long): rows (node, component = smallest member).
 
-    Large-star and small-star in turn (Kiveris et al. 2014): each round costs
-    two shuffles and leaves at most as many edges as before; a hub is only
-    ever grouped by ``min`` with map-side combining, so no task holds its
-    neighbours. Null ends and loops are ignored; an empty table gives no rows.
+    Large-star and small-star in turn (Kiveris et al. 2014): each round leaves at most as many edges as
+    before. Least neighbours are found by ``min`` with map-side combining, and given to a hub's edges by
+    broadcast (``with_least``), so that no task holds a hub's neighbours. Null ends and loops are ignored; an empty table gives no rows.
     """
     pairs = materialise(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    signature = None
+    signature, n = None, pairs.count()
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
-            both.where("v > u").join(low, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            with_least(both, 2 * n).where("v > u")
+            .select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
         )
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low2, "u")
+            with_least(large, 2 * n)
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v").where("u <> v").distinct()
         )
@@ -81,7 +112,7 @@ def component_labels(edges: DataFrame, nodes: DataFrame | None = None, max_round
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == signature:
             break
-        signature = tuple(now)
+        signature, n = tuple(now), now[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     labels = pairs.groupBy("u").agg(F.min("v").alias("component"))

@@ -4,11 +4,13 @@ Documents become pieces of at most ``capacity`` tokens. Cells of about
 ``CELL_PIECES`` pieces are packed side by side by best-fit decreasing. Dual-feasible
 functions bound the bins that a cell needs from below: a cell that meets its
 bound is certified, and only its emptiest bin goes on; in any other cell every
-bin with a gap goes on. What goes on is dealt to fewer cells, of twice the
-size each round, and packed anew, until one cell holds it or a round saves nothing.
+bin with a gap goes on. What goes on is dealt anew to cells, of twice the
+size each round up to ``MAX_CELL`` pieces, and packed again, until one cell holds it or a round of the largest cells saves
+less than ``LEAST_SAVED`` of the bins that it packs. The same functions over the lengths of all pieces bound the
+whole result; ``bound`` is a column of it, so that its gap can be told.
 
 A null or empty text has the end token alone. Repeated rows are packed as
-often as they occur. An empty table gives no rows. Columns other than the id
+often as they occur, and rows without an id like any other. An empty table gives no rows. Columns other than the id
 and the text are ignored.
 """
 
@@ -30,11 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import BoundedCache, materialise, on_executors, slices, table, text_of
 
-CELL_PIECES = 16_384
+CELL_PIECES, MAX_CELL, LEAST_SAVED = 4096, 65_536, 1e-4
 #: A stop or comma that ends a part and belongs to a longer run of marks.
 MARKS = re.compile(r"(?:[^\w\s]|_)[.,] ")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = f"{PIECE}, cell int, bin int, offset long, fill long, n_bins int, bound int"
+PACKED = f"{PIECE}, no_id boolean, cell int, bin int, offset long, fill long, n_bins int, bound int"
 
 
 class WordIds:
@@ -127,8 +129,8 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 4096
     return on_executors(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t")).mapInArrow(run, PIECE)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Bins that no packing can do without, by dual-feasible functions.
+def lower_bound(lengths: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
+    """Bins that no packing can do without, by dual-feasible functions; each length counts ``times`` times.
 
     Sums of sizes; for each threshold t up to half of the capacity, sizes over capacity - t count as a
     whole bin and those below t as nothing; and for each k, the rounding
@@ -137,7 +139,7 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """
     if not len(lengths):
         return 0
-    x, n = np.unique(np.asarray(lengths, np.int64), return_counts=True)
+    x, n = np.unique(np.asarray(lengths, np.int64), return_counts=True) if times is None else (np.sort(lengths), times[np.argsort(lengths)])
     best = -(-int((x * n).sum()) // capacity)
     total, items = np.cumsum(x * n), np.cumsum(n)
     for t in np.unique(np.concatenate([x[x <= capacity // 2], [capacity // 2]])):
@@ -182,7 +184,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pack_cells(pieces: DataFrame, cells: int, seed: int, capacity: int) -> DataFrame:
-    """Each cell packed by itself, with its bin count and lower bound."""
+    """Each cell packed by itself, with its bin count and lower bound. A missing id is 0 with ``no_id``, for a null would make pandas' ids floats."""
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
@@ -196,15 +198,23 @@ def pack_cells(pieces: DataFrame, cells: int, seed: int, capacity: int) -> DataF
     return on_executors(dealt).groupBy("cell").applyInPandas(pack, PACKED)
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, rounds: int = 6, cell_pieces: int = CELL_PIECES) -> DataFrame:
-    """(piece columns, sequence_id, offset): every piece placed in a sequence of ``capacity``."""
-    done, todo = [], materialise(pieces)
-    before = None
-    for k in range(rounds):
-        cells = max(1, math.ceil(todo.count() / (cell_pieces << k)))
-        packed = materialise(pack_cells(todo, cells, 17 + k, capacity)).withColumn("sequence_id", F.expr(f"{k}L * (1L << 58) + cell * (1L << 24) + bin"))
+def total_bound(pieces: DataFrame, capacity: int) -> int:
+    """The sequences that no packing of all pieces can do without, from the counts of their at most ``capacity`` lengths."""
+    counts = pieces.groupBy("length").agg(F.count("*").alias("n")).toPandas()
+    return lower_bound(counts["length"].to_numpy(np.int64), capacity, counts["n"].to_numpy(np.int64))
+
+
+def pack(pieces: DataFrame, capacity: int = 4096, cell_pieces: int = CELL_PIECES) -> DataFrame:
+    """(piece columns, sequence_id, offset, bound): every piece placed in a sequence of ``capacity``; ``bound`` is that of all pieces."""
+    own = ["doc_id", "piece", "start", "length", "ids_crc32", "no_id"]
+    todo = materialise(pieces.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).select(*own))
+    done, before, bound = [], None, total_bound(todo, capacity)
+    for k in range(64):
+        size = min(cell_pieces << k, max(MAX_CELL, cell_pieces))
+        cells = max(1, math.ceil(todo.count() / size))
+        packed = materialise(pack_cells(todo, cells, 17 + k, capacity)).withColumn("sequence_id", F.expr(f"{k}L * (1L << 57) + cell * (1L << 24) + bin"))
         bins = packed.groupBy("cell", "bin").agg(F.max("fill").alias("fill"), F.max("n_bins").alias("n_bins"), F.max("bound").alias("bound"))
-        if cells == 1 or k == rounds - 1 or before is not None and bins.count() >= before:
+        if cells == 1 or size >= MAX_CELL and before is not None and before - bins.count() < max(1, before * LEAST_SAVED):
             done.append(packed)
             break
         emptiest = bins.groupBy("cell").agg(F.min_by("bin", F.struct("fill", "bin")).alias("least"))
@@ -215,9 +225,9 @@ def pack(pieces: DataFrame, capacity: int = 4096, rounds: int = 6, cell_pieces:
         )
         split = materialise(packed.join(going, ["cell", "bin"], "left"))
         done.append(split.where("goes is null"))
-        todo = split.where("goes").select("doc_id", "piece", "start", "length", "ids_crc32")
+        todo = split.where("goes").select(*own)
         before = going.count()
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    columns = [F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", F.lit(bound).cast("long").alias("bound")]
     out = done[0].select(*columns)
     for more in done[1:]:
         out = out.unionByName(more.select(*columns))

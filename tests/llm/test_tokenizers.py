@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from driftwell.llm import bpe, packing, token_counts
 
+SF = "/root/testdata/sf0.001"
 PIECES = ["a", "b", "the", " ", "  ", "\n", "\t", "é", "▁", "0123", "'ll", "'s", "日本", "🙂", "́", "​", "\x1c", "\x85", "　", "<|endoftext|>", "<s>", "!!", "?.", "X" * 300, "Σς", "İ"]
 
 
@@ -96,7 +97,7 @@ def check_packing(rows, capacity):
     return len(by)
 
 
-@pytest.mark.parametrize("capacity, cell", [(64, 50), (4096, 100_000)])
+@pytest.mark.parametrize("capacity, cell", [(64, 50), (4096, 100_000), (100, 64)])
 def test_packing(spark, capacity, cell):
     rng = random.Random(capacity)
     rows = [(k, 0, 0, rng.randint(1, capacity), 0) for k in range(400)] + [(1, 0, 0, capacity // 2, 0)] * 40
@@ -104,7 +105,64 @@ def test_packing(spark, capacity, cell):
     out = packing.pack(df, capacity, cell_pieces=cell).collect()
     assert sorted(tuple(r[:5]) for r in out) == sorted(rows)
     n, bound = check_packing(out, capacity), packing.lower_bound(np.array([r[3] for r in rows]), capacity)
-    assert bound <= n <= bound * 1.04 + 1
+    assert bound <= n <= bound * 1.04 + 1 and {r["bound"] for r in out} == {bound}
+
+
+def test_packing_keeps_large_ids_beside_missing_ones(spark):
+    big = 9007199254740993
+    rows = [(None, 0, 0, 10, 5), (None, 0, 0, 10, 5), *((big + k, 0, 0, 1 + k, k) for k in range(8)), (-5, 0, 0, 3, 1)]
+    out = packing.pack(spark.createDataFrame(rows, packing.PIECE), 16).collect()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in out) == sorted((r[0] or 0, r[3]) for r in rows)
+    assert sum(r["doc_id"] is None for r in out) == 2
+    check_packing(out, 16)
+
+
+@pytest.mark.parametrize("sizes, bins", [([6, 5, 5, 4, 3, 3, 2, 2, 2], 4), ([9, 9, 9], 3), ([4, 4, 4, 4], 2), ([], 0)])
+def test_packing_is_optimal_where_the_bound_is_met(spark, sizes, bins):
+    rows = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(sizes)], packing.PIECE)
+    out = packing.pack(rows, 10, cell_pieces=3).collect()
+    assert check_packing(out, 10) == bins and all(r["bound"] <= bins for r in out)
+
+
+def test_op9_query_equals_library(spark):
+    """Every contract column of the registered query, document by document, from the library's own ids."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    lib.no_truncation(), lib.no_padding()
+    rows = packing.op9_packing(spark, SF).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["doc_id"], []).append(r)
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert set(by) == set(docs)
+    for d, text in docs.items():
+        ids = [*lib.encode(text, add_special_tokens=False).ids, 1]
+        want = [(k, a, len(ids[a : a + 4096]), zlib.crc32(np.array(ids[a : a + 4096], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
+        assert sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in by[d]) == want
+    n = check_packing(rows, 4096)
+    bound = {r["bound"] for r in rows}
+    assert len(bound) == 1 and min(bound) <= n <= 1.01 * min(bound) + 1
+
+
+def test_op4_and_op10_queries_equal_libraries(spark):
+    import hashlib
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    lib, pieces = Tokenizer.from_file(P.path("byte_bpe_50k.json")), sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    lib.no_truncation(), lib.no_padding()
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in bpe.op4_bpe(spark, SF).collect()}
+    counts = {r["doc_id"]: r for r in token_counts.op10_token_counts(spark, SF).collect()}
+    assert set(got) == set(counts) == set(docs)
+    for d, text in docs.items():
+        ids = lib.encode(text, add_special_tokens=False).ids
+        back = lib.decode(ids, skip_special_tokens=False)
+        assert (got[d]["n_tokens"], got[d]["ids_sha256"], got[d]["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+        n = len(pieces.encode(text))
+        assert (counts[d]["n_bytes"], counts[d]["n_tokens"], counts[d]["over_limit"]) == (len(text.encode()), n, n > 4096)
 
 
 def test_lower_bound_never_exceeds_the_optimum():

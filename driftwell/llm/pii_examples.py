@@ -95,16 +95,43 @@ you look at a dot in the sky
 he points at one dot at the end
 call f(at) and g[dot] in the code
 the list[at] of the and (dot) of
+call the office at [phone|5551234567] or write
+please phone [phone|4155550134] today
+her phone number is [phone|2125550187] now
+text [phone|9175550122] and wait
+tel [phone|3125550166] is open
+call me on [phone|6175550148] any time
+write [email|bob [at] corp [dot] com] instead
+mail to [email|amy [at] firm [dot] org] please
+it is [email|joe [at] mail [dot] home [dot] net] since may
+CONTACT [email|BOB AT FIRM DOT NET] OR CALL
+HER ADDRESS IS [email|EVA AT CLUB DOT ORG]
+my ssn is [ssn|321549876] on the form
+the social security number [ssn|456 78 9123] he gave
+ssn [ssn|612-34-5678] was sent
+id 987654321 of the list
+the id 123456789 was used
+number 246813579 in the table
+account 555443333 was closed
+order 4155550134 was shipped
+ticket 5551234567 is open
+row 2125550187 of the table
+part no. 312-55-0192 of the set
+invoice 2023-0012345 was paid
+serial 900123456 on the box
+the population was 331449281 in may
+it took 1234567890 steps to end
+of 8005550199 rows in the and
 the of and to in is was
 """.strip().splitlines()
 
 _MARK = re.compile(r"\[(\w+)\|((?:[^\[\]]|\[\w+\])*)\]")
 
 
-def labelled() -> list[tuple[str, list[tuple[str, int, int]]]]:
+def labelled(rows: list[str] = ROWS) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """(text, spans as (kind, start, end)) for each row."""
     out = []
-    for row in ROWS:
+    for row in rows:
         text, spans, at = "", [], 0
         for m in _MARK.finditer(row):
             text += row[at : m.start()]

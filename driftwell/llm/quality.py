@@ -28,7 +28,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_of
+from .common import materialise, smallest_hashes, table, text_of
 
 FIT_ROWS = 40_000
 THRESHOLD = 0.7
@@ -144,11 +144,11 @@ def held_out(id_col: str) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> RuleEnsemble:
     """Rules from the labelled documents outside the held-out quarter, at most ``fit_rows`` labels of them."""
-    marks = (
-        labels.select(F.col(id_col).cast("long").alias("key"), F.col(label_col).alias("label")).where(~held_out("key") & F.col("label").isin(0, 1))
+    marks = materialise(
+        labels.select(F.col(id_col).cast("long").alias("key"), F.col(label_col).alias("label")).where(F.col("key").isNotNull() & ~held_out("key") & F.col("label").isin(0, 1))
         .groupBy("key").agg(F.max("label").cast("double").alias("y"))
-        .orderBy(F.xxhash64("key", F.lit(SEED)), "key").limit(fit_rows)
     )
+    marks = smallest_hashes(marks, "key", marks.count(), fit_rows, SEED)
     # Bounded by fit_rows, so that the texts need no shuffle.
     texts = docs.select(F.col(id_col).cast("long").alias("key"), text_of(text_col).alias("t"))
     return fit(materialise(texts.join(F.broadcast(marks), "key").select("y", statistics(F.col("t")).alias("s"))))

@@ -13,8 +13,12 @@ collisions. Small components are dealt out together; a large one is cut into
 blocks of bounded size, and each pair of blocks is one unit of work. A unit
 returns one row for each of its classes, not its pairs.
 
+The n-grams of candidates are read from the texts a second time. Which texts these are is told by
+a table of bits of fixed size, broadcast to that reading, so that only candidates' n-grams are shuffled, not texts.
+
 A null text counts as empty. Documents without words link with nothing. An
-empty table gives no rows. Repeated rows count as further copies. Columns
+empty table gives no rows. Repeated rows count as further copies. Rows without an id link and are linked like any other;
+their class is the smallest id that links reach, and null where they reach none. Columns
 other than the id and the text are ignored.
 """
 
@@ -27,17 +31,19 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import component_labels, materialise, on_executors, slices, table, text_of
+from .common import component_labels, join_often, materialise, on_executors, slices, table, text_of, with_least
 
 N_WORDS, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.999, 128
 #: A block holds about so many n-grams and classes; a larger component is cut into several.
 BLOCK_NGRAMS, BLOCK_CLASSES = 1_500_000, 512
 #: Components of one block are dealt out in units of about so many n-grams.
 UNIT_NGRAMS = 250_000
-#: Up to so many candidates' ids (16 bytes each) are broadcast to the second reading of the texts.
+#: Words of 64 bits in the table that tells candidates to the second reading: 67 million bits, whatever the number of documents.
+BIT_WORDS = 1 << 20
+#: Up to so many ids (16 bytes each) are broadcast to the table that they are taken out of.
 BROADCAST_IDS = 500_000
 WRAP = 1 << 64
 
@@ -154,36 +160,53 @@ def band_hashes(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int, c
     return out
 
 
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, t): ``key`` is a hash of id and text, the same in every reading."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
+    return texts.select("doc_id", F.xxhash64("doc_id", "t").alias("key"), "t")
+
+
 def signatures(docs: DataFrame, bands: int, rows: int, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, grams, bands): class key, n-gram count and band hashes of each text."""
+    """(doc_id, key, node, grams, bands): row key, class key, n-gram count and band hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                h, starts = ngrams(part.column(1).to_pylist(), n)
+                h, starts = ngrams(part.column(2).to_pylist(), n)
                 found = band_hashes(h, starts, bands, rows).view(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, bands, dtype=np.int32), found.ravel())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_class_keys(h, starts).view(np.int64)), pa.array(np.diff(starts)), lists], ["doc_id", "node", "grams", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_class_keys(h, starts).view(np.int64)), pa.array(np.diff(starts)), lists], ["doc_id", "key", "node", "grams", "bands"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
-    return on_executors(texts).mapInArrow(run, "doc_id long, node long, grams long, bands array<long>")
+    return on_executors(keyed_texts(docs, id_col, text_col)).mapInArrow(run, "doc_id long, key long, node long, grams long, bands array<long>")
+
+
+def bit_of(key: str) -> tuple[Column, Column]:
+    """(word, bit) of a key in the table of bits."""
+    h = F.xxhash64(key, F.lit(29))
+    return F.pmod(h, F.lit(BIT_WORDS)), F.shiftright(h, 32).bitwiseAND(F.lit(63)).cast("int")
 
 
-def gram_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, set): the sorted distinct n-gram hashes of each class in ``wanted`` (node, doc_id), read from the texts again."""
+def bit_table(keys: DataFrame, key: str = "key") -> DataFrame:
+    """(word, bits): at most ``BIT_WORDS`` rows that have each key's bit set."""
+    word, bit = bit_of(key)
+    return keys.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+
+
+def gram_sets(docs: DataFrame, bits: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """(key, node, set): the sorted distinct n-gram hashes of the texts whose key's bit is set, and of few others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 256):
-                h, starts = ngrams(part.column(2).to_pylist(), n)
-                own = _class_keys(h, starts).view(np.int64)
-                keep = np.flatnonzero(own == part.column(1).to_numpy())
-                sets = [np.unique(h[starts[k] : starts[k + 1]]).tobytes() for k in keep]
-                yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(sets, pa.binary())], ["node", "set"])
+                h, starts = ngrams(part.column(1).to_pylist(), n)
+                sets = [np.unique(h[starts[k] : starts[k + 1]]).tobytes() for k in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_class_keys(h, starts).view(np.int64)), pa.array(sets, pa.binary())], ["key", "node", "set"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t"))
-    picked = texts.join(wanted.select("doc_id", "node"), "doc_id").select("doc_id", "node", "t")
-    return on_executors(picked).mapInArrow(run, "node long, set binary")
+    word, bit = bit_of("key")
+    texts = keyed_texts(docs, id_col, text_col).withColumns({"word": word, "bit": bit})
+    # At most BIT_WORDS rows of 16 bytes.
+    picked = texts.join(F.broadcast(bits), "word").where(F.expr("(shiftrightunsigned(bits, bit) & 1L) = 1L")).select("key", "t")
+    return on_executors(picked).mapInArrow(run, "key long, node long, set binary")
 
 
 def compare(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -246,7 +269,7 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
     )
     total = sized.where("blocks = 1").agg(F.sum("grams")).first()[0] or 0
     groups = max(1, math.ceil(total / UNIT_NGRAMS))
-    placed = members.join(sized.select("component", "blocks"), "component")
+    placed = join_often(members, sized.select("component", "blocks", "n"), ["component"], "n", members.count())
     small = placed.where("blocks = 1").select(
         F.pmod(F.xxhash64("component"), F.lit(groups)).alias("unit"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), F.lit(True).alias("whole"), "component", "node", "copies", "set"
     )
@@ -259,19 +282,25 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
     return on_executors(small.unionByName(large)).groupBy("whole", "unit", "x", "y").applyInPandas(units, "node long, links long, root long, whole boolean")
 
 
-def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, n_links): the smallest id reachable by links, and the other documents linked directly."""
+def linked_rows(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, class_id, n_links, first_key, in_class) for each row.
+
+    ``first_key``: the row key of the class's first row, that of the smallest id (rows without an id come last) and then of the smallest key;
+    ``in_class``: the class's rows. Both are null for rows without words.
+    """
     bands, rows = bands_for(threshold, recall)
     sigs = materialise(signatures(docs, bands, rows, n, id_col, text_col))
-    classes = materialise(sigs.where("grams > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")))
-    band = classes.select("node", F.explode("bands").alias("band"))
-    meets = band.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1").select("band", "low")
-    edges = band.join(meets, "band").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    # Of a class the row with the smallest id is read again; one without an id only where no row has one.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    classes = materialise(sigs.where("grams > 0").groupBy("node").agg(first, F.count("*").alias("copies"), F.any_value("bands").alias("bands")).select("node", "first.doc_id", "first.key", "copies", "bands"))
+    band = classes.select(F.explode("bands").alias("u"), F.col("node").alias("v"))
+    n_classes = classes.count()
+    edges = with_least(band, n_classes * bands, 2).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     labels = materialise(component_labels(edges))
-    wanted = materialise(classes.select("node", "doc_id", "copies").join(labels, "node"))
-    few = wanted.count() <= BROADCAST_IDS
-    sets = gram_sets(docs, F.broadcast(wanted) if few else wanted, n, id_col, text_col).dropDuplicates(["node"])
-    members = sets.join(wanted.select("node", "component", "copies"), "node")
+    wanted = materialise(classes.select("node", "key", "copies").join(labels, "node"))
+    sets = gram_sets(docs, bit_table(wanted), n, id_col, text_col)
+    # Equal rows without an id share a key, so that one of them is enough.
+    members = sets.join(wanted, ["node", "key"]).groupBy("node").agg(F.any_value("component").alias("component"), F.any_value("copies").alias("copies"), F.any_value("set").alias("set"))
     found = materialise(verified(materialise(members), threshold))
     # A component of one unit is settled there; the others' roots are joined across units.
     across = found.where(~F.col("whole"))
@@ -279,28 +308,32 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     links = found.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     if joined is not None:
         links = links.join(joined, "node", "left").select("node", "links", F.coalesce("component", "root").alias("root"))
-    whole = materialise(classes.select("node", "doc_id", "copies").join(links, "node", "left").select("node", "doc_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")))
-    names = whole.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = whole.join(names, "root").select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return sigs.join(named, "node", "left").select(
-        F.col("doc_id").alias(id_col), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    whole = materialise(classes.select("node", "doc_id", "key", "copies").join(links, "node", "left").select("node", "doc_id", "key", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")))
+    names = whole.groupBy("root").agg(first, F.sum("copies").alias("in_class"), F.count("*").alias("k")).select("root", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("first_key"), "in_class", "k")
+    named = materialise(join_often(whole.select("root", "node", "links", "copies"), names, ["root"], "k", n_classes).select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "first_key", "in_class", "copies"))
+    rows_of = join_often(sigs.where("grams > 0").select("doc_id", "key", "node"), named, ["node"], "copies", sigs.count())
+    wordless = sigs.where("grams = 0").select("doc_id", "key", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("first_key"), F.lit(None).cast("long").alias("in_class"))
+    return rows_of.select(*wordless.columns).unionByName(wordless).withColumn("class_id", F.coalesce("class_id", "doc_id"))
 
 
-def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that ``classes`` (id, class_id) puts behind another id.
+def join_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = N_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, n_links): the smallest id reachable by links, and the other documents linked directly."""
+    found = linked_rows(docs, threshold, recall, n, id_col, text_col)
+    return found.select(F.col("doc_id").alias(id_col), "class_id", "n_links")
 
-    An id goes if each of its rows has another id for its class. Equal rows of one id become one.
-    Rows without an id stay.
-    """
-    rows = classes.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.bool_and(F.col(id_col) != F.col("class_id")).alias("goes"), F.count("*").alias("n"))
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first row of each class of ``linked_rows``; equal rows of one id become one. Rows without words or id stay."""
+    rows = found.where("in_class > 1 or in_class is null and doc_id is not null").groupBy("key").agg(F.any_value(F.col("key") != F.col("first_key")).alias("goes"), F.count("*").alias("n"))
     rows = materialise(rows.where("goes or n > 1"))
-    gone, twice = rows.where("goes").select(id_col), rows.where("not goes").select(id_col)
+    gone, twice = rows.where("goes").select("key"), rows.where("not coalesce(goes, false)").select("key")
     few = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti")
+    key = F.xxhash64(F.col(id_col).cast("long"), text_of(text_col))
+    marked = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"))
+    kept = marked.join(F.broadcast(gone) if few else gone, "key", "left_anti")
     if twice.head(1):
-        kept = kept.join(twice, id_col, "left_anti").unionByName(kept.join(twice, id_col, "left_semi").dropDuplicates([id_col, text_col]))
-    return kept.select(docs.columns)
+        kept = kept.join(twice, "key", "left_anti").unionByName(kept.join(twice, "key", "left_semi").dropDuplicates(["key"]))
+    return kept.select("row.*")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

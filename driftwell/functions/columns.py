@@ -62,6 +62,34 @@ def running_sums(df: DataFrame, group: list[str], order: str, sums: list[str]) -
     return joined.select(*df.columns, *((F.sum(c).over(inside) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums))
 
 
+def quantiles(summed: DataFrame, group: list[str], value: str, count: str, points: list[float]) -> DataFrame:
+    """(group, q): exact quantiles by linear interpolation, an array in the order of ``points``.
+
+    ``summed`` has each value of a group once, with its ``count`` and the running sum ``cum_<count>``, as
+    ``running_sums`` gives them: a row knows which ranks it holds, so that no task holds a group. Groups without a count have no row.
+    """
+    cum = F.col(f"cum_{count}")
+    totals = summed.groupBy(*group).agg(F.max(cum).alias("_n")).where("_n > 0")
+    held = summed.where(F.col(count) > 0).join(totals, group) if group else summed.where(F.col(count) > 0).crossJoin(totals)  # one row of totals
+    rank = lambda p: (F.col("_n") - 1) * F.lit(float(p))
+    holds = lambda k: (k >= cum - F.col(count)) & (k < cum)
+    at = F.array_compact(F.array(*(
+        F.when(holds(F.floor(rank(p))) | holds(F.ceil(rank(p))), F.struct(
+            F.lit(i).alias("i"), (rank(p) - F.floor(rank(p))).alias("part"),
+            F.when(holds(F.floor(rank(p))), F.col(value)).alias("lo"), F.when(holds(F.ceil(rank(p))), F.col(value)).alias("hi")))
+        for i, p in enumerate(points)
+    )))
+    found = held.select(*group, F.explode(at).alias("x")).groupBy(*group, "x.i").agg(F.max("x.part").alias("part"), F.max("x.lo").alias("lo"), F.max("x.hi").alias("hi"))
+    each = found.select(*group, F.struct("i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("q")).alias("s"))
+    return each.groupBy(*group).agg(F.array_sort(F.collect_list("s")).alias("s")).select(*group, F.col("s.q").alias("q"))
+
+
+def quantiles_of(df: DataFrame, group: list[str], value: str, points: list[float]) -> DataFrame:
+    """(group, q): exact quantiles of a column's present values."""
+    ties = df.where(present(value)).groupBy(*group, F.col(value).cast("double").alias(value)).agg(F.count("*").alias("k"))
+    return quantiles(running_sums(ties, group, value, ["k"]), group, value, "k", points)
+
+
 def kolmogorov_p(statistic: Column, n: Column, m: Column) -> Column:
     """Asymptotic two-sided p-value; 1 below 0.2, where the series doesn't converge."""
     x = statistic * F.sqrt(n * m / (n + m))

@@ -7,10 +7,11 @@ skipped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwell.functions.columns import kolmogorov_p, long_values, numeric_columns, running_sums, shared_numeric_columns
+from driftwell.functions.columns import kolmogorov_p, long_values, numeric_columns, quantiles, quantiles_of, running_sums, shared_numeric_columns
+from driftwell.sources.shared import materialise
 
 PSI_WARNING, PSI_CRITICAL, KS_ALPHA, EMPTY_SHARE = 0.10, 0.20, 0.05, 1e-6
 REF, CUR = "reference", "current"
@@ -25,18 +26,28 @@ def sides(reference: DataFrame, current: DataFrame, features: list[str] | None =
 def column_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation and quartiles of each numeric column."""
     values = long_values(df, columns or numeric_columns(df))
-    return values.groupBy("feature").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-    ).select("feature", "n", "mean", "std", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"))
+    sums = values.groupBy("feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    quartiles = quantiles_of(values, ["feature"], "value", [0.25, 0.5, 0.75])
+    return sums.join(quartiles, "feature").select("feature", "n", "mean", "std", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"))
 
 
-def quantile_edges(values: DataFrame, bins: int = 10, accuracy: int | None = None) -> DataFrame:
-    """(feature, edges): distinct equal-frequency edges. ``accuracy`` takes percentile_approx, for values too many to be counted exactly."""
-    points = [k / bins for k in range(bins + 1)]
-    at = F.array(*map(F.lit, points))
-    found = F.percentile("value", at) if accuracy is None else F.percentile_approx("value", points, accuracy)
-    return values.groupBy("feature").agg(F.array_distinct(F.array_sort(found)).alias("edges"))
+def tie_table(values: DataFrame) -> DataFrame:
+    """(feature, value, r, c, cum_r, cum_c): each value once with its counts on both sides and their running sums, written once.
+
+    PSI, KS and means all follow from it, so that both sides are read a single time.
+    """
+    ties = values.groupBy("feature", "value").agg(F.count_if(F.col("side") == REF).alias("r"), F.count_if(F.col("side") == CUR).alias("c"))
+    return materialise(running_sums(ties, ["feature"], "value", ["r", "c"]))
+
+
+def edges_of(found: DataFrame) -> DataFrame:
+    """(feature, edges): distinct edges from quantiles."""
+    return found.select("feature", F.array_distinct(F.array_sort("q")).alias("edges"))
+
+
+def quantile_edges(values: DataFrame, bins: int = 10) -> DataFrame:
+    """(feature, edges): distinct equal-frequency edges."""
+    return edges_of(quantiles_of(values, ["feature"], "value", [k / bins for k in range(bins + 1)]))
 
 
 def bin_of(value: Column, edges: Column) -> Column:
@@ -46,55 +57,66 @@ def bin_of(value: Column, edges: Column) -> Column:
 
 def psi_from_counts(counts: DataFrame) -> DataFrame:
     """(feature, psi) from (feature, bin, n_ref, n_cur); an empty share counts as 1e-6."""
-    totals = counts.groupBy("feature").agg(F.sum("n_ref").alias("t_ref"), F.sum("n_cur").alias("t_cur"))
-    share = lambda n, t: F.when(F.col(n) > 0, F.col(n) / F.col(t)).otherwise(F.lit(EMPTY_SHARE))
-    expected, actual = share("n_ref", "t_ref"), share("n_cur", "t_cur")
+    # A feature has a row for each bin.
+    own = Window.partitionBy("feature")
+    share = lambda n: F.when(F.col(n) > 0, F.col(n) / F.sum(n).over(own)).otherwise(F.lit(EMPTY_SHARE))
+    shares = counts.select("feature", share("n_ref").alias("x"), share("n_cur").alias("a"))
     # Empty on both sides adds nothing, so that such bins need no row.
-    return counts.join(F.broadcast(totals), "feature").groupBy("feature").agg(F.sum((actual - expected) * F.log(actual / expected)).alias("psi"))
+    return shares.groupBy("feature").agg(F.sum((F.col("a") - F.col("x")) * F.log(F.col("a") / F.col("x"))).alias("psi"))
 
 
-def psi(values: DataFrame, bins: int = 10, accuracy: int | None = None) -> DataFrame:
+def psi(values: DataFrame, bins: int = 10) -> DataFrame:
     """(feature, psi) of (side, feature, value): edges from the reference; 0 with fewer than two edges."""
-    edges = quantile_edges(values.where(F.col("side") == REF), bins, accuracy)
-    binned = values.join(F.broadcast(edges), "feature")  # one row for each feature
+    return psi_of_ties(tie_table(values), bins)
+
+
+def psi_of_ties(ties: DataFrame, bins: int = 10) -> DataFrame:
+    edges = edges_of(quantiles(ties, ["feature"], "value", "r", [k / bins for k in range(bins + 1)]))
+    binned = ties.join(F.broadcast(edges), "feature")  # one row for each feature
     flat = edges.where(F.size("edges") < 2).select("feature", F.lit(0.0).alias("psi"))
-    counts = binned.where(F.size("edges") >= 2).groupBy("feature", bin_of(F.col("value"), F.col("edges")).alias("bin")).agg(
-        F.count_if(F.col("side") == REF).alias("n_ref"), F.count_if(F.col("side") == CUR).alias("n_cur")
-    )
+    counts = binned.where(F.size("edges") >= 2).groupBy("feature", bin_of(F.col("value"), F.col("edges")).alias("bin")).agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
     return psi_from_counts(counts).unionByName(flat)
 
 
 def ks(values: DataFrame) -> DataFrame:
     """(feature, n_ref, n_cur, ks, p): largest gap between the two empirical distributions."""
-    ties = values.groupBy("feature", "value").agg(F.count_if(F.col("side") == REF).alias("r"), F.count_if(F.col("side") == CUR).alias("c"))
-    totals = values.groupBy("feature").agg(F.count_if(F.col("side") == REF).alias("n_ref"), F.count_if(F.col("side") == CUR).alias("n_cur"))
-    summed = running_sums(ties, ["feature"], "value", ["r", "c"])
-    gaps = summed.join(F.broadcast(totals.where("n_ref > 0 and n_cur > 0")), "feature")
+    return ks_of_ties(tie_table(values))
+
+
+def ks_of_ties(ties: DataFrame) -> DataFrame:
+    totals = ties.groupBy("feature").agg(F.max("cum_r").alias("n_ref"), F.max("cum_c").alias("n_cur")).where("n_ref > 0 and n_cur > 0")
+    gaps = ties.join(F.broadcast(totals), "feature")  # one row for each feature
     found = gaps.groupBy("feature").agg(F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur"), F.max(F.abs(F.col("cum_r") / F.col("n_ref") - F.col("cum_c") / F.col("n_cur"))).alias("ks"))
     return found.withColumn("p", kolmogorov_p(F.col("ks"), F.col("n_ref"), F.col("n_cur")))
 
 
 def means(values: DataFrame) -> DataFrame:
     """(feature, reference_mean, current_mean, mean_shift_pct); the shift is against 1 where the reference mean is about 0."""
-    both = values.groupBy("feature").agg(F.avg(F.when(F.col("side") == REF, F.col("value"))).alias("reference_mean"), F.avg(F.when(F.col("side") == CUR, F.col("value"))).alias("current_mean"))
+    return means_of_ties(tie_table(values))
+
+
+def means_of_ties(ties: DataFrame) -> DataFrame:
+    counted = ties.groupBy("feature").agg(F.sum("r").alias("r"), F.sum("c").alias("c"), F.try_divide(F.sum(F.col("value") * F.col("r")), F.sum("r")).alias("reference_mean"), F.try_divide(F.sum(F.col("value") * F.col("c")), F.sum("c")).alias("current_mean"))
+    both = counted.where("r > 0 and c > 0").select("feature", "reference_mean", "current_mean")
     size = F.abs("reference_mean")
-    return both.where("reference_mean is not null and current_mean is not null").withColumn(
-        "mean_shift_pct", (F.col("current_mean") - F.col("reference_mean")) / F.when(size > 1e-9, size).otherwise(1.0) * 100
-    )
+    return both.withColumn("mean_shift_pct", (F.col("current_mean") - F.col("reference_mean")) / F.when(size > 1e-9, size).otherwise(1.0) * 100)
 
 
 def psi_severity(value: Column) -> Column:
     return F.when(value >= PSI_CRITICAL, "critical").when(value >= PSI_WARNING, "warning").otherwise("none")
 
 
-def feature_drift(reference: DataFrame, current: DataFrame, features: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
+def feature_drift(reference: DataFrame, current: DataFrame, features: list[str] | None = None) -> DataFrame:
     """Two rows for each feature, by PSI and by KS, with severity and means."""
-    values = sides(reference, current, features)
-    stat = means(values)
-    by_psi = psi(values, accuracy=accuracy).join(stat, "feature").select(
+    return _drift_rows(tie_table(sides(reference, current, features)))
+
+
+def _drift_rows(ties: DataFrame) -> DataFrame:
+    stat = means_of_ties(ties)
+    by_psi = psi_of_ties(ties).join(stat, "feature").select(
         "feature", F.lit("PSI").alias("method"), F.round("psi", 6).alias("statistic"), F.lit(None).cast("double").alias("p_value"),
         (F.col("psi") >= PSI_WARNING).alias("is_drift"), psi_severity(F.col("psi")).alias("severity"), *_rounded())
-    return by_psi.unionByName(_ks_rows(ks(values), stat))
+    return by_psi.unionByName(_ks_rows(ks_of_ties(ties), stat))
 
 
 def _rounded() -> list[Column]:
@@ -110,15 +132,18 @@ def _ks_rows(found: DataFrame, stat: DataFrame) -> DataFrame:
 
 def label_drift(reference: DataFrame, current: DataFrame, label: str) -> DataFrame:
     """The KS row of one label column."""
-    values = sides(reference, current, [label])
-    return _ks_rows(ks(values), means(values))
+    ties = tie_table(sides(reference, current, [label]))
+    return _ks_rows(ks_of_ties(ties), means_of_ties(ties))
 
 
-def report(reference: DataFrame, current: DataFrame, features: list[str] | None = None, label: str | None = None, accuracy: int | None = None) -> DataFrame:
+def report(reference: DataFrame, current: DataFrame, features: list[str] | None = None, label: str | None = None) -> DataFrame:
     """One row: counts, all drift rows, whether anything drifted, whether to retrain, and a summary."""
-    rows = feature_drift(reference, current, features, accuracy).withColumn("is_label", F.lit(False))
+    own = shared_numeric_columns(reference, current, features)
+    ties = tie_table(sides(reference, current, [*own, *([label] if label and label not in own else [])]))
+    rows = _drift_rows(ties.where(F.col("feature").isin(own))).withColumn("is_label", F.lit(False))
     if label:
-        rows = rows.unionByName(label_drift(reference, current, label).withColumn("is_label", F.lit(True)))
+        of_label = ties.where(F.col("feature") == label)
+        rows = rows.unionByName(_ks_rows(ks_of_ties(of_label), means_of_ties(of_label)).withColumn("is_label", F.lit(True)))
     named = lambda severity: F.array_sort(F.collect_list(F.when((F.col("method") == "PSI") & ~F.col("is_label") & (F.col("severity") == severity), F.col("feature"))))
     columns = ["feature", "method", "statistic", "p_value", "is_drift", "severity", "reference_mean", "current_mean", "mean_shift_pct"]
     rolled = rows.agg(
@@ -155,6 +180,21 @@ def ratio_density() -> Column:
     return F.when(F.col("width") > 0, F.col("n") / (F.col("total") * F.col("width"))).otherwise(F.lit(1.0))
 
 
+def top_drift(rows: DataFrame, n: int = 8) -> DataFrame:
+    """The ``n`` features of highest PSI among drift rows, ties by name."""
+    return rows.where(F.col("method") == "PSI").orderBy(F.desc("statistic"), "feature").limit(n)
+
+
+def score_histogram(flags: DataFrame, bins: int = 50, group: str = "side", score: str = "score") -> DataFrame:
+    """(group, bin, n, density): scores over equal bins from 0 to 1.05 times the greatest score."""
+    top = flags.agg((F.max(score) * 1.05).alias("hi"))
+    totals = flags.groupBy(group).agg(F.count("*").alias("total"))
+    width = F.col("hi") / bins
+    place = F.when(width > 0, F.least(F.floor(F.col(score) / width), F.lit(bins - 1))).otherwise(0).cast("int")
+    counts = flags.crossJoin(F.broadcast(top)).groupBy(group, place.alias("bin")).agg(F.count("*").alias("n"), F.max(width).alias("width"))  # one row on the right
+    return counts.join(totals, group).select(group, "bin", "n", ratio_density().alias("density"))
+
+
 def what_if(df: DataFrame, date: str, start: str, price: str | None = None, demand: str | None = None) -> DataFrame:
     """A scenario for back-testing monitors: from ``start`` on, price * 1.30 + 2.0 and demand * 0.60."""
     after = F.col(date) >= F.to_timestamp(F.lit(start))

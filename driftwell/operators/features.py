@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwell.functions.columns import drop_missing, turn
+from driftwell.functions.columns import drop_missing, running_sums, turn
 
 #: Holidays as (month, day), ordinal codes, and the model's features in order.
 HOLIDAYS = ((1, 1), (1, 18), (7, 4), (11, 11), (11, 27), (12, 24), (12, 25))
@@ -73,10 +73,10 @@ def binned(column: Column, edges: list[float], labels: list[str]) -> Column:
 
 
 def label_codes(df: DataFrame, column: str, to: str) -> DataFrame:
-    """``to``: the place of a string among the sorted distinct ones, from 0. The distinct values must be few."""
+    """``to``: the place of a string among the sorted distinct ones, from 0."""
     names = df.select(column).where(F.col(column).isNotNull()).distinct()
-    codes = names.withColumn(to, F.row_number().over(Window.orderBy(column)) - 1)
-    return df.join(codes, column, "left")
+    places = running_sums(names.withColumns({"_g": F.lit(0), "_one": F.lit(1)}), ["_g"], column, ["_one"])
+    return df.join(places.select(column, (F.col("cum__one") - 1).cast("int").alias(to)), column, "left")
 
 
 def prepare(df: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
@@ -105,3 +105,22 @@ def serving_rows(requests: DataFrame) -> DataFrame:
 
 def clamped(prediction: Column) -> Column:
     return F.greatest(F.lit(0.0), F.bround(prediction, 2))
+
+
+def in_order(df: DataFrame, by: str = "series") -> DataFrame:
+    """Rows by (store, product, date), or with ``by`` of "date" by (date, store, product)."""
+    keys = ["store_id", "product_id", "date"] if by == "series" else ["date", "store_id", "product_id"]
+    return df.orderBy(*keys)
+
+
+class FeaturePipeline:
+    """Lags, cyclical and ordinal features as a transformer: ``fit`` learns nothing and returns the pipeline itself."""
+
+    def __init__(self, keys: list[str], date: str = "date"):
+        self.keys, self.date = keys, date
+
+    def fit(self, df: DataFrame) -> FeaturePipeline:
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return prepare(df, self.keys, self.date)

@@ -45,7 +45,8 @@ def gain_table(df: DataFrame, id_col: str = "id", y_true: str = "y_true", y_prob
     summed = running_sums(rows, ["g"], "o", ["one", "bad"])
     totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("P"))
     cuts = totals.select("n", "P", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("d")).withColumn("cut", F.floor(F.col("n") * F.col("d") / 10))
-    at = F.broadcast(cuts).join(summed, F.col("cut") == F.col("cum_one"), "left").withColumn("b", F.coalesce("cum_bad", F.lit(0)))  # ten rows
+    hit = summed.join(F.broadcast(cuts), F.col("cut") == F.col("cum_one")).select("d", "cum_bad")  # ten rows
+    at = cuts.join(hit, "d", "left").withColumn("b", F.coalesce("cum_bad", F.lit(0)))
     bad, good = ratio(F.col("b"), F.col("P")), ratio(F.col("cut") - F.col("b"), F.col("n") - F.col("P"))
     return at.select((F.col("d") * 10).alias("threshold"), F.round(bad, 4).alias("cumulative_bad"), F.round(good, 4).alias("cumulative_good"), F.round(F.abs(bad - good), 4).alias("ks"))
 
@@ -93,3 +94,8 @@ def ranked_importances(attributions: DataFrame) -> DataFrame:
     means = attributions.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs"))
     # One row for each feature.
     return means.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_abs"), "feature")))
+
+
+def top_importances(attributions: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` features of greatest importance, in order."""
+    return ranked_importances(attributions).where(F.col("rank") <= n).orderBy("rank")

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.pipeline import Pipeline
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -62,10 +62,6 @@ def train_classifiers(df: DataFrame, columns: list[str], label: str, c: float =
     return {"logistic": Pipeline(stages=[assemble, logistic]).fit(df), "boosted": Pipeline(stages=[assemble, boosted]).fit(df)}
 
 
-def label_indexer(column: str, to: str) -> StringIndexer:
-    return StringIndexer(inputCol=column, outputCol=to, stringOrderType="alphabetAsc", handleInvalid="keep")
-
-
 def stratified_split(df: DataFrame, label: str, id_col: str, share: float = 0.25, seed: int = 0) -> DataFrame:
     """``df`` with ``is_test``: of each class exactly the floor of its share, those with the smallest hashes of their ids.
 
@@ -110,10 +106,9 @@ def sampled_attributions(model: PipelineModel, rows: DataFrame, background: Data
     return gains.groupBy(id_col, "feature").agg(F.avg("gain").alias("phi"))
 
 
-def price_model(train: DataFrame, columns: list[str], label: str) -> tuple[dict[str, float], float]:
-    """Coefficients and intercept of least squares."""
-    fitted = LinearRegression(featuresCol="x", labelCol=label, solver="normal").fit(VectorAssembler(inputCols=columns, outputCol="x").transform(train))
-    return dict(zip(columns, map(float, fitted.coefficients), strict=True)), float(fitted.intercept)
+def train_line(df: DataFrame, columns: list[str], label: str) -> PipelineModel:
+    """Least squares."""
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="x", handleInvalid="skip"), LinearRegression(featuresCol="x", labelCol=label, solver="normal")]).fit(df)
 
 
 def training_workflow(table: DataFrame, keys: list[str], train: tuple[str, str], validation: tuple[str, str], store: Snapshots, model_path: str, champion_mae: float | None = None, limits: Gate = Gate(), trees: int = 200) -> DataFrame:

@@ -41,7 +41,8 @@ def matches(text: Column, kind: str, pattern: str) -> Column:
         return F.struct(end.alias("at"), F.concat(s["spans"], F.array(span)).alias("spans"))
 
     pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, state, step, lambda s: s["spans"])
+    # Most texts have no match, and are then neither split nor folded.
+    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(pairs, state, step, lambda s: s["spans"])).otherwise(empty_spans())
 
 
 def resolved(spans: Column) -> Column:
@@ -80,13 +81,13 @@ def without_overlaps(entities: Column, regex: Column) -> Column:
     return F.filter(entities, lambda e: ~F.exists(regex, lambda r: overlaps(e, r)))
 
 
-def identify(docs: DataFrame, entities: DataFrame | None = None, threshold: float = 0.0, patterns: list[tuple[str, str]] = PATTERNS) -> DataFrame:
+def identify(docs: DataFrame, entities: DataFrame | None = None, threshold: float = 0.0, patterns: list[tuple[str, str]] = PATTERNS, labels: dict[str, str] = ENTITY_TYPES) -> DataFrame:
     """``docs`` with ``spans``: patterns first, then entities that overlap none of them, by start. NULL text has none."""
     found = docs.withColumn("_r", regex_spans(F.coalesce("text", F.lit("")), patterns))
     if entities is None:
         found = found.withColumn("_e", empty_spans())
     else:
-        found = found.join(entity_spans(entities).withColumnRenamed("entities", "_e"), "doc_id", "left")
+        found = found.join(entity_spans(entities, labels).withColumnRenamed("entities", "_e"), "doc_id", "left")
     both = F.concat("_r", F.coalesce(without_overlaps(F.col("_e"), F.col("_r")), empty_spans()))
     kept = F.filter(both, lambda s: s["confidence"] >= threshold)
     by_start = F.transform(F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s.alias("s")))), lambda x: x["s"])

@@ -93,24 +93,37 @@ def lab_text(labs: Column) -> Column:
 
 
 def note_type(encounter_type: Column, encounter_id: Column, seed: int = 0) -> Column:
-    """Discharge summaries for inpatients; for others one of two types by a hash of the id."""
-    return F.when(encounter_type == "inpatient", "discharge_summary").when(F.pmod(F.xxhash64(encounter_id, F.lit(seed)), F.lit(2)) == 0, "soap").otherwise("referral")
+    """Discharge summaries for inpatients; for others one of two types by a digest of the id."""
+    return F.when(encounter_type == "inpatient", "discharge_summary").when(drawn(encounter_id, 2, seed) == 0, "soap").otherwise("referral")
+
+
+def drawn(key: Column, n: int, seed: int = 0) -> Column:
+    """A number from 0 to n - 1 that a digest of the key and the seed gives."""
+    digest = F.md5(F.concat_ws("/", key.cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
 
 
 def notes(encounters: DataFrame, patients: DataFrame, labs: DataFrame, phrases: DataFrame, as_of: str) -> DataFrame:
-    """(encounter_id, patient_id, note_type, text): a note for each encounter with a patient.
+    """(encounter_id, patient_id, note_type, text): a note for each encounter with a patient, in the layout of its type.
 
     ``phrases`` (note_type, phrase) gives the closing words of each type; one row each.
     """
     fields = ["test_name", "value", "unit", "reference_low", "reference_high", "collection_date"]
     rows = with_children(with_parent(encounters, patients, "patient_id"), labs, "encounter_id", fields, "labs")
     rows = rows.withColumn("note_type", note_type(F.col("encounter_type"), F.col("encounter_id"))).join(phrases, "note_type", "left")
-    first = F.get(F.col("diagnoses"), 0)
-    text = F.concat_ws(
-        "\n",
-        F.format_string("%s %s, %d-year-old %s, seen on %s.", "first_name", "last_name", age(F.col("dob"), F.lit(as_of).cast("date")), "sex", F.col("date").cast("string")),
-        F.concat(F.lit("Primary diagnosis: "), F.coalesce(first["description"], F.lit("none"))), diagnosis_text(F.col("diagnoses")), lab_text(F.col("labs")), F.col("phrase"),
-    )
+    first = F.coalesce(F.get(F.col("diagnoses"), 0)["description"], F.lit("none"))
+    name, years = F.concat_ws(" ", "first_name", "last_name"), age(F.col("dob"), F.lit(as_of).cast("date"))
+    who = F.format_string("Patient: %s, %d years, %s", name, years, F.when(F.col("sex") == "M", "male").otherwise("female"))
+    day, weeks = F.col("date").cast("string"), (1 + drawn(F.col("encounter_id"), 12, 2)).cast("string")
+    seen, coded, labs_of, words = F.concat(F.lit("Date: "), day), diagnosis_text(F.col("diagnoses")), lab_text(F.col("labs")), F.coalesce("phrase", F.lit(""))
+    admitted = F.date_sub("date", (1 + drawn(F.col("encounter_id"), 7, 1)).cast("int")).cast("string")
+    back = F.concat(F.lit("Return in "), weeks, F.lit(" weeks"))
+    layouts = {
+        "soap": [F.concat(F.lit("VISIT NOTE, "), F.col("encounter_type")), seen, who, F.lit("Subjective:"), words, F.lit("Objective:"), labs_of, F.lit("Assessment:"), coded, F.lit("Plan:"), back],
+        "discharge_summary": [F.lit("SUMMARY AT DISCHARGE"), F.concat(F.lit("Admitted: "), admitted, F.lit("; discharged: "), day), who, F.concat(F.lit("Admitted for: "), first), F.lit("Course:"), words, labs_of, F.lit("Diagnoses at discharge:"), coded, back],
+        "referral": [F.lit("LETTER OF REFERRAL"), seen, F.concat(who, F.lit(", born "), F.col("dob").cast("string")), F.concat(F.lit("Referred for: "), first), F.lit("History:"), coded, labs_of, F.lit("Impression:"), words],
+    }
+    text = F.coalesce(*(F.when(F.col("note_type") == kind, F.concat_ws("\n", *parts)) for kind, parts in layouts.items()))
     return rows.select("encounter_id", "patient_id", "note_type", text.alias("text"))
 
 

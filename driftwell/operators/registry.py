@@ -39,6 +39,11 @@ def next_version(artifacts: DataFrame, kind: str = "model") -> DataFrame:
     return artifacts.where((F.col("event") == "save") & (F.col("artifact_type") == kind)).agg((F.count_distinct("artifact_id") + 1).alias("version"))
 
 
+def unknown_statuses(events: DataFrame) -> DataFrame:
+    """Events whose status is none of ``STATUSES``, NULL among them."""
+    return events.where(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)))
+
+
 def champion_metric(artifacts: DataFrame, metric: str = "mae") -> float | None:
     row = champions(artifacts).where("is_champion").select(F.col("metadata")[metric].alias("m")).head(1)
     return row[0]["m"] if row else None

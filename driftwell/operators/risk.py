@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc", "gini", "ks_statistic")
@@ -38,6 +38,7 @@ def with_risk(cards: DataFrame) -> DataFrame:
     perf = F.least(F.lit(25.0), falling(p["gini"], GINI, 20) + F.when(p["f1"] < 0.5, 5.0).otherwise(0.0))
     fair, data, stab = F.round(25.0 * violation_share(slices), 2), F.round(falling(n, ROWS, 25), 2), F.round(falling(p["ks_statistic"], KS, 25), 2)
     names = F.array_join(F.transform(violations(slices), lambda s: s["slice_name"]), ", ")
+    # The texts of the details.
     details = F.struct(
         F.format_string("Gini = %.3f (threshold 0.3); F1 = %.3f; score = %.1f/25", p["gini"], p["f1"], perf).alias("performance"),
         F.when(F.size(slices) == 0, F.lit("No fairness slices available; risk assumed 0.")).otherwise(
@@ -76,5 +77,5 @@ def compare(cards: DataFrame, a: str, b: str) -> DataFrame:
 
 def promotion(cards: DataFrame) -> DataFrame:
     """(model_id, status): the lowest risk wins, then the highest gini, then the smaller id; all others are archived."""
-    order = Window.orderBy("risk_score", F.desc("performance.gini"), "model_id")
-    return cards.withColumn("_place", F.row_number().over(order)).select("model_id", F.when(F.col("_place") == 1, "production").otherwise("archived").alias("status"))
+    first = cards.agg(F.min(F.struct("risk_score", -F.col("performance.gini"), "model_id")).alias("_first"))
+    return cards.crossJoin(F.broadcast(first)).select("model_id", F.when(F.col("model_id") == F.col("_first.model_id"), "production").otherwise("archived").alias("status"))  # one row on the right

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwell.functions.columns import quantiles_of
 from driftwell.sources.shared import materialise
 from driftwell.sources.shipping import ship
 
@@ -51,7 +52,8 @@ def relative_error(estimated: DataFrame) -> DataFrame:
 
 
 def threshold(train_scores: DataFrame, percentile: float = 95.0) -> DataFrame:
-    return train_scores.agg(F.percentile("score", F.lit(percentile / 100)).alias("threshold"))
+    """One row: an exact percentile of the scores, over ranges of them."""
+    return quantiles_of(train_scores, [], "score", [percentile / 100]).select(F.col("q")[0].alias("threshold"))
 
 
 def flagged(scored: DataFrame, limit: Column | float | None) -> DataFrame:
@@ -71,10 +73,22 @@ def summary(flags: DataFrame) -> DataFrame:
 
 def flag_rates(flags: DataFrame) -> DataFrame:
     """One row: flag rate, mean and 95th percentile of the scores, and the machine of the highest."""
-    return flags.agg(
-        F.avg(F.col("is_anomaly").cast("double")).alias("flag_rate"), F.avg("score").alias("mean_score"), F.percentile("score", F.lit(0.95)).alias("p95_score"),
+    sums = flags.agg(
+        F.avg(F.col("is_anomaly").cast("double")).alias("flag_rate"), F.avg("score").alias("mean_score"),
         F.max_by("machine", F.struct(F.col("score"), -F.col("machine"), -F.col("t"))).alias("peak_machine"),
     )
+    return sums.crossJoin(threshold(flags)).select("flag_rate", "mean_score", F.col("threshold").alias("p95_score"), "peak_machine")  # one row each
+
+
+def rate_ratio(train: DataFrame, test: DataFrame) -> DataFrame:
+    """One row: flag rates of both parts and the test's over the train's mean score; 0 where that is 0."""
+    own = lambda df, name: df.agg(F.avg(F.col("is_anomaly").cast("double")).alias(f"{name}_rate"), F.avg("score").alias(f"{name}_mean"))
+    return own(train, "train").crossJoin(own(test, "test")).withColumn("ratio", F.coalesce(F.try_divide("test_mean", "train_mean"), F.lit(0.0)))  # one row each
+
+
+def top_flagged(flags: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` flagged slices of highest score."""
+    return summary(flags.where("is_anomaly")).limit(n)
 
 
 def fault_hits(flags: DataFrame, windows: DataFrame) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwell.functions.columns import long_values
 from driftwell.operators import drift, features, metrics
-from driftwell.sources.shared import shared_dir
+from driftwell.sources.shared import shared_path
 from driftwell.sources.tables import Snapshots, read
 from driftwell.streaming import monitor
 
@@ -43,6 +41,17 @@ def drift_report(spark, d):
     )
 
 
+def drift_report_label(spark, d):
+    """The report with a label: its KS row, and what it says of retraining."""
+    r = drift.report(*_halves(spark, d, True), COLUMNS[:1] + COLUMNS[2:], "l_extendedprice")
+    return r.select("n_reference_samples", "n_current_samples", F.size("feature_drift").cast("long").alias("n_rows"), F.col("label_drift.statistic").alias("label_ks"), F.col("label_drift.mean_shift_pct").alias("label_shift"), "overall_drift_detected", "retraining_recommended", "summary")
+
+
+def top_psi(spark, d):
+    """The three features of highest PSI."""
+    return drift.top_drift(drift.feature_drift(*_halves(spark, d, True), COLUMNS), 3).select("feature", "statistic", "severity")
+
+
 def label_drift(spark, d):
     rows = read(spark, d, "orders").select("o_orderdate", "o_totalprice")
     cut = F.to_timestamp(F.lit("1998-06-01"))
@@ -113,14 +122,35 @@ def serving_rows(spark, d):
     return features.serving_rows(o).select("product_id", F.round("price", 4).alias("price"), F.round("lag_14_demand", 4).alias("lag_14_demand"), "lag_1_demand", "store_size_encoded", (F.round("month_cos", 6) + F.lit(0.0)).alias("month_cos"))
 
 
+def _series(spark, d):
+    e = read(spark, d, "events").where("value is not null")
+    s = e.groupBy(F.col("event_type").alias("store_id"), (F.col("user_id") % 4).alias("product_id"), F.to_date("ts").alias("date")).agg(F.sum("value").alias("demand"), F.avg("value").alias("price"))
+    return s.withColumns({"store_size": F.when(F.col("product_id") == 1, "medium").when(F.col("product_id") == 2, "large").otherwise("kiosk"), "product_category": F.when(F.col("product_id") == 3, "C").otherwise("A")})
+
+
+def prepared_features(spark, d):
+    """The model's features of daily series in canonical order, rows that miss one left out."""
+    series = features.calendar(_series(spark, d), "date")
+    ready = features.FeaturePipeline(["store_id", "product_id"]).fit(series).transform(series)
+    out = features.feature_columns(ready, "store_id", "product_id", "date")
+    return out.select("store_id", "product_id", "date", *((F.round(c, 4) + F.lit(0.0)).alias(c) for c in features.FEATURES))
+
+
+def ordered_series(spark, d):
+    """Rows in order of series and date, with the values of those before and after that order gives."""
+    rows = features.in_order(_series(spark, d))
+    first = features.in_order(_series(spark, d), "date").limit(5).select("store_id", "product_id", "date", F.lit("date").alias("by"))
+    return rows.limit(7).select("store_id", "product_id", "date", F.lit("series").alias("by")).unionByName(first)
+
+
 def snapshot_round_trip(spark, d):
-    store = Snapshots(spark, f"{shared_dir(spark)}/snapshots")
+    store = Snapshots(spark, shared_path(spark, "snapshots"))
     store.save("daily", _daily(spark, d))
     return store.load("daily").groupBy("event_type").agg(F.count("*").alias("days"), F.round(F.sum("demand"), 4).alias("demand"))
 
 
 def _replayed(spark, d, start, max_files):
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = shared_path(spark, "stream")
     events = read(spark, d, "events").select("ts", "value")
     events.where(F.dayofmonth("ts") >= 16).write.mode("overwrite").json(f"{root}/in")
     edges, counts = monitor.reference_counts(events.where(F.dayofmonth("ts") < 16), ["value"])
@@ -143,7 +173,7 @@ def stream_window_psi_all(spark, d):
     return _replayed(spark, d, monitor.start_all_windows, 100)
 
 
-QUERIES = {f.__name__: f for f in (drift_psi, drift_ks, feature_drift, drift_report, label_drift, column_stats, paired_histogram, whatif_shift, lag_rolling, calendar_cyclical, ordinal_encode, age_bins, label_codes, date_split, serving_rows, snapshot_round_trip, stream_window_psi, stream_window_psi_all)}
+QUERIES = {f.__name__: f for f in (drift_psi, drift_ks, feature_drift, drift_report, drift_report_label, top_psi, prepared_features, ordered_series, label_drift, column_stats, paired_histogram, whatif_shift, lag_rolling, calendar_cyclical, ordinal_encode, age_bins, label_codes, date_split, serving_rows, snapshot_round_trip, stream_window_psi, stream_window_psi_all)}
 
 
 def _long(columns: list[str]) -> str:
@@ -182,6 +212,7 @@ _ROWS = f"""rows as (
 select feature, 'PSI' as method, round(psi, 6) as statistic, cast(null as double) as p_value, psi >= 0.10 as is_drift, case when psi >= 0.20 then 'critical' when psi >= 0.10 then 'warning' else 'none' end as severity, {_SHIFT} from psi join ms using (feature)
 union all select feature, 'KS', round(ks, 6), round(p, 6), p < 0.05, case when p < 0.05 then 'critical' else 'none' end, {_SHIFT} from ks join ms using (feature))"""
 _ORDERS = "select case when o_orderdate < timestamp '1998-06-01' then 'reference' else 'current' end as side, 'o_totalprice' as feature, o_totalprice as value from orders"
+_SERIES = "select event_type as store_id, user_id % 4 as product_id, cast(ts as date) as date, sum(value) as demand, avg(value) as price from events where value is not null group by 1, 2, 3"
 _DAILY = "select event_type, cast(ts as date) as date, sum(value) as demand from events group by 1, 2"
 
 
@@ -215,6 +246,18 @@ a as (select count(*) as n, bool_or(is_drift) as d, coalesce(bool_or(method = 'P
  string_agg(case when method = 'PSI' and severity = 'critical' then feature end, ', ' order by feature) as c, string_agg(case when method = 'PSI' and severity = 'warning' then feature end, ', ' order by feature) as w from rows)
 select (select count(*) from lineitem where l_shipdate < timestamp '{CUT}') as n_reference_samples, (select count(*) from lineitem where l_shipdate >= timestamp '{CUT}') as n_current_samples, n as n_rows, d as overall_drift_detected, r as retraining_recommended,
 case when not d then 'No significant drift detected. Model distributions appear stable.' else concat_ws(' ', 'CRITICAL drift (PSI >= 0.20) in: ' || c || '.', 'WARNING drift (0.10 <= PSI < 0.20) in: ' || w || '.', case when r then 'Retraining is recommended.' end) end as summary from a""",
+    "drift_report_label": f"""with {_psi(_long(COLUMNS[:1] + COLUMNS[2:]))}, {_ks(_long(COLUMNS))}, {_MEANS.format(v='kv')}, {_ROWS},
+l as (select * from rows where feature = 'l_extendedprice' and method = 'KS'), o as (select * from rows where feature <> 'l_extendedprice'),
+a as (select count(*) as n, bool_or(is_drift) as d, coalesce(bool_or(method = 'PSI' and severity = 'critical'), false) as r, string_agg(case when method = 'PSI' and severity = 'critical' then feature end, ', ' order by feature) as c, string_agg(case when method = 'PSI' and severity = 'warning' then feature end, ', ' order by feature) as w from o)
+select (select count(*) from lineitem where l_shipdate < timestamp '{CUT}') as n_reference_samples, (select count(*) from lineitem where l_shipdate >= timestamp '{CUT}') as n_current_samples, n as n_rows, l.statistic as label_ks, l.mean_shift_pct as label_shift, d or l.is_drift as overall_drift_detected, r or l.is_drift as retraining_recommended,
+case when not (d or l.is_drift) then 'No significant drift detected. Model distributions appear stable.' else concat_ws(' ', 'CRITICAL drift (PSI >= 0.20) in: ' || c || '.', 'WARNING drift (0.10 <= PSI < 0.20) in: ' || w || '.', case when l.is_drift then printf('Label drift detected (KS p=%.4f); mean shifted %+.1f%%.', l.p_value, l.mean_shift_pct) end, case when r or l.is_drift then 'Retraining is recommended.' end) end as summary from a, l""",
+    "top_psi": f"with {_psi(_long(COLUMNS))} select feature, round(psi, 6) as statistic, case when psi >= 0.20 then 'critical' when psi >= 0.10 then 'warning' else 'none' end as severity from psi order by round(psi.psi, 6) desc, feature limit 3",
+    "prepared_features": f"""with s as ({_SERIES}), l as (select *, lag(demand, 1) over w as l1, lag(demand, 7) over w as l7, lag(demand, 14) over w as l14, case when count(demand) over w7 = 7 then avg(demand) over w7 end as r7, case when count(demand) over w14 = 14 then avg(demand) over w14 end as r14 from s
+window w as (partition by store_id, product_id order by date), w7 as (partition by store_id, product_id order by date rows between 7 preceding and 1 preceding), w14 as (partition by store_id, product_id order by date rows between 14 preceding and 1 preceding))
+select store_id, product_id, date, round(price, 4) as price, round(sin((isodow(date) - 1) * (2 * pi() / 7)), 4) + 0.0 as day_of_week_sin, round(cos((isodow(date) - 1) * (2 * pi() / 7)), 4) + 0.0 as day_of_week_cos, round(sin((month(date) - 1) * (2 * pi() / 12)), 4) + 0.0 as month_sin, round(cos((month(date) - 1) * (2 * pi() / 12)), 4) + 0.0 as month_cos,
+cast(isodow(date) >= 6 as double) as is_weekend, cast((month(date), day(date)) in ((1, 1), (1, 18), (7, 4), (11, 11), (11, 27), (12, 24), (12, 25)) as double) as is_holiday, round(l1, 4) as lag_1_demand, round(l7, 4) as lag_7_demand, round(l14, 4) as lag_14_demand, round(r7, 4) as rolling_7_mean, round(r14, 4) as rolling_14_mean,
+case product_id when 1 then 1.0::double when 2 then 2.0 else 0.0 end as store_size_encoded, case product_id when 3 then 2.0::double else 0.0 end as product_category_encoded from l where l14 is not null and l7 is not null and l1 is not null and r7 is not null and r14 is not null and price is not null""",
+    "ordered_series": f"with s as ({_SERIES}), a as (select store_id, product_id, date, 'series' as by from s order by store_id, product_id, date limit 7), b as (select store_id, product_id, date, 'date' as by from s order by date, store_id, product_id limit 5) select * from a union all select * from b",
     "label_drift": f"with {_ks(_ORDERS)}, {_MEANS.format(v='kv')} select feature, 'KS' as method, round(ks, 6) as statistic, round(p, 6) as p_value, p < 0.05 as is_drift, case when p < 0.05 then 'critical' else 'none' end as severity, {_SHIFT} from ks join ms using (feature)",
     "column_stats": " union all ".join(f"select '{c}' as feature, count({c}) as n, round(avg({c}), 4) as mean, round(stddev_samp({c}), 4) as std, round(quantile_cont({c}, 0.25), 4) as q25, round(quantile_cont({c}, 0.5), 4) as q50, round(quantile_cont({c}, 0.75), 4) as q75 from lineitem" for c in COLUMNS),
     "paired_histogram": _hist(),

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.operators import features, metrics, models, registry, risk
-from driftwell.sources.shared import materialise, shared_dir
-from driftwell.sources.tables import Snapshots, load_model, read, save_model
+from driftwell.sources.shared import materialise, shared_path
+from driftwell.sources.tables import ModelStore, Snapshots, load_model, read, save_model
 
 METRICS = risk.METRICS
 
@@ -155,7 +155,7 @@ def _demand(spark, d) -> DataFrame:
 def workflow(spark, d):
     """Training, gate and snapshot, and then the drift report of the days after it."""
     table = materialise(_demand(spark, d))
-    root = f"{shared_dir(spark)}/workflow-{table.count()}"
+    root = shared_path(spark, "workflow")
     store = Snapshots(spark, root)
     loose = models.Gate(max_mae=1e12, max_rmse=1e12, min_r2=-1e12)
     models.training_workflow(table, ["store_id", "product_id"], ("2024-01-15", "2024-01-21"), ("2024-01-22", "2024-01-24"), store, f"{root}/model", limits=loose, trees=2)
@@ -183,18 +183,56 @@ def classifier_training(spark, d):
     return out
 
 
+def _line(spark, d):
+    """A pipeline of one feature by least squares, and its rows (price, demand)."""
+    rows = materialise(read(spark, d, "lineitem").select(F.col("l_quantity").alias("price"), F.col("l_extendedprice").alias("demand")))
+    return models.train_line(rows, ["price"], "demand"), rows
+
+
 def model_round_trip(spark, d):
-    """A fitted model, saved and loaded, predicts as before."""
-    rows = materialise(_price_rows(spark, d))
-    model = models.train_regressor(rows, ["l_quantity"], "label", trees=1)
-    path = f"{shared_dir(spark)}/model"
+    """A fitted model's predictions after it was saved and loaded."""
+    model, rows = _line(spark, d)
+    path = shared_path(spark, "model")
     save_model(model, path)
-    seen = rows.select("l_quantity").distinct()
-    a, b = (m.transform(seen).select("l_quantity", F.col("prediction").alias(n)) for m, n in ((model, "a"), (load_model(path), "b")))
-    return a.join(b, "l_quantity").agg(F.count_if(F.col("a") != F.col("b")).alias("n_different"))
+    seen = rows.select("price").distinct()
+    return load_model(path).transform(seen).select("price", F.round("prediction", 4).alias("prediction"))
+
+
+def batch_prediction(spark, d):
+    """Serving rows through a fitted model, clamped at 0."""
+    model, _ = _line(spark, d)
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("store_id"), F.col("o_orderkey").alias("product_id"), F.to_date("o_orderdate").alias("date"), (F.col("o_totalprice") / 10_000 - 5).alias("price"))
+    return models.predictions(model, o).select("product_id", F.round("predicted_demand", 1).alias("predicted_demand"))
+
+
+def model_store(spark, d):
+    """Two models saved and one promoted: the predictions of both by id, and those of the champion."""
+    store = ModelStore(spark, shared_path(spark, "store"))
+    rows = materialise(read(spark, d, "lineitem").select(F.col("l_quantity").alias("price"), F.col("l_extendedprice").alias("demand"), "l_discount"))
+    for name, part in (("low", rows.where("l_discount < 0.05")), ("high", rows.where("l_discount >= 0.05"))):
+        store.save(models.train_line(part, ["price"], "demand"), name, {"rows": float(part.count())})
+    store.promote("low")
+    at = spark.range(1, 11).select(F.col("id").cast("double").alias("price"))
+    told = registry.champions(store.events()).select(F.col("artifact_id").alias("model"), "version", F.col("metadata")["rows"].alias("n_rows"), "is_champion")
+    out = None
+    for name, model in (("low", store.load("low")), ("high", store.load("high")), ("champion", store.load_champion())):
+        p = model.transform(at).select(F.lit(name).alias("model"), "price", F.round("prediction", 4).alias("prediction"))
+        out = p if out is None else out.unionByName(p)
+    return out.join(told, "model", "left").select("model", "price", "prediction", F.col("version").cast("long").alias("version"), "n_rows", "is_champion")
+
+
+def champion_metric(spark, d):
+    """The metric of the artifact promoted last."""
+    return registry.champions(_artifacts(spark, d)).where("is_champion").select("artifact_id", F.col("metadata")["mae"].alias("mae"))
+
+
+def top_importances(spark, d):
+    rows = read(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "l_quantity", "l_discount", "l_tax")
+    phi = models.linear_attributions(rows, rows, {"l_quantity": 1500.0, "l_discount": -200.0, "l_tax": 10.0})
+    return metrics.top_importances(phi, 2).select("feature", F.round("mean_abs", 4).alias("mean_abs"), "rank")
 
 
-QUERIES = {f.__name__: f for f in (classifier_metrics, gain_table, fairness_slices, risk_score, card_compare, card_promotion, card_json, registry_current, registry_update, registry_tags, champions, next_version, regression_metrics, promotion_gate, stratified_split, linear_attribution, regressor_gate, sampled_attribution, workflow, clamped_predictions, top_slices, classifier_training, model_round_trip)}
+QUERIES = {f.__name__: f for f in (classifier_metrics, gain_table, fairness_slices, risk_score, card_compare, card_promotion, card_json, registry_current, registry_update, registry_tags, champions, next_version, regression_metrics, promotion_gate, stratified_split, linear_attribution, regressor_gate, sampled_attribution, workflow, clamped_predictions, top_slices, classifier_training, model_round_trip, batch_prediction, model_store, champion_metric, top_importances)}
 
 
 def _rows(scale: float) -> str:
@@ -251,5 +289,12 @@ select l_returnflag, starts_with(reason, 'PASSED') as passed, reason from t""",
 select feature, round(v, 4) as mean_abs, cast(row_number() over (order by v desc, feature) as int) as rank from a""",
     "clamped_predictions": "select o_orderkey, greatest(0.0, round_even((o_totalprice - 200000) / 7, 2)) as prediction from orders",
     "top_slices": f"with {_perf('a', 600000.0)} select slice_name, round(disparate_impact, 6) as disparate_impact from a_d order by a_d.disparate_impact, slice_name limit 3",
-    "model_round_trip": "select 0::bigint as n_different",
+    "model_round_trip": "with m as (select regr_slope(l_extendedprice, l_quantity) as b, regr_intercept(l_extendedprice, l_quantity) as a from lineitem) select distinct l_quantity as price, round(a + b * l_quantity, 4) as prediction from lineitem, m",
+    "batch_prediction": "with m as (select regr_slope(l_extendedprice, l_quantity) as b, regr_intercept(l_extendedprice, l_quantity) as a from lineitem) select o_orderkey as product_id, round(greatest(0.0, round_even(a + b * (o_totalprice / 10000 - 5), 2)), 1) as predicted_demand from orders, m",
+    "model_store": """with m as (select case when l_discount < 0.05 then 'low' else 'high' end as model, regr_slope(l_extendedprice, l_quantity) as b, regr_intercept(l_extendedprice, l_quantity) as a, cast(count(*) as double) as n from lineitem group by 1),
+k as (select model, b, a, case model when 'low' then 1::bigint else 2::bigint end as version, n as n_rows, model = 'low' as is_champion from m union all select 'champion', b, a, null, null, null from m where model = 'low'), x as (select unnest(range(1, 11)) as p)
+select model, cast(p as double) as price, round(a + b * p, 4) as prediction, version, n_rows, is_champion from k, x""",
+    "champion_metric": "select cast(o_custkey as varchar) as artifact_id, (select arg_max(o_totalprice, o_orderkey) from orders as b where b.o_custkey = a.o_custkey) as mae from orders as a where o_orderstatus = 'P' order by o_orderkey desc limit 1",
+    "top_importances": """with m as (select avg(l_quantity) as q, avg(l_discount) as d, avg(l_tax) as t from lineitem), a as (select 'l_quantity' as feature, avg(abs(1500.0 * (l_quantity - q))) as v from lineitem, m union all select 'l_discount', avg(abs(-200.0 * (l_discount - d))) from lineitem, m union all select 'l_tax', avg(abs(10.0 * (l_tax - t))) from lineitem, m)
+select feature, round(v, 4) as mean_abs, cast(row_number() over (order by v desc, feature) as int) as rank from a order by v desc, feature limit 2""",
 }

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
-from driftwell.operators import tensor
+from driftwell.operators import drift, tensor
 from driftwell.sources.shared import materialise
 from driftwell.sources.tables import read
 
@@ -50,13 +52,42 @@ def fault_windows(spark, d):
     return tensor.fault_hits(_flags(spark, d), n).select("machine", "t_start", "t_end", "type", F.round("max_score", 6).alias("max_score"), "n_flagged")
 
 
+STEPS = range(31)
+
+
 def score_matrix(spark, d):
-    m = tensor.score_matrix(_scores(spark, d).where("t < 4"), [0, 1, 2, 3])
-    return m.select("machine", *(F.round(F.col(str(k)), 6).alias(f"t{k}") for k in range(4)))
+    """The score matrix of all days of the month, a column for each."""
+    m = tensor.score_matrix(_scores(spark, d), list(STEPS))
+    return m.select("machine", *(F.round(F.col(str(k)), 6).alias(f"t{k}") for k in STEPS))
+
+
+def tensor_rank2(spark, d):
+    """Scores against given factors of rank 2."""
+    cells = materialise(_cells(spark, d))
+    part = lambda m, v: cells.select(F.lit(m).alias("mode"), F.col(m).cast("long").alias("idx")).distinct().withColumn("vec", v)
+    idx = F.col("idx").cast("double")
+    factors = part("machine", F.array(F.lit(1.0), 0.1 * idx)).unionByName(part("sensor", F.array(1.0 + 0.01 * idx, F.lit(0.5)))).unionByName(part("t", F.array(F.lit(1.0), 1.0 - 0.02 * idx)))
+    return tensor.scores(tensor.reconstruct(cells, factors, [40.0, 3.0])).select("machine", "t", F.round("score", 6).alias("score"))
+
+
+def flag_rate_ratio(spark, d):
+    """Flag rates before and from day 20 on, and the ratio of mean scores."""
+    f = _flags(spark, d)
+    r = tensor.rate_ratio(f.where("t < 20"), f.where("t >= 20"))
+    return r.select(*(F.round(c, 6).alias(c) for c in r.columns))
+
+
+def score_histogram(spark, d):
+    f = _flags(spark, d).withColumn("side", F.when(F.col("t") < 20, "train").otherwise("test"))
+    return drift.score_histogram(f).select("side", "bin", "n", F.round("density", 6).alias("density"))
+
+
+def tensor_top_flagged(spark, d):
+    return tensor.top_flagged(_flags(spark, d), 20).select("machine", "timestep", F.round("score", 6).alias("score"), "is_anomaly")
 
 
 def score_matrix_all(spark, d):
-    """The score matrix of all time steps; ``score_matrix`` has the columns of the first four."""
+    """The score matrix of all time steps in long form, for time axes that are too wide for columns."""
     return tensor.score_rows(_scores(spark, d).withColumn("score", F.round("score", 6)))
 
 
@@ -73,12 +104,16 @@ def detector(spark, d):
     return tensor.summary(fitted.flag(cells.where("t >= 20"))).select("machine", "timestep", F.round("score", 6).alias("score"), "is_anomaly")
 
 
-QUERIES = {f.__name__: f for f in (tensor_score, tensor_error, tensor_flags, tensor_flag_rates, fault_windows, score_matrix, score_matrix_all, cp_als, detector)}
+QUERIES = {f.__name__: f for f in (tensor_score, tensor_error, tensor_flags, tensor_flag_rates, fault_windows, score_matrix, score_matrix_all, tensor_rank2, flag_rate_ratio, score_histogram, tensor_top_flagged, cp_als, detector)}
 
 _BASE = """c as (select user_id % 20 as machine, event_type as sensor, cast(date_diff('day', date '2024-01-01', cast(ts as date)) as bigint) as t, sum(value) as value from events where value is not null group by 1, 2, 3),
 g as (select avg(value) as m from c), a as (select machine, avg(value) as a from c group by 1), b as (select sensor, avg(value) as b from c group by 1), k as (select t, avg(value) as k from c group by 1),
 r as (select machine, sensor, t, value, value - a * b * k / (m * m) as e from c join a using (machine) join b using (sensor) join k using (t), g),
 s as (select machine, t, sqrt(sum(e * e)) / (sqrt(sum(value * value)) + 1e-8) as score from r group by 1, 2)"""
+#: The event types.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+#: Event types and the numbers that stand for them as sensors.
+_CODES = "codes as (select * from (values {}) as v(event_type, crc))".format(", ".join(f"('{k}', {zlib.crc32(k.encode()) % 97})" for k in EVENT_TYPES))
 _FLAG = _BASE + ", f as (select machine, t, score, score > (select quantile_cont(score, 0.95) from s) as is_anomaly from s)"
 
 ORACLE_SQL = {
@@ -87,7 +122,13 @@ ORACLE_SQL = {
     "tensor_flags": f"with {_FLAG} select 'machine_' || lpad(cast(machine as varchar), 2, '0') as machine, t as timestep, round(score, 6) as score, is_anomaly from f where is_anomaly",
     "tensor_flag_rates": f"with {_FLAG} select round(avg(cast(is_anomaly as double)), 6) as flag_rate, round(avg(score), 6) as mean_score, round(quantile_cont(score, 0.95), 6) as p95_score, (select machine from f order by score desc, machine, t limit 1) as peak_machine from f",
     "fault_windows": f"with {_FLAG}, w as (select n_nationkey % 20 as machine, n_nationkey as t_start, n_nationkey + 5 as t_end, n_name as type from nation) select cast(w.machine as bigint) as machine, cast(t_start as bigint) as t_start, cast(t_end as bigint) as t_end, type, round(max(score), 6) as max_score, count(*) filter (where is_anomaly) as n_flagged from w left join f on w.machine = f.machine and f.t >= t_start and f.t < t_end group by 1, 2, 3, 4",
-    "score_matrix": f"with {_BASE} select machine, " + ", ".join(f"round(max(score) filter (where t = {k}), 6) as t{k}" for k in range(4)) + " from s where t < 4 group by machine",
+    "score_matrix": f"with {_BASE} select machine, " + ", ".join(f"round(max(score) filter (where t = {k}), 6) as t{k}" for k in STEPS) + " from s group by machine",
+    "tensor_rank2": f"""with {_CODES}, c as (select user_id % 20 as machine, event_type as sensor, crc as j, cast(date_diff('day', date '2024-01-01', cast(ts as date)) as bigint) as t, sum(value) as value from events join codes using (event_type) where value is not null group by 1, 2, 3, 4),
+r as (select machine, t, value, value - (40.0 * (1.0 + 0.01 * j) + 3.0 * (0.1 * machine) * 0.5 * (1.0 - 0.02 * t)) as e from c)
+select machine, t, round(sqrt(sum(e * e)) / (sqrt(sum(value * value)) + 1e-8), 6) as score from r group by 1, 2""",
+    "flag_rate_ratio": f"with {_FLAG} select round(avg(cast(is_anomaly as double)) filter (where t < 20), 6) as train_rate, round(avg(score) filter (where t < 20), 6) as train_mean, round(avg(cast(is_anomaly as double)) filter (where t >= 20), 6) as test_rate, round(avg(score) filter (where t >= 20), 6) as test_mean, round(coalesce((avg(score) filter (where t >= 20)) / nullif(avg(score) filter (where t < 20), 0), 0.0), 6) as ratio from f",
+    "score_histogram": f"with {_BASE}, h as (select max(score) * 1.05 / 50 as w from s), x as (select case when t < 20 then 'train' else 'test' end as side, least(cast(floor(score / w) as int), 49) as bin, w from s, h), n as (select side, count(*) as total from x group by 1) select side, bin, count(*) as n, round(count(*) / (any_value(total) * any_value(w)), 6) as density from x join n using (side) group by 1, 2",
+    "tensor_top_flagged": f"with {_FLAG} select 'machine_' || lpad(cast(machine as varchar), 2, '0') as machine, t as timestep, round(score, 6) as score, is_anomaly from f where is_anomaly order by f.score desc, f.machine, t limit 20",
     "score_matrix_all": f"with {_BASE} select machine, list(t order by t) as steps, list(round(score, 6) order by t) as scores from s group by machine",
     "detector": """with c as (select user_id % 20 as machine, event_type as sensor, cast(date_diff('day', date '2024-01-01', cast(ts as date)) as bigint) as t, sum(value) as value from events where value is not null group by 1, 2, 3),
 o as (select * from c where t < 20), g as (select avg(value) as m from o), a as (select machine, avg(value) as a from o group by 1), b as (select sensor, avg(value) as b from o group by 1),

@@ -63,3 +63,52 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str | None) -> PipelineModel | None:
     return PipelineModel.load(path) if path else None
+
+
+MODELS = "seq long, artifact_id string, artifact_type string, version int, created_at timestamp, event string, metadata map<string,double>"
+
+
+class ModelStore:
+    """Fitted models under ``root``, each with a row of metadata in an append-only event table."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def events(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(MODELS).parquet(f"{self.root}/_events")
+        except AnalysisException:
+            return self.spark.createDataFrame([], MODELS)
+
+    def _append(self, artifact_id: str, version: int, event: str, metadata: dict[str, float]) -> None:
+        seq = self.events().count() + 1
+        pairs = [F.lit(x) for k, v in metadata.items() for x in (k, float(v))]
+        row = self.spark.range(1).select(
+            F.lit(seq).cast("long").alias("seq"), F.lit(artifact_id).alias("artifact_id"), F.lit("model").alias("artifact_type"), F.lit(version).alias("version"),
+            F.current_timestamp().alias("created_at"), F.lit(event).alias("event"), F.create_map(*pairs).cast("map<string,double>").alias("metadata"))
+        row.write.mode("append").parquet(f"{self.root}/_events")
+
+    def save(self, model: PipelineModel, artifact_id: str, metadata: dict[str, float]) -> int:
+        """The version of the model, one more than the models saved before."""
+        version = self.events().where("event = 'save'").select("artifact_id").distinct().count() + 1
+        save_model(model, f"{self.root}/{artifact_id}")
+        self._append(artifact_id, version, "save", metadata)
+        return version
+
+    def promote(self, artifact_id: str) -> None:
+        """Make a saved model the champion. KeyError if there is none of that id."""
+        row = self.events().where((F.col("event") == "save") & (F.col("artifact_id") == artifact_id)).orderBy(F.desc("seq")).head(1)
+        if not row:
+            raise KeyError(artifact_id)
+        self._append(artifact_id, row[0]["version"], "promote", row[0]["metadata"])
+
+    def load(self, artifact_id: str) -> PipelineModel:
+        """A model by id. KeyError if there is none of that id."""
+        if not self.events().where((F.col("event") == "save") & (F.col("artifact_id") == artifact_id)).head(1):
+            raise KeyError(artifact_id)
+        return PipelineModel.load(f"{self.root}/{artifact_id}")
+
+    def load_champion(self) -> PipelineModel | None:
+        """The model promoted last, or None."""
+        row = self.events().where("event = 'promote'").orderBy(F.desc("seq")).head(1)
+        return self.load(row[0]["artifact_id"]) if row else None

@@ -54,7 +54,7 @@ class WordIds:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.cache = BoundedCache(lambda part: self.ids([part])[0], limit=1_200_000)
+        self.cache = BoundedCache(lambda part: self.ids([part])[0], limit=500_000)
 
     def ids(self, parts: list[str]) -> list[bytes]:
         """The ids of each part. One call sees all parts with a space between, and offsets tell whose an id is."""

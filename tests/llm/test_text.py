@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 import textwrap
+import zlib
 
 import duckdb
 import numpy as np
@@ -294,10 +295,45 @@ def test_transcripts(spark):
     raw = transcripts.raw_transcripts(z)
     model = transcripts.train(raw)
     out = transcripts.parse(raw, model).collect()
-    assert sorted(r["id"] for r in out) == [1, 3] and not any("<|x|>" in r["rendered"] for r in out)
+    assert sorted(r["id"] for r in out) == [1, 2, 3] and not any("<|x|>" in r["rendered"] for r in out)
+    assert [(t["role"], t["lines"]) for t in raw.where("id = 2").first()["turns"]] == [("other", 1)]
     assert transcripts.parse(raw.limit(0), transcripts.train(raw.limit(0))).count() == 0
 
 
+def test_parts_of_a_long_conversation_are_one_chain(spark):
+    rng = random.Random(1)
+    said = lambda: "\n".join(rng.choice(["hi there.", "what is it?", "Yes", "<|x|> y", ""]) for _ in range(rng.randint(1, 3)))
+    rows = [(1, k, rng.choice(["user", "assistant", "system", "tool", None]), said()) for k in range(5000)] + [(2, k // 3, "user", f"abc {k}") for k in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    raw = transcripts.raw_transcripts(df)
+    model = transcripts.train(raw)
+    whole = {r["id"]: r for r in transcripts.parse(raw, model).collect()}
+    assert sorted(whole) == [1, 2]
+    for turns in (7, 100):
+        parts = {}
+        for r in transcripts.parse(transcripts.raw_transcripts(df, part_turns=turns), model).orderBy("id", "part").collect():
+            parts.setdefault(r["id"], []).append(r)
+        assert len(parts[1]) == -(-5000 // turns)
+        for k, r in whole.items():
+            assert "".join(x["rendered"] for x in parts[k]) == r["rendered"]
+            assert sum((x["line_roles"] for x in parts[k]), []) == r["line_roles"] and sum((x["turn_roles"] for x in parts[k]), []) == r["turn_roles"]
+
+
+def test_score_equals_rules_in_python(spark):
+    """The compiled column against the kept rules, one by one, over the statistics."""
+    import math
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert model.rules
+    stats = {r["doc_id"]: r["s"] for r in docs.select("doc_id", quality.statistics(F.coalesce("text", F.lit(""))).alias("s")).collect()}
+    for r in quality.score_documents(docs, model).collect():
+        s = stats[r["doc_id"]]
+        logit = model.intercept + sum(w for rule, w in model.rules if all(s[n] <= v if sign == "<=" else s[n] > v for n, sign, v in rule))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-12) and r["predicted"] == int(r["score"] >= 0.7)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
 @pytest.mark.parametrize("line, word, rest", [("User: hi", "user", "hi"), ("[assistant] yes", "assistant", "yes"), ("<|system|> be", "system", "be"), ("### Response: x", "response", "x"), ("the time: now", "", "the time: now"), ("", "", "")])
 def test_markers(line, word, rest):
     assert transcripts.marker(line) == (word, rest)

@@ -5,8 +5,8 @@ Documents become pieces of at most ``capacity`` tokens. Cells of about
 functions bound the bins that a cell needs from below: a cell that meets its
 bound is certified, and only its emptiest bin goes on; in any other cell every
 bin with a gap goes on. What goes on is dealt anew to cells, of twice the
-size each round up to ``MAX_CELL`` pieces, and packed again, until one cell holds it or a round of the largest cells saves
-less than ``LEAST_SAVED`` of the bins that it packs. The same functions over the lengths of all pieces bound the
+size each round up to ``MAX_CELL`` pieces, and packed again, until one cell holds it, a round of the largest cells saves
+less than ``LEAST_SAVED`` of the bins that it packs, or ``ROUNDS`` are over. The same functions over the lengths of all pieces bound the
 whole result; ``bound`` is a column of it, so that its gap can be told.
 
 A null or empty text has the end token alone. Repeated rows are packed as
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import BoundedCache, materialise, on_executors, slices, table, text_of
 
 CELL_PIECES, MAX_CELL, LEAST_SAVED = 4096, 65_536, 1e-4
+#: The rounds that a sequence id has bits for. The last keeps whatever it packed.
+ROUNDS = 64
 #: A stop or comma that ends a part and belongs to a longer run of marks.
 MARKS = re.compile(r"(?:[^\w\s]|_)[.,] ")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -209,12 +211,12 @@ def pack(pieces: DataFrame, capacity: int = 4096, cell_pieces: int = CELL_PIECES
     own = ["doc_id", "piece", "start", "length", "ids_crc32", "no_id"]
     todo = materialise(pieces.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).select(*own))
     done, before, bound = [], None, total_bound(todo, capacity)
-    for k in range(64):
+    for k in range(ROUNDS):
         size = min(cell_pieces << k, max(MAX_CELL, cell_pieces))
         cells = max(1, math.ceil(todo.count() / size))
         packed = materialise(pack_cells(todo, cells, 17 + k, capacity)).withColumn("sequence_id", F.expr(f"{k}L * (1L << 57) + cell * (1L << 24) + bin"))
         bins = packed.groupBy("cell", "bin").agg(F.max("fill").alias("fill"), F.max("n_bins").alias("n_bins"), F.max("bound").alias("bound"))
-        if cells == 1 or size >= MAX_CELL and before is not None and before - bins.count() < max(1, before * LEAST_SAVED):
+        if cells == 1 or k == ROUNDS - 1 or size >= MAX_CELL and before is not None and before - bins.count() < max(1, before * LEAST_SAVED):
             done.append(packed)
             break
         emptiest = bins.groupBy("cell").agg(F.min_by("bin", F.struct("fill", "bin")).alias("least"))

@@ -70,11 +70,14 @@ def join_often(rows: DataFrame, told: DataFrame, keys: list[str], often: str, n:
     """``rows``, about ``n`` of them, joined with ``told``, which has each key once and in ``often`` the number of rows that it meets.
 
     Keys of over 1/50,000 of the rows are at most 50,000; they come by broadcast, so that no task gathers the
-    rows of a common key. The others are joined by shuffle, or as Spark decides. ``often`` is not part of the result.
+    rows of a common key. The others are joined by shuffle, or as Spark decides. The most common key of all is always
+    among the former, so that the plan is the same at every size. ``often`` is not part of the result.
     """
     most = max(200, n // 50_000)
+    top = told.agg(F.max_by(F.struct(*told.columns), F.struct(often, *keys)).alias("t")).select("t.*").where(F.col(often) <= most)
+    common = told.where(F.col(often) > most).unionByName(top)
     columns = [*rows.columns, *(c for c in told.columns if c not in (*keys, often))]
-    marked = rows.join(F.broadcast(told.where(F.col(often) > most).withColumn("_hot", F.lit(True))), keys, "left")
+    marked = rows.join(F.broadcast(common.withColumn("_hot", F.lit(True))), keys, "left")
     others = marked.where("_hot is null").select(*rows.columns).join(told.where(F.col(often) <= most), keys, how)
     return marked.where("_hot").select(*columns).unionByName(others.select(*columns))
 

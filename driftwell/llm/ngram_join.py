@@ -264,9 +264,8 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
         found = [f.assign(whole=rows["whole"].iloc[0]) for f in found if len(f)]
         return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"node": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64"), "whole": pd.Series(dtype="bool")})
 
-    sized = members.groupBy("component").agg(F.sum(F.octet_length("set") / 8).alias("grams"), F.count("*").alias("n")).withColumn(
-        "blocks", F.greatest(F.ceil(F.col("grams") / BLOCK_NGRAMS), F.ceil(F.col("n") / BLOCK_CLASSES)).cast("int")
-    )
+    sized = members.groupBy("component").agg(F.sum(F.octet_length("set") / 8).alias("grams"), F.count("*").alias("n"))
+    sized = materialise(sized.withColumn("blocks", F.greatest(F.ceil(F.col("grams") / BLOCK_NGRAMS), F.ceil(F.col("n") / BLOCK_CLASSES)).cast("int")))
     total = sized.where("blocks = 1").agg(F.sum("grams")).first()[0] or 0
     groups = max(1, math.ceil(total / UNIT_NGRAMS))
     placed = join_often(members, sized.select("component", "blocks", "n"), ["component"], "n", members.count())
@@ -309,7 +308,7 @@ def linked_rows(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     if joined is not None:
         links = links.join(joined, "node", "left").select("node", "links", F.coalesce("component", "root").alias("root"))
     whole = materialise(classes.select("node", "doc_id", "key", "copies").join(links, "node", "left").select("node", "doc_id", "key", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")))
-    names = whole.groupBy("root").agg(first, F.sum("copies").alias("in_class"), F.count("*").alias("k")).select("root", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("first_key"), "in_class", "k")
+    names = materialise(whole.groupBy("root").agg(first, F.sum("copies").alias("in_class"), F.count("*").alias("k")).select("root", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("first_key"), "in_class", "k"))
     named = materialise(join_often(whole.select("root", "node", "links", "copies"), names, ["root"], "k", n_classes).select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "first_key", "in_class", "copies"))
     rows_of = join_often(sigs.where("grams > 0").select("doc_id", "key", "node"), named, ["node"], "copies", sigs.count())
     wordless = sigs.where("grams = 0").select("doc_id", "key", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("first_key"), F.lit(None).cast("long").alias("in_class"))

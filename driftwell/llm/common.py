@@ -85,7 +85,7 @@ def join_often(rows: DataFrame, told: DataFrame, keys: list[str], often: str, n:
 def with_least(rows: DataFrame, n: int, least: int = 1) -> DataFrame:
     """(u, v, m) from (u, v) of about ``n`` rows: m is the least v of each u that has ``least`` rows or more."""
     low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
-    return join_often(rows, materialise(low.where(F.col("k") >= least)), ["u"], "k", n)
+    return join_often(rows, low.where(F.col("k") >= least), ["u"], "k", n)
 
 
 def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -102,7 +102,7 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     signature, n = None, pairs.count()
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = materialise(
+        large = (
             with_least(both, 2 * n).where("v > u")
             .select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
         )

@@ -69,10 +69,10 @@ def smallest_hashes(df: DataFrame, key: str, n: int, limit: int, seed: int = 0)
 def join_often(rows: DataFrame, told: DataFrame, keys: list[str], often: str, n: int, how: str = "inner") -> DataFrame:
     """``rows``, about ``n`` of them, joined with ``told``, which has each key once and in ``often`` the number of rows that it meets.
 
-    Keys of over 1/50,000 of the rows are at most 50,000; they come by broadcast, so that no task gathers the
+    Keys of over 1/50,000 of the rows, and of over 1,000, are at most 50,000; they come by broadcast, so that no task gathers the
     rows of a common key. The others are joined by shuffle, or as Spark decides. ``often`` is not part of the result.
     """
-    most = max(200, n // 50_000)
+    most = max(1000, n // 50_000)
     columns = [*rows.columns, *(c for c in told.columns if c not in (*keys, often))]
     marked = rows.join(F.broadcast(told.where(F.col(often) > most).withColumn("_hot", F.lit(True))), keys, "left")
     others = marked.where("_hot is null").select(*rows.columns).join(told.where(F.col(often) <= most), keys, how)

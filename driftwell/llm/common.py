@@ -99,7 +99,8 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     signature, n = None, pairs.count()
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
+        # Written, as the small star reads these edges several times.
+        large = materialise(
             with_least(both, 2 * n).where("v > u")
             .select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
         )

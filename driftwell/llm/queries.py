@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_quantiser, bpe, embedding_dups, licenses, merkle, ngram_join, packing, pii, quality, token_counts, transcripts
+from . import additive_quantiser, bpe, centroids, embedding_dups, licenses, merkle, ngram_join, packing, pii, quality, token_counts, transcripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
@@ -22,10 +22,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": packing.op9_packing,
     "op10_token_counts": token_counts.op10_token_counts,
     "op12_merkle": merkle.op12_merkle,
+    "op13_centroids": centroids.op13_centroids,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_licenses": licenses.oracle(),
     "op6_embedding_dups": embedding_dups.oracle(),
     "op8_ngram_join": ngram_join.oracle(),
     "op12_merkle": merkle.oracle(),
+    "op13_centroids": centroids.oracle(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_quantiser, bpe, centroids, embedding_dups, licenses, merkle, ngram_join, packing, pii, quality, token_counts, transcripts
+from . import additive_quantiser, bpe, centroids, embedding_dups, licenses, merkle, ngram_join, packing, pii, quality, token_counts, toxicity, transcripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_packing": packing.op9_packing,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_merkle": merkle.op12_merkle,
     "op13_centroids": centroids.op13_centroids,
 }

@@ -30,8 +30,19 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and read it back, which cuts its lineage and fixes its rows."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written once and read back, and where it lies."""
     path = shared_path(df.sparkSession, "table")
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` once and read it back, which cuts its lineage and fixes its rows."""
+    return written(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more, so that loops don't fill the disk."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

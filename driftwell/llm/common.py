@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwell.sources.shared import materialise
+from driftwell.sources.shared import discard, materialise, written
 from driftwell.sources.shipping import ship
 
 __all__ = ["BoundedCache", "component_labels", "join_often", "materialise", "on_executors", "slices", "smallest_hashes", "table", "text_of", "with_least"]
@@ -92,15 +92,16 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before. Least neighbours are found by ``min`` with map-side combining, and given to a hub's edges by
     broadcast (``with_least``), so that no task holds a hub's neighbours. Null ends and loops are ignored; an empty table gives no rows.
     """
-    pairs = materialise(
+    spark = edges.sparkSession
+    pairs, place = written(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     signature, n = None, pairs.count()
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Written, as the small star reads these edges several times.
-        large = materialise(
+        # Written, as the small star reads these edges several times. Of both tables of a round only the last is read later.
+        large, large_place = written(
             with_least(both, 2 * n).where("v > u")
             .select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
         )
@@ -109,7 +110,9 @@ def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v").where("u <> v").distinct()
         )
-        pairs = materialise(small)
+        old, (pairs, place) = place, written(small)
+        discard(spark, old)
+        discard(spark, large_place)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == signature:
             break

@@ -263,7 +263,8 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, block: int |
         nodes.select("node", "a", "b", "copies", "vec_id").join(links, "node", "left").join(joined, "node", "left")
         .select("a", "b", "copies", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("c"))
     )
-    named = materialise(placed.join(placed.groupBy("c").agg(F.min("vec_id").alias("component_id")), "c").select("a", "b", "copies", "n_links", "component_id"))
+    least = placed.groupBy("c").agg(F.min("vec_id").alias("component_id"), F.count("*").alias("k"))
+    named = materialise(join_often(placed, least, ["c"], "k", n).select("a", "b", "copies", "n_links", "component_id"))
     result = join_often(own.select("vec_id", "a", "b"), named, ["a", "b"], "copies", own.count()).select("vec_id", "n_links", "component_id")
     rest = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{item}>").alias("e")).where("vec_id is not null")
     alone = rest.where(~takes_part(F.col("e"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

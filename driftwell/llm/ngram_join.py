@@ -299,8 +299,8 @@ def linked_rows(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     labels = materialise(component_labels(edges))
     wanted = materialise(classes.select("node", "key", "copies").join(labels, "node"))
     sets = gram_sets(docs, bit_table(wanted), n, id_col, text_col)
-    # Equal rows without an id share a key, so that one of them is enough.
-    members = sets.join(wanted, ["node", "key"]).groupBy("node").agg(F.any_value("component").alias("component"), F.any_value("copies").alias("copies"), F.any_value("set").alias("set"))
+    # Equal rows of one id, or of none, share a key; one of them is enough, and the others go before the shuffle.
+    members = sets.groupBy("node", "key").agg(F.any_value("set").alias("set")).join(wanted, ["node", "key"]).select("node", "component", "copies", "set")
     found = materialise(verified(materialise(members), threshold))
     # A component of one unit is settled there; the others' roots are joined across units.
     across = found.where(~F.col("whole"))

@@ -25,7 +25,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import materialise, table, text_of
 
 #: The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -130,7 +130,10 @@ def word_order(docs: DataFrame, words: list[str]) -> list[str]:
 
 
 def template_matches(docs: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """(doc_id, h, label, containment): every line, and every place of runs across lines, that holds enough of a template."""
+    """(doc_id, h, label, containment, copies): every line, and every place of runs across lines, that holds enough of a template.
+
+    The copies of a key are at least as many as the rows of ``docs`` that have it.
+    """
     sets = [template_words(text) for _, text in templates]
     order = word_order(docs, sorted({w for s in sets for w in s}))
     rank = {w: k for k, w in enumerate(order, 1)}
@@ -159,14 +162,14 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]], threshol
         .where(F.size("block") >= need)
         .where(F.col("place") <= F.size("block") - need)
         .where(1 + F.least(size - at, F.size("block") - F.col("place")) - 1 >= need)
-        .select("doc_id", "h", "line", "template", "block", "need").distinct()
+        .groupBy("doc_id", "h", "line", "template", "block", "need").agg(F.count("*").alias("copies"))
     )
     in_lines = pairs.join(F.broadcast(verify), "template").withColumn("shared", F.size(F.array_intersect("block", "ranks")))
     in_runs = run_matches(likely, order, prefixes, verify, max((run_length(text) for _, text in templates), default=1))
     return (
-        in_lines.select("doc_id", "h", "label", "shared", "need", "ranks").unionByName(in_runs)
+        in_lines.select("doc_id", "h", "label", "shared", "need", "ranks", "copies").unionByName(in_runs.withColumn("copies", F.lit(1).cast("long")))
         .where("shared >= need")
-        .select("doc_id", "h", "label", (F.col("shared") / F.size("ranks")).alias("containment"))
+        .select("doc_id", "h", "label", (F.col("shared") / F.size("ranks")).alias("containment"), "copies")
     )
 
 
@@ -203,23 +206,39 @@ def run_matches(docs: DataFrame, order: list[str], prefixes: DataFrame, verify:
     )
 
 
+def with_found(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, h, ...) left joined with ``found`` (doc_id, h, more, containment, matches), null ids meeting null ids.
+
+    ``matches`` is at least the number of rows of a key. Keys of over 1/50,000 of all matches, and of over 1,000,
+    are at most 50,000 and come by broadcast; their rows are then spread, so that no task gathers the equal rows of one id.
+    """
+    total = found.agg(F.sum("matches")).first()[0] or 0
+    often = F.col("matches") > max(1000, total // 50_000)
+    own = lambda df: df.withColumns({"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0))})
+    told = own(found).select("none", "id", "h", F.struct("more", "containment").alias("f"), "matches")
+    common = told.where(often).select("none", "id", "h", F.col("f").alias("common"))
+    marked = own(rows).join(F.broadcast(common), ["none", "id", "h"], "left")
+    spread = marked.withColumn("spread", F.when(F.col("common").isNotNull(), F.monotonically_increasing_id() + 1).otherwise(0))
+    rare = told.where(~often).select("none", "id", "h", F.lit(0).cast("long").alias("spread"), "f")
+    joined = spread.join(rare, ["none", "id", "h", "spread"], "left").withColumn("f", F.coalesce("common", "f"))
+    return joined.select(*rows.columns, F.col("f.more").alias("more"), F.col("f.containment").alias("containment"))
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: words, base phrase places, labels and score.
 
     The score is 1 with a base phrase, else the largest containment found, else 0.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
-    found = (
+    found = materialise(
         template_matches(rows, templates, threshold)
-        .groupBy("doc_id", "h").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
+        .groupBy("doc_id", "h").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"), F.sum("copies").alias("matches"))
     )
     none = F.array().cast("array<string>")
-    joined = phrase_places(rows, phrases).alias("p").join(
-        found.alias("f"), F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("p.h") == F.col("f.h")), "left"
-    )
+    joined = with_found(phrase_places(rows, phrases), found)
     base = F.array_sort("base")
     return joined.select(
-        F.col("p.doc_id").alias(id_col), "n_words", "n_base", "first_word", "last_word",
+        F.col("doc_id").alias(id_col), "n_words", "n_base", "first_word", "last_word",
         F.array_join(base, ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base", F.coalesce("more", none))), ",").alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("containment", F.lit(0.0))).alias("score"),

@@ -42,6 +42,8 @@ from .vectors import BLOCK_BYTES, as_bytes, distances, item_type, matrix, normal
 
 #: The codebooks are fitted on at most so many vectors, those with the smallest hashes of their row numbers.
 FIT_VECTORS = 16_384
+#: Bytes of the vectors that codebooks are fitted on, at most.
+FIT_BYTES = 128 << 20
 BOOKS, MAX_BOOKS, WORDS, BEAM, ROUNDS = 12, 48, 256, 4, 6
 STRETCH, DEPTH, RECALL, MEASURED = 8192, 400, 0.97, 256
 #: Vectors in a block of the index that is dealt out so that all cores have one; bytes bound it from above.
@@ -155,14 +157,17 @@ def fit(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int
             out.append(centres)
         found = Codebooks(np.stack(out), depth, recall)
         if few:
-            return found
+            # Too few to measure recall with: all of them are ranked again.
+            return Codebooks(found.words, max(depth, len(sample)), recall)
         need = needed_depth(found, held[asked:], held[:asked], recall=recall)
         if need <= depth or len(out) >= max_books:
             return Codebooks(found.words, max(depth, need), recall)
 
 
 def fit_sample(base: DataFrame, n: int, item: str, limit: int = FIT_VECTORS) -> np.ndarray:
-    """At most ``limit`` vectors on the driver, all of the length most frequent among them."""
+    """At most ``limit`` vectors, and ``FIT_BYTES``, on the driver, all of the length most frequent among them."""
+    widest = base.agg(F.max(F.octet_length("v"))).first()[0] or 1
+    limit = max(1, min(limit, FIT_BYTES // widest))
     rows = smallest_hashes(base, "row", n, limit, 1).select("v").toPandas()["v"]
     if not len(rows):
         return np.empty((0, 0))

@@ -9,7 +9,7 @@ source or id is an input of a score.
 Training rows: labelled rows of documents whose crc32(doc_id as text) mod 4 is
 not 2, at most ``FIT_ROWS`` of them, those with the smallest hashes of their ids. Rows
 without a label don't train. With no training rows, or one class only, the
-score is the smoothed share of label 1 everywhere.
+score is the smoothed share of label 1 everywhere, and ``keep_good`` keeps every document.
 
 A null text counts as empty; all statistics of an empty text are 0, and it is
 scored like any other. Repeated rows get equal scores; an empty table gives no
@@ -161,8 +161,8 @@ def score_documents(docs: DataFrame, model: RuleEnsemble, threshold: float = THR
 
 
 def keep_good(docs: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The documents that the model doesn't reject, in one pass without a shuffle."""
-    return docs.where(model.score(text_of(text_col)) >= threshold)
+    """The documents that the model doesn't reject, in one pass without a shuffle. A model without rules tells no document from another and rejects none."""
+    return docs if not model.rules else docs.where(model.score(text_of(text_col)) >= threshold)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

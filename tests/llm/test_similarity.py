@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftwell.llm import additive_quantiser, common, embedding_dups, ngram_join
+from driftwell.llm import additive_quantiser, common, embedding_dups, licenses, ngram_join
 from driftwell.llm.vectors import distances
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -301,3 +301,40 @@ def test_beam_search_is_no_worse_than_greedy():
         return ((x - rec) ** 2).sum()
 
     assert error(8) <= error(1) * 1.001
+
+
+def largest_task(spark, df, column):
+    """The most rows of any partition, and all rows."""
+    sizes = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(column).alias("n")).collect()]
+    return max(sizes), sum(sizes)
+
+
+def test_hot_keys_are_spread(spark):
+    """A third of the rows with one key, in joins with what belongs to the key: no partition holds them all."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(0, 30_000, 1, 8).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("c"), "id")
+        told = rows.groupBy("c").agg(F.min("id").alias("least"), F.count("*").alias("k"))
+        joined = common.join_often(rows, told, ["c"], "k", 30_000)
+        most, n = largest_task(spark, joined, "id")
+        assert n == 30_000 and most < 8_000 and not joined.where("c = 7 and least <> 0 or c <> 7 and least <> id").count()
+        docs = spark.range(0, 30_000, 1, 8).select(F.when(F.col("id") % 3 == 0, F.lit(None).cast("long")).otherwise(F.col("id")).alias("doc_id"), F.lit(5).cast("long").alias("h"), "id")
+        found = docs.groupBy("doc_id", "h").agg(F.array(F.lit("mit")).alias("more"), F.lit(1.0).alias("containment"), F.count("*").alias("matches")).where("doc_id is null or doc_id < 5")
+        joined = licenses.with_found(docs, found)
+        most, n = largest_task(spark, joined, "id")
+        assert n == 30_000 and most < 15_000 and joined.where("containment = 1.0").count() == 10_000 + 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_many_equal_rows_of_one_id(spark):
+    """10,000 equal rows of one id, and 10,000 of none, are one document's copies; a near copy links to them all."""
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty twentyone"
+    docs = spark.range(20_000).select(F.when(F.col("id") < 10_000, 3).alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(9, text + " more")], "doc_id long, text string"))
+    got = {tuple(r) for r in ngram_join.join_documents(docs).collect()}
+    assert got == {(3, 3, 20_000), (None, 3, 20_000), (9, 3, 20_000)}
+
+
+def test_few_vectors_are_compared_exactly():
+    rng = np.random.default_rng(8)
+    assert additive_quantiser.fit(rng.normal(size=(900, 32)), books=2, rounds=2).depth >= 900

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, NumericType
+from pyspark.sql.types import DoubleType, FloatType, LongType, NumericType, StructField, StructType
 
 from driftwell.sources.shared import materialise
+from driftwell.sources.shipping import ship
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -46,47 +50,65 @@ def long_values(df: DataFrame, columns: list[str], **tags: Column) -> DataFrame:
 
 
 def running_sums(df: DataFrame, group: list[str], order: str, sums: list[str]) -> DataFrame:
-    """``df`` with ``cum_<c>`` for each of ``sums``: totals of the rows of the group up to this one, it included.
+    """``df`` with ``cum_<c>`` for each of ``sums`` (counts, 0 or more): totals of the rows of the group up to this one, it included.
 
-    (group, order) must be unique. A group's rows lie in ranges over many
-    partitions: each sums its own part and adds the totals of those before it, so
-    that no task holds a whole group. The ranges are fixed by writing them once.
+    (group, order) must be unique. A group's rows lie in ranges over many partitions: each range is summed as it is
+    written, once, and the totals of the group's ranges before it are added on reading, so that no task holds a whole group.
     """
-    ranged = materialise(df.repartitionByRange(*group, order).withColumn("_range", F.spark_partition_id()))
-    totals = ranged.groupBy(*group, "_range").agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
+    spark = ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(sums), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cum = [np.cumsum(batch.column(c).to_numpy()) + t for c, t in zip(sums, total, strict=True)]
+            total = np.array([c[-1] for c in cum], np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, cum)], [*batch.schema.names, *(f"_p_{c}" for c in sums)])
+
+    # A fixed number of ranges, so that they are not merged to a few.
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.withColumns({c: F.col(c).cast("long") for c in sums}).repartitionByRange(ranges, *group, order).sortWithinPartitions(*group, order).withColumn("_range", F.spark_partition_id())
+    fields = StructType([*placed.schema.fields, *(StructField(f"_p_{c}", LongType()) for c in sums)])
+    summed = materialise(placed.mapInArrow(run, fields))
+    part = lambda c: [F.min(F.col(f"_p_{c}") - F.col(c)).alias(f"_a_{c}"), F.max(f"_p_{c}").alias(f"_b_{c}")]
+    totals = summed.groupBy(*group, "_range").agg(*(x for c in sums for x in part(c)))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # One row for each range and group: at most as many as partitions plus groups.
-    offsets = totals.select(*group, "_range", *(F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums))
-    inside = Window.partitionBy(*group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = ranged.join(offsets, [*group, "_range"])
-    return joined.select(*df.columns, *((F.sum(c).over(inside) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums))
+    # One row for each range and group: at most as many as partitions plus groups. Written, so that Spark knows how small they are.
+    offsets = materialise(totals.select(*group, "_range", *((F.coalesce(F.sum(F.col(f"_b_{c}") - F.col(f"_a_{c}")).over(before), F.lit(0)) - F.col(f"_a_{c}")).alias(f"_o_{c}") for c in sums)))
+    joined = summed.join(offsets, [*group, "_range"])
+    return joined.select(*df.columns, *((F.col(f"_p_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums))
 
 
 def quantiles(summed: DataFrame, group: list[str], value: str, count: str, points: list[float]) -> DataFrame:
-    """(group, q): exact quantiles by linear interpolation, an array in the order of ``points``.
+    """(group, q): exact quantiles by linear interpolation, an array in the order of ``points``; groups are few, like features.
 
     ``summed`` has each value of a group once, with its ``count`` and the running sum ``cum_<count>``, as
     ``running_sums`` gives them: a row knows which ranks it holds, so that no task holds a group. Groups without a count have no row.
     """
     cum = F.col(f"cum_{count}")
-    totals = summed.groupBy(*group).agg(F.max(cum).alias("_n")).where("_n > 0")
-    held = summed.where(F.col(count) > 0).join(totals, group) if group else summed.where(F.col(count) > 0).crossJoin(totals)  # one row of totals
     rank = lambda p: (F.col("_n") - 1) * F.lit(float(p))
-    holds = lambda k: (k >= cum - F.col(count)) & (k < cum)
-    at = F.array_compact(F.array(*(
-        F.when(holds(F.floor(rank(p))) | holds(F.ceil(rank(p))), F.struct(
-            F.lit(i).alias("i"), (rank(p) - F.floor(rank(p))).alias("part"),
-            F.when(holds(F.floor(rank(p))), F.col(value)).alias("lo"), F.when(holds(F.ceil(rank(p))), F.col(value)).alias("hi")))
-        for i, p in enumerate(points)
-    )))
-    found = held.select(*group, F.explode(at).alias("x")).groupBy(*group, "x.i").agg(F.max("x.part").alias("part"), F.max("x.lo").alias("lo"), F.max("x.hi").alias("hi"))
-    each = found.select(*group, F.struct("i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("q")).alias("s"))
-    return each.groupBy(*group).agg(F.array_sort(F.collect_list("s")).alias("s")).select(*group, F.col("s.q").alias("q"))
+    ends = F.array_distinct(F.array(*(e(rank(p)).cast("long") for p in points for e in (F.floor, F.ceil))))
+    needed = F.broadcast(summed.groupBy(*group).agg(F.max(cum).alias("_n")).where("_n > 0").withColumn("_ranks", ends))
+    rows = summed.where(F.col(count) > 0)
+    held = rows.join(needed, group) if group else rows.crossJoin(needed)  # one row on the right
+    # Only the few rows that hold a needed rank go on.
+    at = held.select(*group, "_n", F.col(value).alias("_v"), F.explode(F.filter("_ranks", lambda x: (x >= cum - F.col(count)) & (x < cum))).alias("_rank"))
+    found = at.groupBy(*group).agg(F.any_value("_n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+    value_at = lambda r: F.element_at("_at", r.cast("long"))
+    q = [value_at(F.floor(rank(p))) + (value_at(F.ceil(rank(p))) - value_at(F.floor(rank(p)))) * (rank(p) - F.floor(rank(p))) for p in points]
+    return found.select(*group, F.array(*q).alias("q"))
+
+
+#: Up to so many distinct values Spark's own percentile holds them in one task.
+FEW_VALUES = 250_000
 
 
 def quantiles_of(df: DataFrame, group: list[str], value: str, points: list[float]) -> DataFrame:
-    """(group, q): exact quantiles of a column's present values."""
-    ties = df.where(present(value)).groupBy(*group, F.col(value).cast("double").alias(value)).agg(F.count("*").alias("k"))
+    """(group, q): exact quantiles of a column's present values; by ranges of them where the distinct ones, which are counted, are many."""
+    ties = materialise(df.where(present(value)).groupBy(*group, F.col(value).cast("double").alias(value)).agg(F.count("*").alias("k")))
+    if ties.count() <= FEW_VALUES:
+        return ties.groupBy(*group).agg(F.percentile(value, F.array(*(F.lit(float(p)) for p in points)), F.col("k")).alias("q")).where("q is not null")
     return quantiles(running_sums(ties, group, value, ["k"]), group, value, "k", points)
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.functions.columns import kolmogorov_p, long_values, numeric_columns, quantiles, quantiles_of, running_sums, shared_numeric_columns
-from driftwell.sources.shared import materialise
 
 PSI_WARNING, PSI_CRITICAL, KS_ALPHA, EMPTY_SHARE = 0.10, 0.20, 0.05, 1e-6
 REF, CUR = "reference", "current"
@@ -37,7 +36,7 @@ def tie_table(values: DataFrame) -> DataFrame:
     PSI, KS and means all follow from it, so that both sides are read a single time.
     """
     ties = values.groupBy("feature", "value").agg(F.count_if(F.col("side") == REF).alias("r"), F.count_if(F.col("side") == CUR).alias("c"))
-    return materialise(running_sums(ties, ["feature"], "value", ["r", "c"]))
+    return running_sums(ties, ["feature"], "value", ["r", "c"])
 
 
 def edges_of(found: DataFrame) -> DataFrame:
@@ -72,10 +71,27 @@ def psi(values: DataFrame, bins: int = 10) -> DataFrame:
 
 def psi_of_ties(ties: DataFrame, bins: int = 10) -> DataFrame:
     edges = edges_of(quantiles(ties, ["feature"], "value", "r", [k / bins for k in range(bins + 1)]))
-    binned = ties.join(F.broadcast(edges), "feature")  # one row for each feature
-    flat = edges.where(F.size("edges") < 2).select("feature", F.lit(0.0).alias("psi"))
-    counts = binned.where(F.size("edges") >= 2).groupBy("feature", bin_of(F.col("value"), F.col("edges")).alias("bin")).agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
-    return psi_from_counts(counts).unionByName(flat)
+    return psi_from_edges(edges, bin_counts(ties, edges, bins))
+
+
+def psi_from_edges(edges: DataFrame, counts: DataFrame) -> DataFrame:
+    """(feature, psi) from ``bin_counts``; 0 with fewer than two edges."""
+    return psi_from_counts(counts).unionByName(edges.where(F.size("edges") < 2).select("feature", F.lit(0.0).alias("psi")))
+
+
+def bin_counts(ties: DataFrame, edges: DataFrame, bins: int = 10) -> DataFrame:
+    """(feature, bin, n_ref, n_cur) for each bin of features with two edges or more, from values with their counts ``r`` and ``c``.
+
+    One aggregation sums what lies below each edge; values outside are clipped, and the last bin is closed.
+    """
+    inner = range(1, bins)
+    edge = lambda i: F.get("edges", F.lit(i))
+    below = [F.sum(F.when(F.col("value") < edge(i), F.col(side)).otherwise(0)).alias(f"{side}{i}") for side in "rc" for i in inner]
+    joined = ties.join(F.broadcast(edges.where(F.size("edges") >= 2)), "feature")  # one row for each feature
+    sums = joined.groupBy("feature").agg(F.size(F.first("edges")).alias("n"), F.sum("r").alias("r"), F.sum("c").alias("c"), *below)
+    upto = lambda side, i: F.lit(0) if i == 0 else F.when(F.col("n") - 1 > i, F.col(f"{side}{i}")).otherwise(F.col(side)) if i < bins else F.col(side)
+    counts = [F.struct(F.lit(i).alias("bin"), (upto("r", i + 1) - upto("r", i)).alias("n_ref"), (upto("c", i + 1) - upto("c", i)).alias("n_cur")) for i in range(bins)]
+    return sums.select("feature", "n", F.inline(F.array(*counts))).where("bin < n - 1").drop("n")
 
 
 def ks(values: DataFrame) -> DataFrame:

@@ -113,7 +113,11 @@ def means(values: DataFrame) -> DataFrame:
 
 def means_of_ties(ties: DataFrame) -> DataFrame:
     counted = ties.groupBy("feature").agg(F.sum("r").alias("r"), F.sum("c").alias("c"), F.try_divide(F.sum(F.col("value") * F.col("r")), F.sum("r")).alias("reference_mean"), F.try_divide(F.sum(F.col("value") * F.col("c")), F.sum("c")).alias("current_mean"))
-    both = counted.where("r > 0 and c > 0").select("feature", "reference_mean", "current_mean")
+    return shifts(counted.where("r > 0 and c > 0").select("feature", "reference_mean", "current_mean"))
+
+
+def shifts(both: DataFrame) -> DataFrame:
+    """``mean_shift_pct`` beside both means."""
     size = F.abs("reference_mean")
     return both.withColumn("mean_shift_pct", (F.col("current_mean") - F.col("reference_mean")) / F.when(size > 1e-9, size).otherwise(1.0) * 100)
 
@@ -128,11 +132,15 @@ def feature_drift(reference: DataFrame, current: DataFrame, features: list[str]
 
 
 def _drift_rows(ties: DataFrame) -> DataFrame:
-    stat = means_of_ties(ties)
-    by_psi = psi_of_ties(ties).join(stat, "feature").select(
+    return drift_rows(psi_of_ties(ties), ks_of_ties(ties), means_of_ties(ties))
+
+
+def drift_rows(by_feature: DataFrame, ks_found: DataFrame, stat: DataFrame) -> DataFrame:
+    """A row by PSI and one by KS for each feature, from (feature, psi), ``ks_of_ties`` and ``means_of_ties``."""
+    by_psi = by_feature.join(stat, "feature").select(
         "feature", F.lit("PSI").alias("method"), F.round("psi", 6).alias("statistic"), F.lit(None).cast("double").alias("p_value"),
         (F.col("psi") >= PSI_WARNING).alias("is_drift"), psi_severity(F.col("psi")).alias("severity"), *_rounded())
-    return by_psi.unionByName(_ks_rows(ks_of_ties(ties), stat))
+    return by_psi.unionByName(_ks_rows(ks_found, stat))
 
 
 def _rounded() -> list[Column]:
@@ -160,6 +168,12 @@ def report(reference: DataFrame, current: DataFrame, features: list[str] | None
     if label:
         of_label = ties.where(F.col("feature") == label)
         rows = rows.unionByName(_ks_rows(ks_of_ties(of_label), means_of_ties(of_label)).withColumn("is_label", F.lit(True)))
+    counts = reference.agg(F.count("*").alias("n_reference_samples")).crossJoin(current.agg(F.count("*").alias("n_current_samples")))  # one row each
+    return rolled_up(rows, counts)
+
+
+def rolled_up(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """The report from drift rows with ``is_label`` and one row of both sides' row counts."""
     named = lambda severity: F.array_sort(F.collect_list(F.when((F.col("method") == "PSI") & ~F.col("is_label") & (F.col("severity") == severity), F.col("feature"))))
     columns = ["feature", "method", "statistic", "p_value", "is_drift", "severity", "reference_mean", "current_mean", "mean_shift_pct"]
     rolled = rows.agg(
@@ -169,7 +183,7 @@ def report(reference: DataFrame, current: DataFrame, features: list[str] | None
         F.coalesce(F.bool_or(F.when(F.col("is_label"), F.col("is_drift")).otherwise((F.col("method") == "PSI") & (F.col("severity") == "critical"))), F.lit(False)).alias("retraining_recommended"),
         named("critical").alias("critical"), named("warning").alias("warning"),
     )
-    counts = reference.agg(F.count("*").alias("n_reference_samples")).crossJoin(current.agg(F.count("*").alias("n_current_samples")))
+    # The texts of the summary.
     label_text = F.format_string("Label drift detected (KS p=%.4f); mean shifted %+.1f%%.", F.col("label_drift.p_value"), F.col("label_drift.mean_shift_pct"))
     summary = F.when(~F.col("overall_drift_detected"), F.lit("No significant drift detected. Model distributions appear stable.")).otherwise(F.concat_ws(
         " ",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwell.functions.columns import long_values
 from driftwell.operators import drift, features, metrics
+from driftwell.operators.summaries import ReferenceSummary
 from driftwell.sources.shared import shared_path
 from driftwell.sources.tables import Snapshots, read
 from driftwell.streaming import monitor
@@ -173,7 +174,20 @@ def stream_window_psi_all(spark, d):
     return _replayed(spark, d, monitor.start_all_windows, 100)
 
 
-QUERIES = {f.__name__: f for f in (drift_psi, drift_ks, feature_drift, drift_report, drift_report_label, top_psi, prepared_features, ordered_series, label_drift, column_stats, paired_histogram, whatif_shift, lag_rolling, calendar_cyclical, ordinal_encode, age_bins, label_codes, date_split, serving_rows, snapshot_round_trip, stream_window_psi, stream_window_psi_all)}
+def stream_reports(spark, d):
+    """Drift rows of micro-batches of five days each against the stored summary of the first half of the month."""
+    root = shared_path(spark, "reports")
+    events = read(spark, d, "events").select("ts", "value", F.col("user_id").cast("double").alias("user"))
+    summary = ReferenceSummary.build(events.where(F.dayofmonth("ts") < 16), ["value", "user"], f"{root}/summary")
+    late = events.where(F.dayofmonth("ts") >= 16).withColumn("part", F.floor((F.dayofmonth("ts") - 16) / 5).cast("int"))
+    # One file for each five days, and one file for each batch.
+    late.repartition("part").write.mode("overwrite").partitionBy("part").json(f"{root}/in")
+    stream = monitor.observations(spark, f"{root}/in", "ts timestamp, value double, user double, part int", 1)
+    monitor.start_reports(stream, summary, f"{root}/out", f"{root}/checkpoint", part=F.min("part")).awaitTermination()
+    return spark.read.parquet(f"{root}/out/rows").select("part", "feature", "method", "statistic", "p_value", "is_drift", "severity", "reference_mean", "current_mean", "mean_shift_pct")
+
+
+QUERIES = {f.__name__: f for f in (drift_psi, drift_ks, feature_drift, drift_report, drift_report_label, top_psi, prepared_features, ordered_series, label_drift, column_stats, paired_histogram, whatif_shift, lag_rolling, calendar_cyclical, ordinal_encode, age_bins, label_codes, date_split, serving_rows, snapshot_round_trip, stream_window_psi, stream_window_psi_all, stream_reports)}
 
 
 def _long(columns: list[str]) -> str:
@@ -212,6 +226,10 @@ _ROWS = f"""rows as (
 select feature, 'PSI' as method, round(psi, 6) as statistic, cast(null as double) as p_value, psi >= 0.10 as is_drift, case when psi >= 0.20 then 'critical' when psi >= 0.10 then 'warning' else 'none' end as severity, {_SHIFT} from psi join ms using (feature)
 union all select feature, 'KS', round(ks, 6), round(p, 6), p < 0.05, case when p < 0.05 then 'critical' else 'none' end, {_SHIFT} from ks join ms using (feature))"""
 _ORDERS = "select case when o_orderdate < timestamp '1998-06-01' then 'reference' else 'current' end as side, 'o_totalprice' as feature, o_totalprice as value from orders"
+_PART = "cast(floor((day(ts) - 16) / 5) as int)"
+_BATCHES = " union all ".join(
+    f"select 'reference' as side, p || '|{f}' as feature, {c}::double as value from events, (select distinct {_PART} as p from events where day(ts) >= 16) where day(ts) < 16 and {c} is not null "
+    f"union all select 'current', {_PART} || '|{f}', {c}::double from events where day(ts) >= 16 and {c} is not null" for f, c in (("value", "value"), ("user", "user_id")))
 _SERIES = "select event_type as store_id, user_id % 4 as product_id, cast(ts as date) as date, sum(value) as demand, avg(value) as price from events where value is not null group by 1, 2, 3"
 _DAILY = "select event_type, cast(ts as date) as date, sum(value) as demand from events group by 1, 2"
 
@@ -275,6 +293,7 @@ round(sin((month(o_orderdate) - 1) * (2 * pi() / 12)), 6) + 0.0 as month_sin, ro
     "date_split": "select 'train' as part, count(*) as n, round(avg(o_totalprice), 4) as mean from orders where cast(o_orderdate as date) between date '1995-01-01' and date '1997-12-31' union all select 'validation', count(*), round(avg(o_totalprice), 4) from orders where cast(o_orderdate as date) between date '1998-01-01' and date '1998-12-31'",
     "serving_rows": "select o_orderkey as product_id, round(o_totalprice, 4) as price, round(o_totalprice / 2, 4) as lag_14_demand, 0.0::double as lag_1_demand, cast(o_custkey % 3 as double) as store_size_encoded, round(cos((month(o_orderdate) - 1) * (2 * pi() / 12)), 6) + 0.0 as month_cos from orders",
     "snapshot_round_trip": f"select event_type, count(*) as days, round(sum(demand), 4) as demand from ({_DAILY}) group by 1",
+    "stream_reports": f"with {_psi(_BATCHES)}, {_ks(_BATCHES)}, {_MEANS.format(v='v')}, {_ROWS} select cast(split_part(feature, '|', 1) as int) as part, split_part(feature, '|', 2) as feature, * exclude (feature) from rows",
     "stream_window_psi": _STREAM,
     "stream_window_psi_all": _STREAM.rsplit(" where ", 1)[0],
 }

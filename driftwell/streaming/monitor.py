@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from driftwell.functions.columns import long_values
 from driftwell.operators import drift
+from driftwell.operators.summaries import ReferenceSummary
+from driftwell.sources.shared import materialise
 
 
 def observations(spark: SparkSession, folder: str, schema: str, max_files: int | None = 100) -> DataFrame:
@@ -42,12 +44,23 @@ def window_psi(counts: DataFrame, reference: DataFrame) -> DataFrame:
     return drift.psi_from_counts(keyed).select("feature.window_start", "feature.feature", F.round("psi", 6).alias("psi"), drift.psi_severity(F.col("psi")).alias("severity"))
 
 
-def start_reports(stream: DataFrame, reference: DataFrame, columns: list[str], out: str, checkpoint: str) -> StreamingQuery:
-    """A drift report of each micro-batch, written under its batch id, so that a repeated batch replaces itself."""
+def start_reports(stream: DataFrame, summary: ReferenceSummary, out: str, checkpoint: str, **tags: Column) -> StreamingQuery:
+    """Drift rows and the report of each micro-batch against a stored summary, under ``out``/rows and ``out``/reports.
+
+    Both lie under the batch's id, so that a batch that is repeated after a failure replaces itself. ``tags`` are
+    aggregates of the batch that go with its rows. The reference's rows aren't read.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        report = drift.report(reference, batch, columns).withColumn("batch_id", F.lit(batch_id))
-        report.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        batch.persist()
+        try:
+            told = batch.agg(*(c.alias(n) for n, c in tags.items())) if tags else None
+            tagged = lambda df: df if told is None else df.crossJoin(told)  # one row on the right
+            rows = materialise(summary.drift_rows(batch))
+            tagged(rows).write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
+            tagged(summary.report(batch, rows)).write.mode("overwrite").parquet(f"{out}/reports/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

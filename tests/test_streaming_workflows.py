@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from driftwell.operators import features, models
+from driftwell.operators import drift, features, models
+from driftwell.operators.summaries import ReferenceSummary
 from driftwell.sources.tables import Snapshots, load_model, read_observations
 from driftwell.streaming import monitor
 
@@ -22,9 +23,11 @@ def test_reports_of_batches(spark, tmp_path):
     write_json(tmp_path / "in", "a.json", [float(k) for k in range(400)] + [5000.0] * 400)
     assert read_observations(spark, str(tmp_path / "in"), "ts timestamp, x double").count() == 800
     stream = monitor.observations(spark, str(tmp_path / "in"), "ts timestamp, x double")
+    summary = ReferenceSummary.build(reference, ["x"], str(tmp_path / "summary"))
     for _ in range(2):  # the second run finds nothing new
-        monitor.start_reports(stream, reference, ["x"], str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+        monitor.start_reports(stream, summary, str(tmp_path / "out"), str(tmp_path / "cp"), first=F.min("x")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out/reports")).collect()
+    assert {r["first"] for r in rows} == {0.0} and spark.read.parquet(str(tmp_path / "out/rows")).count() == 2
     assert [(r["batch_id"], r["n_current_samples"], r["retraining_recommended"]) for r in rows] == [(0, 800, True)]
 
 
@@ -88,3 +91,44 @@ def test_classifiers(spark):
     found = models.train_classifiers(rows, ["a"], "y", trees=2)
     for m in found.values():
         assert m.transform(rows).where("prediction = y").count() > 180
+
+
+def drift_rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.mark.parametrize("range_values", [7, 100, 1 << 16])
+def test_summary_rows_equal_both_tables(spark, tmp_path, range_values):
+    """Against ranges of any size: values inside, between, below and above them, ties, missing values, absent columns."""
+    rng = random.Random(range_values)
+    reference = spark.createDataFrame([(float(rng.randrange(300)), rng.gauss(0, 1), 5.0, None) for _ in range(900)], "x double, y double, flat double, void double")
+    batches = [
+        [(float(rng.randrange(280, 320)), rng.gauss(1, 2), 5.0, 1.0) for _ in range(70)],
+        [(-1.0, None, 6.0, None), (1000.0, float("nan"), 4.0, None)],
+        [(3.5, 0.0, 5.0, None)],
+    ]
+    summary = ReferenceSummary.build(reference, None, str(tmp_path / "s"), range_values)
+    for rows in batches:
+        batch = spark.createDataFrame(rows, reference.schema).drop("void" if len(rows) == 1 else "nothing")
+        want = drift_rows(drift.feature_drift(reference, batch))
+        assert want and drift_rows(summary.drift_rows(batch)) == want
+        assert summary.report(batch).first() == drift.report(reference, batch).first()
+    assert summary.drift_rows(spark.createDataFrame([(1,)], "other long")).count() == 0
+
+
+def test_summaries_of_parts_merge(spark, tmp_path):
+    rows = spark.range(2000).select((F.col("id") * 37 % 501).cast("double").alias("x"), F.col("id"))
+    parts = [ReferenceSummary.build(rows.where(f"id % 3 = {k}").select("x"), ["x"], str(tmp_path / f"p{k}"), 50) for k in range(3)]
+    merged, whole = ReferenceSummary.merged(parts, str(tmp_path / "m"), 50), ReferenceSummary.build(rows.select("x"), ["x"], str(tmp_path / "w"), 50)
+    assert merged.facts().first() == whole.facts().first() and merged.row_count().first() == whole.row_count().first()
+    assert sorted(map(tuple, merged.values().collect())) == sorted(map(tuple, whole.values().collect()))
+
+
+def test_a_batch_reads_only_the_ranges_that_it_touches(spark, tmp_path):
+    reference = spark.range(10_000).select(F.col("id").cast("double").alias("x"))
+    summary = ReferenceSummary.build(reference, ["x"], str(tmp_path / "s"), 100)
+    batch = spark.createDataFrame([(5000.5, 2), (5001.0, 1)], "value double, c long").withColumn("feature", F.lit("x"))
+    ties = summary.ties(batch)
+    # 100 values of one range, 99 other ranges and one value between; no file of the reference is read.
+    assert ties.count() == 100 + 99 + 1
+    assert not any("range" in f for f in ties.inputFiles()) and ties.agg(F.max("cum_r"), F.max("cum_c")).first()[:] == (10_000, 3)

@@ -2,14 +2,22 @@
 
 Spans are ``array<struct<pii_type,text,start,end,method,confidence>>`` with
 half-open offsets in code points. Patterns are Java regular expressions that
-begin with ``(?U)``, so that classes and boundaries are Unicode's.
+begin with ``(?U)``, so that classes and boundaries are Unicode's. A text's
+matches are passed over in chunks (``functions.arrays.swept``), so that time
+grows with their number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwell.functions.arrays import CHUNK, bound, empty, swept
+from driftwell.sources.shipping import ship
+
 SPAN = "struct<pii_type:string,text:string,start:int,end:int,method:string,confidence:double>"
 
 #: Types and their patterns, in order.
@@ -26,34 +34,32 @@ DEFAULT_CONFIDENCE = 0.85
 
 
 def empty_spans() -> Column:
-    return F.expr("array()").cast(f"array<{SPAN}>")
+    return empty(SPAN)
 
 
 def matches(text: Column, kind: str, pattern: str) -> Column:
     """All matches with offsets: the gaps between them from ``split``, the matches themselves from ``regexp_extract_all``."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    state = F.struct(F.lit(0).alias("at"), empty_spans().alias("spans"))
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    pairs = bound(parts, lambda x: F.zip_with(F.slice(x["gaps"], 1, F.size(x["found"])), x["found"], lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))))
 
-    def step(s: Column, pair: Column) -> Column:
-        start = s["at"] + F.length(pair["gap"])
+    def step(at: Column, pair: Column) -> tuple[Column, Column]:
+        start = at + pair["gap"]
         end = start + F.length(pair["hit"])
-        span = F.struct(F.lit(kind).alias("pii_type"), pair["hit"].alias("text"), start.alias("start"), end.alias("end"), F.lit("regex").alias("method"), F.lit(1.0).alias("confidence"))
-        return F.struct(end.alias("at"), F.concat(s["spans"], F.array(span)).alias("spans"))
+        return end, F.array(F.struct(F.lit(kind).alias("pii_type"), pair["hit"].alias("text"), start.alias("start"), end.alias("end"), F.lit("regex").alias("method"), F.lit(1.0).alias("confidence")))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    # Most texts have no match, and are then neither split nor folded.
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(pairs, state, step, lambda s: s["spans"])).otherwise(empty_spans())
+    # Most texts have no match, and are then neither split nor swept.
+    return F.when(F.rlike(text, F.lit(pattern)), swept(pairs, F.lit(0), step, SPAN)).otherwise(empty_spans())
 
 
 def resolved(spans: Column) -> Column:
     """Greedy non-overlap: the earliest start, then the longest, then by type."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("longest"), s["pii_type"].alias("kind"), s.alias("span"))))
-    state = F.struct(empty_spans().alias("kept"), F.lit(0).alias("end"))
-    return F.aggregate(
-        ordered, state,
-        lambda s, x: F.when(x["start"] >= s["end"], F.struct(F.concat(s["kept"], F.array(x["span"])).alias("kept"), x["span"]["end"].alias("end"))).otherwise(s),
-        lambda s: s["kept"],
-    )
+
+    def step(end: Column, x: Column) -> tuple[Column, Column]:
+        free = x["start"] >= end
+        return F.when(free, x["span"]["end"]).otherwise(end), F.when(free, F.array(x["span"])).otherwise(empty_spans())
+
+    return swept(ordered, F.lit(0), step, SPAN)
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -77,8 +83,24 @@ def entity_spans(entities: DataFrame, labels: dict[str, str] = ENTITY_TYPES) ->
 
 
 def without_overlaps(entities: Column, regex: Column) -> Column:
-    """Entities that overlap no pattern's span."""
-    return F.filter(entities, lambda e: ~F.exists(regex, lambda r: overlaps(e, r)))
+    """Entities that overlap no pattern's span: one sweep by start for spans that began before, one backwards for those that begin inside."""
+    item = "struct<start:int,regex:boolean,span:" + SPAN + ",free:boolean>"
+    row = lambda s, is_regex: F.struct(s["start"].alias("start"), F.lit(is_regex).alias("regex"), s.alias("span"), F.lit(True).alias("free"))
+    both = F.array_sort(F.concat(F.transform(regex, lambda s: row(s, True)), F.transform(entities, lambda s: row(s, False))))
+
+    def marked(x: Column, hit: Column) -> Column:
+        return F.array(F.struct(x["start"].alias("start"), x["regex"].alias("regex"), x["span"].alias("span"), (x["free"] & (x["regex"] | (x["span"]["end"] <= x["start"]) | ~hit)).alias("free")))
+
+    def forwards(end: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(x["regex"], F.greatest(end, x["span"]["end"])).otherwise(end), marked(x, end > x["start"])
+
+    def backwards(start: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(x["regex"], x["start"]).otherwise(start), marked(x, start < x["span"]["end"])
+
+    last = F.lit(2**31 - 1)
+    seen = swept(F.reverse(swept(both, F.lit(0), forwards, item)), last, backwards, item)
+    kept = F.reverse(F.transform(F.filter(seen, lambda x: x["free"] & ~x["regex"]), lambda x: x["span"]))
+    return F.when((F.size(entities) > 0) & (F.size(regex) > 0), kept).otherwise(entities)
 
 
 def identify(docs: DataFrame, entities: DataFrame | None = None, threshold: float = 0.0, patterns: list[tuple[str, str]] = PATTERNS, labels: dict[str, str] = ENTITY_TYPES) -> DataFrame:
@@ -95,14 +117,22 @@ def identify(docs: DataFrame, entities: DataFrame | None = None, threshold: floa
 
 
 def redacted(text: Column, spans: Column, replacement: str = "[REDACTED]") -> Column:
-    """The text with each span replaced; spans must not overlap and come by start."""
-    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    piece = lambda start, end: F.substring(text, start + 1, end - start)
-    return F.aggregate(
-        spans, state,
-        lambda s, x: F.struct(F.concat(s["out"], piece(s["at"], x["start"]), F.lit(replacement)).alias("out"), x["end"].alias("at")),
-        lambda s: F.concat(s["out"], piece(s["at"], F.length(text))),
-    )
+    """The text with each span replaced; spans must not overlap and come by start. Each chunk of spans looks at its own stretch of the text."""
+
+    def chunk(x: Column, k: Column) -> Column:
+        first = F.when(k == 0, 0).otherwise(F.get(x["spans"], k)["start"])
+        last = F.coalesce(F.get(x["spans"], k + CHUNK)["start"], F.length(x["text"]))
+        stretch = F.struct(first.alias("a"), F.substring(x["text"], first + 1, last - first).alias("t"), F.slice(x["spans"], k + 1, CHUNK).alias("own"))
+
+        def pieces(s: Column) -> Column:
+            end_before = lambda i: F.when(i == 0, s["a"]).otherwise(F.get(s["own"], i - 1)["end"])
+            before = F.transform(s["own"], lambda y, i: F.concat(F.substring(s["t"], end_before(i) - s["a"] + 1, y["start"] - end_before(i)), F.lit(replacement)))
+            return F.concat(F.array_join(before, ""), F.substring(s["t"], F.element_at(s["own"], -1)["end"] - s["a"] + 1, F.length(s["t"])))
+
+        return bound(stretch, pieces)
+
+    chunks = lambda x: F.transform(F.sequence(F.lit(0), F.size(x["spans"]) - 1, F.lit(CHUNK)), lambda k: chunk(x, k))
+    return F.when(F.size(spans) > 0, bound(F.struct(text.alias("text"), spans.alias("spans")), lambda x: F.array_join(chunks(x), ""))).otherwise(text)
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -144,3 +174,48 @@ def wrong_offsets(spans: DataFrame, docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", F.col("text").alias("_doc"))
     there = F.expr("substring(_doc, start + 1, end - start)")
     return spans.join(own, "doc_id").where(~F.coalesce(there == F.col("text"), F.lit(False))).drop("_doc")
+
+
+Entities = list[tuple[str, str, int, int, float]]
+
+
+def recognised(docs: DataFrame, recognise: Callable[[list[str]], list[Entities]], batch_texts: int = 256) -> DataFrame:
+    """(doc_id, label, text, start, end, score, problem): what a function finds in the texts, checked against them.
+
+    ``recognise`` takes texts and returns for each its entities (label, text, start, end, score); it is called in Arrow batches
+    of at most ``batch_texts`` texts on the executors. ``problem`` is null, or says why a span can't be used: "offsets" outside the
+    text or in the wrong order, "text" that isn't what the document has there, "label" missing. A null text counts as empty.
+    """
+    schema = "doc_id long, label string, text string, start int, end int, score double, problem string"
+
+    def problem(doc: str, label: str | None, text: str, start: int, end: int) -> str | None:
+        if not 0 <= start < end <= len(doc):
+            return "offsets"
+        return "text" if doc[start:end] != text else None if label else "label"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string()]
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_texts):
+                part = batch.slice(at, batch_texts)
+                texts = part.column(1).to_pylist()
+                found = recognise(texts)
+                if len(found) != len(texts):
+                    raise ValueError(f"the recogniser gave {len(found)} results for {len(texts)} texts")
+                rows = [(i, *e, problem(t, *e[:4])) for i, t, es in zip(part.column(0).to_pylist(), texts, found, strict=True) for e in es]
+                columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    ship(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+
+
+def usable_entities(found: DataFrame) -> DataFrame:
+    """The spans of ``recognised`` without a problem, as ``identify`` takes them."""
+    return found.where("problem is null").drop("problem")
+
+
+def rejected_entities(found: DataFrame) -> DataFrame:
+    """(problem, n): how many spans of ``recognised`` can't be used, and why."""
+    return found.where("problem is not null").groupBy("problem").agg(F.count("*").alias("n"))

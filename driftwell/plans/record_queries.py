@@ -248,7 +248,29 @@ def json_observations(spark, d):
 
 
 pii_spans_.__name__ = "pii_spans"
-QUERIES = {f.__name__: f for f in (fk_integrity, parent_lookup, group_left_join, flatten_array, abnormal_labs, record_age, lab_proximity, implausible_labs, lab_coverage, encounter_bounds, quality_rules, quarantine, rendered_notes, entity_rules, status_rules, four_table_export, pii_other_patterns, pii_other_labels, csv_export, pii_counts, pii_spans_, pii_report, pii_entities, pii_precision_recall, pii_macro_mean, span_offsets, shortened_names, diagnosis_texts, lab_sections, stable_ids, json_observations)}
+def openings(texts: list[str]) -> list[pii_spans.Entities]:
+    """A recogniser for tests of the interface: a right span at the start of a text, and wrong ones in some."""
+    out = []
+    for t in texts:
+        found = [("PERSON", t[:5], 0, 5, 0.9)] if len(t) >= 9 else []
+        if len(t) >= 9 and len(t) % 2 == 0:
+            found.append(("ORG", t[5:8], 6, 9, 0.8))
+        if len(t) % 5 == 0:
+            found.append(("LOC", "", 7, 7, 0.7))
+        out.append(found)
+    return out
+
+
+def pii_entity_function(spark, d):
+    """Entities of a function: those that count, and those that its wrong offsets keep out."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    found = pii_spans.recognised(docs, openings)
+    spans = pii_spans.identify(docs, pii_spans.usable_entities(found)).select(F.explode("spans").alias("s")).where("s.method = 'ner'")
+    counts = spans.groupBy(F.col("s.pii_type").alias("what")).agg(F.count("*").alias("n"))
+    return counts.unionByName(pii_spans.rejected_entities(found).select(F.concat(F.lit("rejected: "), "problem").alias("what"), "n"))
+
+
+QUERIES = {f.__name__: f for f in (fk_integrity, parent_lookup, group_left_join, flatten_array, abnormal_labs, record_age, lab_proximity, implausible_labs, lab_coverage, encounter_bounds, quality_rules, quarantine, rendered_notes, entity_rules, status_rules, four_table_export, pii_other_patterns, pii_other_labels, pii_entity_function, csv_export, pii_counts, pii_spans_, pii_report, pii_entities, pii_precision_recall, pii_macro_mean, span_offsets, shortened_names, diagnosis_texts, lab_sections, stable_ids, json_observations)}
 
 _TYPE = "case o_orderstatus when 'F' then 'inpatient' when 'O' then 'outpatient' else 'emergency' end"
 _PR = """with a as (select doc_id, lang as k, doc_id % 50 + x as s, doc_id % 50 + x + 10 as e from documents, (select unnest([0, 6, 30]) as x)),
@@ -319,6 +341,9 @@ select pii_type, 'ner' as method, count(*) as n, 0.85::double as confidence from
     "quality_rules": " union all ".join(f"select 'orders' as entity, '{n}' as rule, count(*) filter (where not coalesce({t}, false)) as n_violations from orders" for n, t in _RULE.items()),
     "quarantine": "select * from (select o_orderkey, array_to_string(list_filter([" + ", ".join(f"case when not coalesce({t}, false) then '{n}' end" for n, t in _RULE.items()) + "], lambda x: x is not null), ',') as broken from orders) where broken <> ''",
     "csv_export": f"select {_TYPE} as encounter_type, count(*) as n, cast(sum(o_orderkey) as bigint) as ids, max(cast(o_orderdate as date)) as last from orders group by 1",
+    "pii_entity_function": f"""with {_spans()}, e as (select doc_id, t, 'PERSON' as kind, 0 as s, 5 as e, true as good from docs where length(t) >= 9 union all select doc_id, t, 'ORGANIZATION', 6, 9, substring(t, 6, 3) = substring(t, 7, 3) from docs where length(t) >= 9 and length(t) % 2 = 0)
+select kind as what, count(*) as n from e where good and not exists (select 1 from spans as r where r.doc_id = e.doc_id and greatest(r.start, e.s) < least(r.start + r.n, e.e)) group by 1
+union all select 'rejected: text', count(*) from e where not good having count(*) > 0 union all select 'rejected: offsets', count(*) from docs where length(t) % 5 = 0 having count(*) > 0""",
     "pii_counts": "select doc_id, " + ", ".join("len(regexp_extract_all(coalesce(text, ''), '" + p.replace("(?U)", "").replace("'", "''") + f"')) as {k.lower()}" for k, p in pii_spans.PATTERNS) + " from documents",
     "pii_precision_recall": f"{_PR} select doc_id, precision, recall, recall_ref from p",
     "pii_macro_mean": f"{_PR} select round(avg(precision), 6) as precision, round(avg(recall), 6) as recall, round(avg(recall_ref), 6) as recall_ref from p",

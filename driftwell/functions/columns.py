@@ -75,8 +75,10 @@ def running_sums(df: DataFrame, group: list[str], order: str, sums: list[str]) -
     totals = summed.groupBy(*group, "_range").agg(*(x for c in sums for x in part(c)))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each range and group: at most as many as partitions plus groups. Written, so that Spark knows how small they are.
-    offsets = materialise(totals.select(*group, "_range", *((F.coalesce(F.sum(F.col(f"_b_{c}") - F.col(f"_a_{c}")).over(before), F.lit(0)) - F.col(f"_a_{c}")).alias(f"_o_{c}") for c in sums)))
-    joined = summed.join(offsets, [*group, "_range"])
+    keys = [F.col(c).alias(f"_g{k}") for k, c in enumerate(group)]
+    offsets = materialise(totals.select(*keys, F.col("_range").alias("_in"), *((F.coalesce(F.sum(F.col(f"_b_{c}") - F.col(f"_a_{c}")).over(before), F.lit(0)) - F.col(f"_a_{c}")).alias(f"_o_{c}") for c in sums)))
+    same = [F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(group)]
+    joined = summed.join(offsets, [F.col("_range") == F.col("_in"), *same])
     return joined.select(*df.columns, *((F.col(f"_p_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums))
 
 

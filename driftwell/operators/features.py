@@ -23,11 +23,30 @@ def date_range(df: DataFrame, column: str, first: str, last: str) -> DataFrame:
     return df.where(F.col(column).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
 
 
-def lags(df: DataFrame, keys: list[str], order: str, value: str = "demand", steps: tuple[int, ...] = (1, 7, 14), windows: tuple[int, ...] = (7, 14), keep: bool = True) -> DataFrame:
-    """``lag_<k>_<value>`` and ``rolling_<w>_mean`` of each series, by rows; one shuffle by the series' keys.
+#: Rows of a series up to which one task may hold it.
+SERIES_ROWS = 1 << 16
 
-    A mean needs all its ``w`` earlier rows. With ``keep``, columns that exist already stay.
+
+def lags(df: DataFrame, keys: list[str], order: str, value: str = "demand", steps: tuple[int, ...] = (1, 7, 14), windows: tuple[int, ...] = (7, 14), keep: bool = True, series_rows: int = SERIES_ROWS) -> DataFrame:
+    """``lag_<k>_<value>`` and ``rolling_<w>_mean`` of each series, by rows.
+
+    A mean needs all its ``w`` earlier rows. With ``keep``, columns that exist already stay. Where a series has more than
+    ``series_rows`` rows, which are counted, it is cut into stretches of so many, each of which gets the last rows of the one
+    before as its halo, so that no task holds a series; the result is the same. Shorter series take one shuffle by their keys.
     """
+    halo = max((*steps, *windows), default=0)
+    longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if longest <= max(series_rows, halo):
+        return _lagged(df, keys, order, value, steps, windows, keep)
+    size = max(series_rows, halo)
+    placed = running_sums(df.withColumn("_one", F.lit(1)), keys, order, ["_one"]).withColumn("_at", F.col("cum__one") - 1).drop("_one", "cum__one")
+    stretch, place = F.expr(f"_at div {size}"), F.col("_at") % size
+    both = placed.withColumn("_own", stretch).withColumn("_stretch", F.explode(F.when(place >= size - halo, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))))
+    found = _lagged(both, [*keys, "_stretch"], "_at", value, steps, windows, keep)
+    return found.where("_stretch = _own").drop("_at", "_own", "_stretch")
+
+
+def _lagged(df: DataFrame, keys: list[str], order: str, value: str, steps: tuple[int, ...], windows: tuple[int, ...], keep: bool) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(order)
     new: dict[str, Column] = {f"lag_{k}_{value}": F.lag(value, k).over(w) for k in steps}
     for n in windows:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwell.functions.arrays import empty
 from driftwell.functions.columns import quantiles_of
 from driftwell.sources.shared import materialise
 from driftwell.sources.shipping import ship
@@ -91,11 +92,41 @@ def top_flagged(flags: DataFrame, n: int = 20) -> DataFrame:
     return summary(flags.where("is_anomaly")).limit(n)
 
 
+#: Bits by which the cells of one level are wider than those of the level below.
+LEVEL_BITS = 3
+
+
+def covering_cells(start: Column, end: Column, levels: int) -> Column:
+    """The fewest cells (level, cell) that make up [start, end): at each level at most seven at either end."""
+    width, kind = 1 << LEVEL_BITS, "struct<level:int,cell:bigint>"
+    run = lambda level, a, b: F.when(a < b, F.transform(F.sequence(a, b - 1), lambda x: F.struct(level.alias("level"), x.alias("cell")))).otherwise(empty(kind))
+
+    def step(s: Column, level: Column) -> Column:
+        a, b = s["a"], s["b"]
+        # The least multiple of the width from a on, and the greatest up to b.
+        inner_a, inner_b = F.shiftright(a + width - 1, LEVEL_BITS), F.shiftright(b, LEVEL_BITS)
+        left_end = F.least(inner_a * width, b)
+        right_start = F.greatest(inner_b * width, left_end)
+        return F.struct(inner_a.alias("a"), F.greatest(inner_b, inner_a).alias("b"), F.concat(s["out"], run(level, a, left_end), run(level, right_start, b)).alias("out"))
+
+    state = F.struct(start.alias("a"), F.greatest(start, end).alias("b"), empty(kind).alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), state, step, lambda s: s["out"])
+
+
 def fault_hits(flags: DataFrame, windows: DataFrame) -> DataFrame:
-    """Each window (machine, t_start, t_end, type) with its highest score and flagged slices; the end is exclusive."""
-    w, s = windows.alias("w"), flags.alias("s")
-    inside = (F.col("w.machine") == F.col("s.machine")) & (F.col("s.t") >= F.col("w.t_start")) & (F.col("s.t") < F.col("w.t_end"))
-    return w.join(s, inside, "left").groupBy("w.machine", "w.t_start", "w.t_end", "w.type").agg(F.max("s.score").alias("max_score"), F.count_if(F.col("s.is_anomaly")).alias("n_flagged"))
+    """Each window (machine, t_start, t_end, type) with its highest score and flagged slices; the end is exclusive, equal windows are one.
+
+    Windows and scores don't meet pairwise: time is divided into cells of several widths, scores are summed up for each cell,
+    and a window is made up of few cells, which it meets by an equijoin, however many windows and scores a machine has.
+    """
+    own = windows.select("machine", F.col("t_start").cast("long").alias("t_start"), F.col("t_end").cast("long").alias("t_end"), "type").distinct()
+    longest = own.agg(F.max(F.col("t_end") - F.col("t_start"))).first()[0] or 0
+    levels = 1 + max(0, -(-int(longest).bit_length() // LEVEL_BITS))
+    cells = flags.select("machine", F.col("t").cast("long").alias("t"), "score", "is_anomaly").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    cells = cells.groupBy("machine", "level", F.expr(f"shiftright(t, level * {LEVEL_BITS})").alias("cell")).agg(F.max("score").alias("score"), F.count_if("is_anomaly").alias("n"))
+    parts = own.withColumn("c", F.explode_outer(covering_cells(F.col("t_start"), F.col("t_end"), levels))).select("machine", "t_start", "t_end", "type", F.col("c.level").alias("level"), F.col("c.cell").alias("cell"))
+    met = parts.join(cells, ["machine", "level", "cell"], "left")
+    return met.groupBy("machine", "t_start", "t_end", "type").agg(F.max("score").alias("max_score"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_flagged"))
 
 
 def score_matrix(scored: DataFrame, steps: list[int]) -> DataFrame:

@@ -72,3 +72,30 @@ def test_date_range_is_inclusive(spark):
 def test_label_codes_are_alphabetical(spark, n):
     df = spark.createDataFrame([("b",), ("a",), ("c",), (None,)], "k string").repartition(n)
     assert {r["k"]: r["v"] for r in features.label_codes(df, "k", "v").collect()} == {"a": 0, "b": 1, "c": 2, None: None}
+
+
+@pytest.mark.parametrize("series_rows", [14, 20, 97])
+def test_long_series_in_stretches_equal_whole_ones(spark, series_rows):
+    """A series over many stretches, short ones, a null key, missing values and a column that exists."""
+    rows = [("long", d, float(d % 17)) for d in range(500)] + [("short", d, 1.0 * d) for d in range(9)] + [(None, d, None if d % 5 == 0 else d / 3) for d in range(130)]
+    df = spark.createDataFrame(rows, "store string, day int, demand double").withColumn("lag_7_demand", F.lit(-1.0))
+    want = features.lags(df, ["store"], "day")
+    got = features.lags(df.repartition(5), ["store"], "day", series_rows=series_rows)
+    assert got.columns == want.columns
+    near = lambda df: sorted((str(r[0]), r[1], *(None if x is None else round(x, 9) for x in r[2:])) for r in df.collect())
+    assert near(got) == near(want)
+
+
+def test_no_task_holds_a_long_series(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = spark.range(40_000).select(F.lit("one").alias("store"), F.col("id").alias("day"), F.col("id").cast("double").alias("demand"))
+        got = features.lags(df, ["store"], "day", series_rows=500)
+        # The lags are summed, so that their windows are not pruned.
+        sizes = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("lag_1_demand")).collect()]
+        assert sum(sizes) == 40_000 and len(sizes) == 16 and max(sizes) < 8_000
+        assert got.where("day >= 14 and (lag_14_demand <> day - 14 or rolling_7_mean <> day - 4 or lag_14_demand is null)").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -211,3 +211,27 @@ def test_score_rows_hold_every_step(spark):
     scored = spark.createDataFrame([(m, t, m + t / 100) for m in range(3) for t in range(40) if (m, t) != (1, 7)], "machine long, t long, score double")
     rows = {r["machine"]: dict(zip(r["steps"], r["scores"], strict=True)) for r in tensor.score_rows(scored).collect()}
     assert {(m, t): s for m, r in rows.items() for t, s in r.items()} == {(r["machine"], r["t"]): r["score"] for r in scored.collect()}
+
+
+def test_windows_meet_scores_by_cells(spark):
+    """Windows of any length, empty, reversed, repeated and before time 0, against pairwise comparison."""
+    rng = random.Random(4)
+    flags = [(m, t, rng.random(), rng.random() < 0.3) for m in range(3) for t in range(-40, 700) if rng.random() < 0.9]
+    windows = [(rng.randrange(4), a, a + rng.choice([-3, 0, 1, 7, 8, 9, 63, 64, 65, 600]), "x") for a in (rng.randrange(-60, 720) for _ in range(150))]
+    windows += [windows[0], (None, 0, 9, "x"), (1, 5, 6, None)]
+    got = {(r["machine"], r["t_start"], r["t_end"], r["type"]): (r["max_score"], r["n_flagged"]) for r in tensor.fault_hits(
+        spark.createDataFrame(flags, "machine int, t int, score double, is_anomaly boolean"), spark.createDataFrame(windows, "machine int, t_start int, t_end int, type string")).collect()}
+    assert set(got) == set(windows)
+    for w, found in got.items():
+        inside = [(s, f) for m, t, s, f in flags if m == w[0] and w[1] <= t < w[2]]
+        assert found == (max((s for s, _ in inside), default=None), sum(f for _, f in inside))
+
+
+def test_many_windows_on_one_machine(spark):
+    """10,000 overlapping windows over 20,000 scores: the join makes few rows for each window, not one for each pair."""
+    flags = spark.range(20_000).select(F.lit(1).alias("machine"), F.col("id").alias("t"), (F.col("id") % 1009).cast("double").alias("score"), (F.col("id") % 10 == 0).alias("is_anomaly"))
+    windows = spark.range(10_000).select(F.lit(1).alias("machine"), F.col("id").alias("t_start"), (F.col("id") + 10_000).alias("t_end"), F.lit("x").alias("type"))
+    cells = windows.select(F.size(tensor.covering_cells(F.col("t_start"), F.col("t_end"), 6)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    assert cells[0] <= 2 * 7 * 6 and cells[1] < 600_000
+    got = tensor.fault_hits(flags, windows)
+    assert got.count() == 10_000 and not got.where("max_score <> 1008 or n_flagged <> 1000").count()

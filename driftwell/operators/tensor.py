@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions.arrays import empty
 from driftwell.functions.columns import quantiles_of
-from driftwell.sources.shared import materialise
-from driftwell.sources.shipping import ship
+from driftwell.operators.decomposition import MODES, cp_als, reconstruct, with_new_steps
 
-MODES = ("machine", "sensor", "t")
 EPSILON = 1e-8
 
 
-def reconstruct(cells: DataFrame, factors: DataFrame, weights: list[float]) -> DataFrame:
-    """``cells`` with ``estimate``: sum over r of w_r a_ir b_jr c_kr, from factors (mode, idx, vec).
-
-    A factor has a row for each machine, sensor or time step, far fewer than cells; Spark
-    broadcasts those that are small enough and shuffles the others.
-    """
-    for mode in MODES:
-        own = factors.where(F.col("mode") == mode).select(F.col("idx").alias(mode), F.col("vec").alias(f"_{mode}"))
-        cells = cells.join(own, mode)
-    w = F.array(*map(F.lit, weights))
-    product = F.zip_with(F.zip_with(w, "_machine", lambda a, b: a * b), F.zip_with("_sensor", "_t", lambda a, b: a * b), lambda a, b: a * b)
-    return cells.withColumn("estimate", F.aggregate(product, F.lit(0.0), lambda s, x: s + x)).drop(*(f"_{m}" for m in MODES))
-
-
 def marginal_factors(cells: DataFrame) -> tuple[DataFrame, list[float]]:
     """Rank-1 factors from the marginal means, with the weight that makes them a mean-preserving product."""
     mean = cells.agg(F.avg("value")).first()[0] or 0.0
@@ -41,9 +23,13 @@ def marginal_factors(cells: DataFrame) -> tuple[DataFrame, list[float]]:
 
 
 def scores(estimated: DataFrame) -> DataFrame:
-    """(machine, t, score): norm of the residual over the norm of the readings, for each slice."""
-    r = F.col("value") - F.col("estimate")
-    return estimated.groupBy("machine", "t").agg((F.sqrt(F.sum(r * r)) / (F.sqrt(F.sum(F.col("value") * F.col("value"))) + EPSILON)).alias("score"))
+    """(machine, t, score, n_unknown): norm of the residual over the norm of the readings, for each slice.
+
+    Readings without an estimate are counted in ``n_unknown`` and not judged; a slice of such readings only has no score.
+    """
+    known = F.col("estimate").isNotNull()
+    r, v = F.col("value") - F.col("estimate"), F.when(known, F.col("value"))
+    return estimated.groupBy("machine", "t").agg((F.sqrt(F.sum(r * r)) / (F.sqrt(F.sum(v * v)) + EPSILON)).alias("score"), F.count_if(~known).alias("n_unknown"))
 
 
 def relative_error(estimated: DataFrame) -> DataFrame:
@@ -60,7 +46,7 @@ def threshold(train_scores: DataFrame, percentile: float = 95.0) -> DataFrame:
 def flagged(scored: DataFrame, limit: Column | float | None) -> DataFrame:
     if limit is None:
         raise RuntimeError("no threshold has been fitted")
-    return scored.withColumn("is_anomaly", F.col("score") > (F.lit(limit) if isinstance(limit, float) else limit))
+    return scored.withColumn("is_anomaly", F.coalesce(F.col("score") > (F.lit(limit) if isinstance(limit, float) else limit), F.lit(False)))
 
 
 def machine_name(index: Column) -> Column:
@@ -140,76 +126,6 @@ def score_rows(scored: DataFrame) -> DataFrame:
     return rows.select("machine", F.col("row.t").alias("steps"), F.col("row.score").alias("scores"))
 
 
-@dataclass(frozen=True)
-class Factors:
-    """Unit-norm factor matrices by mode, in the order of ``labels``, and weights."""
-
-    labels: dict[str, np.ndarray]
-    matrices: dict[str, np.ndarray]
-    weights: np.ndarray
-    fit: float
-
-    def frame(self, like: DataFrame) -> DataFrame:
-        rows = [(m, int(k), [float(x) for x in v]) for m in MODES for k, v in zip(self.labels[m], self.matrices[m], strict=True)]
-        return like.sparkSession.createDataFrame(rows, "mode string, idx long, vec array<double>")
-
-
-def _solve(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """right / gram, by pseudo-inverse where the gram matrix lacks rank."""
-    return right @ np.linalg.pinv(gram)
-
-
-def cp_als(cells: DataFrame, rank: int, rounds: int = 200, tolerance: float = 1e-7, seed: int = 0) -> Factors:
-    """CP factors by alternating least squares (Kolda and Bader 2009).
-
-    Each partition sums, for one mode, the products of its readings with the other two
-    factors; the sums of one mode are a row for each index and are added up by Spark. The driver
-    keeps the factor matrices only: (machines + sensors + steps) x rank numbers. Absent cells count as 0.
-    """
-    ship(cells.sparkSession)
-    ready = materialise(cells.select(*(F.col(m).cast("long").alias(m) for m in MODES), F.col("value").cast("double").alias("value")))
-    labels = {m: np.array(sorted(r[0] for r in ready.select(m).distinct().collect()), np.int64) for m in MODES}
-    total = float(ready.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0)
-    rng = np.random.default_rng(seed)
-    a = {m: rng.random((len(labels[m]), rank)) for m in MODES}
-    weights, last = np.ones(rank), -1.0
-    if not len(labels["t"]):
-        return Factors(labels, a, weights, 1.0)
-
-    def products(mode: str, other: dict[str, np.ndarray]) -> np.ndarray:
-        rest = [m for m in MODES if m != mode]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((len(labels[mode]), rank))
-            for batch in batches:
-                at = {m: np.searchsorted(labels[m], batch.column(m).to_numpy()) for m in MODES}
-                np.add.at(out, at[mode], batch.column("value").to_numpy()[:, None] * other[rest[0]][at[rest[0]]] * other[rest[1]][at[rest[1]]])
-            some = np.flatnonzero(out.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some].tolist(), pa.list_(pa.float64()))], ["i", "v"])
-
-        parts = ready.mapInArrow(run, "i long, v array<double>").select("i", F.posexplode("v").alias("r", "x")).groupBy("i", "r").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros((len(labels[mode]), rank))
-        for i, r, x in parts:
-            out[i, r] = x
-        return out
-
-    for _ in range(rounds):
-        for mode in MODES:
-            b, c = (a[m] for m in MODES if m != mode)
-            sums = products(mode, a)
-            new = _solve((b.T @ b) * (c.T @ c), sums)
-            weights = np.linalg.norm(new, axis=0)
-            a = a | {mode: new / np.where(weights > 0, weights, 1.0)}
-        gram = (a["machine"].T @ a["machine"]) * (a["sensor"].T @ a["sensor"]) * (a["t"].T @ a["t"])
-        inner = float((sums * (a["t"] * weights)).sum())
-        square = max(0.0, total - 2 * inner + float(weights @ gram @ weights))
-        fit = 1 - (square / total) ** 0.5 if total else 1.0
-        if abs(fit - last) < tolerance:
-            break
-        last = fit
-    return Factors(labels, a, weights, fit)
-
-
 @dataclass(frozen=True)
 class Detector:
     """A fitted model of normal readings: ``estimate`` adds estimates to cells; the threshold is a percentile of training scores."""
@@ -222,17 +138,14 @@ class Detector:
 
 
 def fit_detector(normal: DataFrame, rank: int = 10, percentile: float = 95.0, rounds: int = 200, seed: int = 0, decompose: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None) -> Detector:
-    """A detector from normal readings, by CP or by any ``decompose`` that gives a function adding estimates."""
+    """A detector from normal readings, by CP or by any ``decompose`` that gives a function adding estimates.
+
+    With CP, rows of time steps that the normal readings lack are solved from their own readings.
+    """
     if decompose is None:
         found = cp_als(normal, rank, rounds, seed=seed)
-        frame, weights = found.frame(normal), [float(w) for w in found.weights]
-        estimate = lambda cells: reconstruct(cells, frame, weights)
+        estimate = lambda cells: reconstruct(cells, with_new_steps(found, cells), found.weights)
     else:
         estimate = decompose(normal)
     limit = threshold(scores(estimate(normal)), percentile).first()[0]
     return Detector(estimate, float(limit))
-
-
-def rank_sweep(cells: DataFrame, ranks: list[int], rounds: int = 50, seed: int = 0) -> list[tuple[int, float]]:
-    """(rank, relative error) for each rank."""
-    return [(r, 1 - cp_als(cells, r, rounds, seed=seed).fit) for r in ranks]

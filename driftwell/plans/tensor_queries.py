@@ -6,7 +6,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from driftwell.operators import drift, tensor
+from driftwell.operators import decomposition, drift, tensor
 from driftwell.sources.shared import materialise
 from driftwell.sources.tables import read
 
@@ -20,7 +20,7 @@ def _cells(spark, d):
 
 def _scores(spark, d):
     cells = materialise(_cells(spark, d))
-    return tensor.scores(tensor.reconstruct(cells, *tensor.marginal_factors(cells)))
+    return tensor.scores(decomposition.reconstruct(cells, *tensor.marginal_factors(cells)))
 
 
 def _flags(spark, d):
@@ -34,7 +34,7 @@ def tensor_score(spark, d):
 
 def tensor_error(spark, d):
     cells = materialise(_cells(spark, d))
-    return tensor.relative_error(tensor.reconstruct(cells, *tensor.marginal_factors(cells))).select(F.round("relative_error", 6).alias("relative_error"))
+    return tensor.relative_error(decomposition.reconstruct(cells, *tensor.marginal_factors(cells))).select(F.round("relative_error", 6).alias("relative_error"))
 
 
 def tensor_flags(spark, d):
@@ -67,7 +67,7 @@ def tensor_rank2(spark, d):
     part = lambda m, v: cells.select(F.lit(m).alias("mode"), F.col(m).cast("long").alias("idx")).distinct().withColumn("vec", v)
     idx = F.col("idx").cast("double")
     factors = part("machine", F.array(F.lit(1.0), 0.1 * idx)).unionByName(part("sensor", F.array(1.0 + 0.01 * idx, F.lit(0.5)))).unionByName(part("t", F.array(F.lit(1.0), 1.0 - 0.02 * idx)))
-    return tensor.scores(tensor.reconstruct(cells, factors, [40.0, 3.0])).select("machine", "t", F.round("score", 6).alias("score"))
+    return tensor.scores(decomposition.reconstruct(cells, factors, [40.0, 3.0])).select("machine", "t", F.round("score", 6).alias("score"))
 
 
 def flag_rate_ratio(spark, d):
@@ -91,20 +91,50 @@ def score_matrix_all(spark, d):
     return tensor.score_rows(_scores(spark, d).withColumn("score", F.round("score", 6)))
 
 
+def _planted(spark, d, zeros=False):
+    """Readings of a known product of rank 2 for twenty machines, five sensors and the events' days."""
+    days = read(spark, d, "events").select(F.dayofmonth("ts").cast("long").alias("t")).distinct()
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    cells = days.withColumn("machine", upto(20)).withColumn("sensor", upto(5))
+    m, j, t = F.col("machine"), F.col("sensor"), F.col("t")
+    one = F.when((m < 10) & (j < 2) & (t % 2 == 0), (m + 1) * (j + 2) * (1.0 + t / 10))
+    two = F.when((m >= 10) & (j >= 2) & (t % 2 == 1), (20.0 - m) * j * (t % 3 + 1))
+    planted = cells.select("machine", "sensor", "t", F.coalesce(one, two).alias("value"))
+    # Absent readings count as 0 when factors are fitted.
+    return planted.na.fill(0.0, ["value"]) if zeros else planted.where("value is not null")
+
+
 def cp_als(spark, d):
-    cells = materialise(_cells(spark, d))
-    found = tensor.cp_als(cells, rank=3, rounds=12)
-    estimated = tensor.reconstruct(cells, found.frame(cells), [float(w) for w in found.weights])
-    return tensor.relative_error(estimated).select(F.round("relative_error", 6).alias("relative_error"))
+    """The error of the factors of rank 2 on planted readings of that rank, and whether it is what the fit says."""
+    cells = materialise(_planted(spark, d))
+    found = decomposition.cp_als(cells, rank=2, rounds=6)
+    error = tensor.relative_error(decomposition.reconstruct(cells, found.frame, found.weights))
+    return error.select(F.round("relative_error", 2).alias("relative_error"), (F.abs(F.col("relative_error") - F.lit(1 - found.fit)) < 1e-5).alias("as_fitted"))
+
+
+def rank_choice(spark, d):
+    """Held-out errors of ranks 1 to 3 on planted readings of rank 2: which fit, and which is chosen."""
+    errors = decomposition.held_out_errors(_planted(spark, d, zeros=True), [1, 2, 3], folds=2, rounds=5)
+    best = decomposition.chosen_rank(errors)
+    return spark.createDataFrame([(r, k, e < 0.005, r == best) for r, k, e in errors], "rank int, fold int, fits boolean, chosen boolean")
+
+
+def detector_cp(spark, d):
+    """Planted faults on days after the ones that a CP detector was fitted on, whose rows are solved from their readings."""
+    cells = materialise(_planted(spark, d))
+    fitted = tensor.fit_detector(cells.where("t < 20"), rank=2, rounds=6)
+    fault = (F.col("machine") == F.col("t") % 7) & (F.col("sensor") == 1)
+    late = cells.where("t >= 20").withColumn("value", F.when(fault, 4 * F.col("value")).otherwise(F.col("value")))
+    return fitted.flag(late).where("is_anomaly and score > 0.4").select("machine", "t")
 
 
 def detector(spark, d):
     cells = materialise(_cells(spark, d))
-    fitted = tensor.fit_detector(cells.where("t < 20"), decompose=lambda normal: (lambda x, f=tensor.marginal_factors(normal): tensor.reconstruct(x, f[0].where("mode <> 't'").unionByName(x.select("t").distinct().select(F.lit("t").alias("mode"), F.col("t").alias("idx"), F.array(F.lit(1 / f[1][0] ** 0.5)).alias("vec"))), f[1])))
+    fitted = tensor.fit_detector(cells.where("t < 20"), decompose=lambda normal: (lambda x, f=tensor.marginal_factors(normal): decomposition.reconstruct(x, f[0].where("mode <> 't'").unionByName(x.select("t").distinct().select(F.lit("t").alias("mode"), F.col("t").alias("idx"), F.array(F.lit(1 / f[1][0] ** 0.5)).alias("vec"))), f[1])))
     return tensor.summary(fitted.flag(cells.where("t >= 20"))).select("machine", "timestep", F.round("score", 6).alias("score"), "is_anomaly")
 
 
-QUERIES = {f.__name__: f for f in (tensor_score, tensor_error, tensor_flags, tensor_flag_rates, fault_windows, score_matrix, score_matrix_all, tensor_rank2, flag_rate_ratio, score_histogram, tensor_top_flagged, cp_als, detector)}
+QUERIES = {f.__name__: f for f in (tensor_score, tensor_error, tensor_flags, tensor_flag_rates, fault_windows, score_matrix, score_matrix_all, tensor_rank2, flag_rate_ratio, score_histogram, tensor_top_flagged, cp_als, rank_choice, detector_cp, detector)}
 
 _BASE = """c as (select user_id % 20 as machine, event_type as sensor, cast(date_diff('day', date '2024-01-01', cast(ts as date)) as bigint) as t, sum(value) as value from events where value is not null group by 1, 2, 3),
 g as (select avg(value) as m from c), a as (select machine, avg(value) as a from c group by 1), b as (select sensor, avg(value) as b from c group by 1), k as (select t, avg(value) as k from c group by 1),
@@ -116,7 +146,13 @@ EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 _CODES = "codes as (select * from (values {}) as v(event_type, crc))".format(", ".join(f"('{k}', {zlib.crc32(k.encode()) % 97})" for k in EVENT_TYPES))
 _FLAG = _BASE + ", f as (select machine, t, score, score > (select quantile_cont(score, 0.95) from s) as is_anomaly from s)"
 
+_PLANTED = """x as (select m as machine, j as sensor, t, case when m < 10 and j < 2 and t % 2 = 0 then (m + 1) * (j + 2) * (1.0 + t / 10.0) when m >= 10 and j >= 2 and t % 2 = 1 then (20.0 - m) * j * (t % 3 + 1) end as value
+from (select distinct day(ts) as t from events), range(20) as r(m), range(5) as s(j))"""
+
 ORACLE_SQL = {
+    "cp_als": f"with {_PLANTED} select round(sqrt(sum((value - value) ** 2)) / sqrt(sum(value ** 2)), 2) as relative_error, true as as_fitted from x",
+    "rank_choice": "select rank::int as rank, fold::int as fold, rank >= 2 as fits, rank = 2 as chosen from range(1, 4) as r(rank), range(2) as f(fold)",
+    "detector_cp": f"with {_PLANTED} select distinct machine, t from x where t >= 20 and machine = t % 7 and value is not null",
     "tensor_score": f"with {_BASE} select machine, t, round(score, 6) as score from s",
     "tensor_error": f"with {_BASE} select round(sqrt(sum(e * e)) / sqrt(sum(value * value)), 6) as relative_error from r",
     "tensor_flags": f"with {_FLAG} select 'machine_' || lpad(cast(machine as varchar), 2, '0') as machine, t as timestep, round(score, 6) as score, is_anomaly from f where is_anomaly",

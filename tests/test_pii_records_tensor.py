@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftwell.operators import pii_spans, records, tensor
+from driftwell.operators import decomposition, pii_spans, records, tensor
 from driftwell.sources.tables import Snapshots, export_csv
 
 POSITIVE = {
@@ -169,9 +169,9 @@ def test_scores_and_reconstruction(spark):
     x = np.einsum("r,ir,jr,kr->ijk", w, a, b, c)
     rows = [(m, k, [float(v) for v in row]) for m, f in zip(tensor.MODES, (a, b, c)) for k, row in enumerate(f)]
     factors = spark.createDataFrame(rows, "mode string, idx long, vec array<double>")
-    est = tensor.reconstruct(cells(spark, x), factors, w)
+    est = decomposition.reconstruct(cells(spark, x), factors, w)
     assert tensor.relative_error(est).first()[0] < 1e-12
-    noisy = tensor.reconstruct(cells(spark, x + 0.1), factors, w)
+    noisy = decomposition.reconstruct(cells(spark, x + 0.1), factors, w)
     s = {(r["machine"], r["t"]): r["score"] for r in tensor.scores(noisy).collect()}
     want = np.sqrt((0.1**2) * 3) / (np.sqrt(((x[1, :, 2] + 0.1) ** 2).sum()) + 1e-8)
     assert s[1, 2] == pytest.approx(want)
@@ -235,3 +235,36 @@ def test_many_windows_on_one_machine(spark):
     assert cells[0] <= 2 * 7 * 6 and cells[1] < 600_000
     got = tensor.fault_hits(flags, windows)
     assert got.count() == 10_000 and not got.where("max_score <> 1008 or n_flagged <> 1000").count()
+
+
+def test_factors_are_tables_and_new_steps_are_solved(spark):
+    rng = np.random.default_rng(3)
+    a, b, c = rng.random((6, 2)), rng.random((4, 2)), rng.random((9, 2))
+    x = np.einsum("ir,jr,kr->ijk", a, b, c)
+    found = decomposition.cp_als(cells(spark, x), 2, rounds=6)
+    rows = {(r["mode"], r["idx"]): np.array(r["vec"]) for r in found.frame.collect()}
+    assert len(rows) == 6 + 4 + 9 and all(sum(v[r] ** 2 for (m, _), v in rows.items() if m == mode) == pytest.approx(1) for mode in decomposition.MODES for r in range(2))
+    error = tensor.relative_error(decomposition.reconstruct(cells(spark, x), found.frame, found.weights)).first()[0]
+    assert error == pytest.approx(1 - found.fit, abs=1e-6) and error < 0.2
+    # A step that wasn't fitted gets the row that numpy's least squares gives, also where readings are absent.
+    y = np.einsum("ir,jr,kr->ijk", a, b, rng.random((1, 2)))
+    seen = cells(spark, y).withColumn("t", F.col("t") + 50).where("(machine + sensor) % 3 > 0")
+    row = np.array(decomposition.solved_rows(seen, found).first()["vec"])
+    places = [(i, j) for i in range(6) for j in range(4) if (i + j) % 3 > 0]
+    z = np.array([[found.weights[r] * rows["machine", i][r] * rows["sensor", j][r] for r in range(2)] for i, j in places])
+    assert row == pytest.approx(np.linalg.lstsq(z, np.array([y[i, j, 0] for i, j in places]), rcond=None)[0], rel=1e-6)
+    assert decomposition.with_new_steps(found, seen).where("mode = 't'").count() == 10
+
+
+def test_readings_without_factors_are_counted(spark):
+    factors = spark.createDataFrame([("machine", 0, [1.0]), ("sensor", 0, [2.0]), ("sensor", 1, [3.0]), ("t", 0, [1.0])], "mode string, idx long, vec array<double>")
+    rows = spark.createDataFrame([(0, 0, 0, 2.0), (0, 1, 0, 6.0), (0, 7, 0, 5.0), (1, 0, 0, 1.0), (0, 0, 9, 1.0)], "machine long, sensor long, t long, value double")
+    got = {(r["machine"], r["t"]): (r["score"], r["n_unknown"]) for r in tensor.scores(decomposition.reconstruct(rows, factors, [1.0])).collect()}
+    assert got == {(0, 0): (pytest.approx(3 / 40**0.5), 1), (1, 0): (None, 1), (0, 9): (None, 1)}
+    assert not tensor.flagged(tensor.scores(decomposition.reconstruct(rows, factors, [1.0])), 0.5).where("t = 9 and is_anomaly").count()
+
+
+def test_no_cells_and_chosen_rank(spark):
+    empty = cells(spark, np.zeros((1, 1, 1))).limit(0)
+    assert decomposition.cp_als(empty, 2).fit == 1.0 and decomposition.cp_als(cells(spark, np.zeros((2, 2, 2))), 2).fit == 1.0
+    assert decomposition.chosen_rank([(1, 0, 0.5), (2, 0, 0.1), (3, 0, 0.098)]) == 2

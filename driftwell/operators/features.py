@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark import keyword_only
+from pyspark.ml import Transformer
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,14 +136,27 @@ def in_order(df: DataFrame, by: str = "series") -> DataFrame:
     return df.orderBy(*keys)
 
 
-class FeaturePipeline:
-    """Lags, cyclical and ordinal features as a transformer: ``fit`` learns nothing and returns the pipeline itself."""
+class FeaturePipeline(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Lags, cyclical and ordinal features as a transformer that is saved with a model; ``fit`` learns nothing and returns the pipeline itself."""
 
-    def __init__(self, keys: list[str], date: str = "date"):
-        self.keys, self.date = keys, date
+    keys = Param(Params._dummy(), "keys", "columns that tell series apart", TypeConverters.toListString)
+    date = Param(Params._dummy(), "date", "column that orders a series", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, keys: list[str] | None = None, date: str = "date"):
+        super().__init__()
+        self._setDefault(keys=[], date="date")
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def fit(self, df: DataFrame) -> FeaturePipeline:
         return self
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return prepare(df, self.keys, self.date)
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return prepare(df, self.getOrDefault(self.keys), self.getOrDefault(self.date))
+
+
+class ServingFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """``serving_rows`` as a transformer, so that one saved model takes raw requests."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return serving_rows(df)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, ProbabilisticClassificationModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions.columns import running_sums
@@ -73,9 +75,14 @@ def stratified_split(df: DataFrame, label: str, id_col: str, share: float = 0.25
     return ranked.select(*df.columns, (F.col("cum__one") <= F.col("_take")).alias("is_test"))
 
 
+def serving_model(model: PipelineModel) -> PipelineModel:
+    """A fitted model that takes raw prediction requests: it holds the serving features too, and is saved and loaded with them."""
+    return PipelineModel([features.ServingFeatures(), *model.stages])
+
+
 def predictions(model: PipelineModel, requests: DataFrame) -> DataFrame:
-    """Batch prediction of requests: serving features, model, clamp at 0."""
-    return model.transform(features.serving_rows(requests)).select("store_id", "product_id", "date", features.clamped(F.col("prediction")).alias("predicted_demand"))
+    """Batch prediction of requests by a ``serving_model``, clamped at 0."""
+    return model.transform(requests).select("store_id", "product_id", "date", features.clamped(F.col("prediction")).alias("predicted_demand"))
 
 
 def linear_attributions(rows: DataFrame, background: DataFrame, coefficients: dict[str, float], id_col: str = "id") -> DataFrame:
@@ -85,25 +92,58 @@ def linear_attributions(rows: DataFrame, background: DataFrame, coefficients: di
     return wide.unpivot([id_col], list(coefficients), "feature", "phi")
 
 
-def sampled_attributions(model: PipelineModel, rows: DataFrame, background: DataFrame, columns: list[str], id_col: str = "id", permutations: int = 8, background_rows: int = 16, seed: int = 0) -> DataFrame:
-    """(id, feature, phi): sampled Shapley values of any model (Strumbelj and Kononenko 2014).
+def model_output(model: PipelineModel) -> Column:
+    """What is explained: the probability of class 1 of a classifier, the prediction of any other model."""
+    last = model.stages[-1]
+    return vector_to_array(F.col("probability"))[1] if isinstance(last, ProbabilisticClassificationModel) else F.col("prediction")
+
+
+def drawn_background(background: DataFrame, columns: list[str], background_rows: int = 100, seed: int = 0) -> DataFrame:
+    """(_b, columns): at most ``background_rows`` rows, those with the smallest hashes, numbered."""
+    drawn = background.select(*columns).orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(background_rows)
+    return materialise(drawn.withColumn("_b", F.monotonically_increasing_id()))
 
-    For each row and each of ``permutations`` hashed orders a background row is drawn from at most ``background_rows``; features take the row's
-    values one after another, and each is credited with the change of the prediction.
+
+def sampled_attributions(model: PipelineModel, rows: DataFrame, background: DataFrame, columns: list[str], id_col: str = "id", error: float = 0.01, max_rounds: int = 16, background_rows: int = 100, seed: int = 0) -> DataFrame:
+    """(id, feature, phi, standard_error, rounds): sampled Shapley values of any model (Strumbelj and Kononenko 2014).
+
+    In each round a row meets every background row, with a hashed order of its features and with the reverse of that order; features
+    take the row's values one after another, and each is credited with the change of the model's output. So a row's values sum to its output less the
+    mean output of the background, whatever was drawn. The standard error is that of the rounds' means; rows whose features all have
+    at most ``error`` after two rounds or more are drawn no further, and ``max_rounds`` ends the others. Ids must be unique.
     """
-    drawn = background.select(*(F.col(c).alias(f"_b_{c}") for c in columns)).orderBy(F.xxhash64(*(f"_b_{c}" for c in columns), F.lit(seed))).limit(background_rows)
-    numbered = drawn.withColumn("_k", F.row_number().over(Window.orderBy(*(f"_b_{c}" for c in columns))) - 1)
-    n = max(1, numbered.count())
-    spread = rows.select(id_col, *columns).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn("_k", F.pmod(F.xxhash64(id_col, "_p", F.lit(seed)), F.lit(n)).cast("int"))
-    paired = spread.join(F.broadcast(numbered), "_k")  # at most background_rows rows
-    names = F.array(*map(F.lit, columns))
-    order = F.transform(F.array_sort(F.transform(names, lambda c: F.struct(F.xxhash64(c, F.col(id_col), F.col("_p")).alias("h"), c.alias("c")))), lambda x: x["c"])
-    steps = paired.withColumn("_o", order).select("*", F.explode(F.sequence(F.lit(0), F.lit(len(columns)))).alias("_s"))
-    taken: dict[str, Column] = {c: F.when(F.array_position("_o", F.lit(c)) <= F.col("_s"), F.col(c)).otherwise(F.col(f"_b_{c}")) for c in columns}
-    scored = model.transform(steps.withColumns(taken)).select(id_col, "_p", "_s", F.get("_o", F.col("_s") - 1).alias("feature"), "prediction")
-    w = Window.partitionBy(id_col, "_p").orderBy("_s")
-    gains = scored.withColumn("gain", F.col("prediction") - F.lag("prediction").over(w)).where("_s > 0")
-    return gains.groupBy(id_col, "feature").agg(F.avg("gain").alias("phi"))
+    told = drawn_background(background, columns, background_rows, seed)
+    others = told.select("_b", *(F.col(c).alias(f"_b_{c}") for c in columns))
+    n_background = told.count()
+    own = materialise(rows.select(id_col, *columns))
+    names, count = F.array(*map(F.lit, columns)), len(columns)
+    settled, state = None, None
+    for k in range(1, max_rounds + 1):
+        # A broadcast of at most background_rows rows, all of which every row meets.
+        met = own.withColumn("_k", F.lit(1)).join(F.broadcast(others.withColumn("_k", F.lit(1))), "_k")
+        order = F.transform(F.array_sort(F.transform(names, lambda c: F.struct(F.xxhash64(c, F.col(id_col), F.col("_b"), F.lit(k), F.lit(seed)).alias("h"), c.alias("c")))), lambda x: x["c"])  # noqa: B023
+        both = met.withColumn("_o", F.explode(F.array(order, F.reverse(order))))
+        steps = both.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(count))))
+        taken: dict[str, Column] = {c: F.when(F.array_position("_o", F.lit(c)) <= F.col("_s"), F.col(c)).otherwise(F.col(f"_b_{c}")) for c in columns}
+        scored = model.transform(steps.withColumns(taken)).select(id_col, "_o", "_s", model_output(model).alias("_y"))
+        # A step's output counts for the feature that it added, and against the one that comes next.
+        credit = F.array(F.struct(F.get("_o", F.col("_s") - 1).alias("feature"), F.col("_y").alias("g")), F.struct(F.get("_o", F.col("_s")).alias("feature"), (-F.col("_y")).alias("g")))
+        means = scored.select(id_col, F.inline(credit)).where("feature is not null").groupBy(id_col, "feature").agg((F.sum("g") / (2 * n_background)).alias("m"))
+        fresh = means.select(id_col, "feature", F.lit(1).alias("rounds"), F.col("m").alias("s1"), (F.col("m") * F.col("m")).alias("s2"))
+        both_rounds = fresh if state is None else fresh.unionByName(state)
+        state = materialise(both_rounds.groupBy(id_col, "feature").agg(F.sum("rounds").cast("int").alias("rounds"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")))
+        if k == 1:
+            continue
+        spread = F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("rounds"), F.lit(0.0))
+        judged = state.withColumn("standard_error", F.sqrt(spread / (F.col("rounds") - 1) / F.col("rounds")))
+        wide = materialise(judged.groupBy(id_col).agg(F.max("standard_error").alias("_worst")).where(F.col("_worst") > error).select(id_col)) if k < max_rounds else None
+        done = judged if wide is None else judged.join(wide, id_col, "left_anti")
+        found = materialise(done.select(id_col, "feature", (F.col("s1") / F.col("rounds")).alias("phi"), "standard_error", "rounds"))
+        settled = found if settled is None else settled.unionByName(found)
+        if wide is None or not wide.head(1):
+            break
+        own, state = materialise(own.join(wide, id_col, "left_semi")), materialise(state.join(wide, id_col, "left_semi"))
+    return settled
 
 
 def train_line(df: DataFrame, columns: list[str], label: str) -> PipelineModel:
@@ -111,12 +151,15 @@ def train_line(df: DataFrame, columns: list[str], label: str) -> PipelineModel:
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="x", handleInvalid="skip"), LinearRegression(featuresCol="x", labelCol=label, solver="normal")]).fit(df)
 
 
-def training_workflow(table: DataFrame, keys: list[str], train: tuple[str, str], validation: tuple[str, str], store: Snapshots, model_path: str, champion_mae: float | None = None, limits: Gate = Gate(), trees: int = 200) -> DataFrame:
-    """One row of metrics and the gate's decision. A model that passes is saved, and its training features become the snapshot ``reference``."""
+def training_workflow(table: DataFrame, keys: list[str], train: tuple[str, str], validation: tuple[str, str], store: Snapshots, model_path: str, champion_mae: float | None = None, limits: Gate = Gate(), trees: int = 200, train_model: Callable[[DataFrame, list[str], str], PipelineModel] | None = None) -> DataFrame:
+    """One row of metrics and the gate's decision. A model that passes is saved, and its training features become the snapshot ``reference``.
+
+    ``train_model`` takes rows, features and label, in place of the boosted regressor of ``trees``.
+    """
     ready = materialise(features.prepare(table, keys))
     a, b = features.date_range(ready, "date", *train), features.date_range(ready, "date", *validation)
     columns = [c for c in features.FEATURES if c in ready.columns]
-    model = train_regressor(a, columns, "demand", trees)
+    model = train_model(a, columns, "demand") if train_model else train_regressor(a, columns, "demand", trees)
     result = metrics.regression(model.transform(b), "demand", "prediction").withColumns({"champion_mae": F.lit(champion_mae).cast("double"), "n_train_samples": F.lit(a.count())})
     decided = materialise(gate(result, limits))
     if decided.first()["passed"]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,12 +41,25 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
 
 
 def integrity(links: list[tuple[str, DataFrame, DataFrame, str, str]]) -> DataFrame:
-    """(fk, n_violations) for each (name, child, parent, child_key, parent_key)."""
-    out = None
-    for name, child, parent, ck, pk in links:
-        row = orphans(child, parent, ck, pk).agg(F.count("*").alias("n_violations")).select(F.lit(name).alias("fk"), "n_violations")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """(fk, n_violations) for each (name, child, parent, child_key, parent_key); NULL keys violate.
+
+    A child with several keys (the same DataFrame in ``links``) is read once: its keys are counted before they are shuffled, so that
+    no key is common, and only distinct ones meet the parents'.
+    """
+    children: list[tuple[DataFrame, list[tuple[str, str]]]] = []
+    for name, child, _, ck, _ in links:
+        own = next((found for df, found in children if df is child), None)
+        if own is None:
+            children.append((child, [(name, ck)]))
+        else:
+            own.append((name, ck))
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    keys = union([df.select(F.inline(F.array(*(F.struct(F.lit(n).alias("fk"), F.col(c).cast("string").alias("key")) for n, c in found)))) for df, found in children])
+    counted = keys.groupBy("fk", "key").agg(F.count("*").alias("n"))
+    parents = union([parent.select(F.lit(name).alias("fk"), F.col(pk).cast("string").alias("key")) for name, _, parent, _, pk in links]).distinct()
+    missing = counted.join(parents, ["fk", "key"], "left_anti").groupBy("fk").agg(F.sum("n").alias("n"))
+    names = keys.sparkSession.createDataFrame([(x[0],) for x in links], "fk string")
+    return names.join(missing, "fk", "left").select("fk", F.coalesce("n", F.lit(0)).alias("n_violations"))
 
 
 def age(born: Column, as_of: Column) -> Column:

@@ -132,7 +132,7 @@ def _series(spark, d):
 def prepared_features(spark, d):
     """The model's features of daily series in canonical order, rows that miss one left out."""
     series = features.calendar(_series(spark, d), "date")
-    ready = features.FeaturePipeline(["store_id", "product_id"]).fit(series).transform(series)
+    ready = features.FeaturePipeline(keys=["store_id", "product_id"]).fit(series).transform(series)
     out = features.feature_columns(ready, "store_id", "product_id", "date")
     return out.select("store_id", "product_id", "date", *((F.round(c, 4) + F.lit(0.0)).alias(c) for c in features.FEATURES))
 
@@ -147,7 +147,11 @@ def ordered_series(spark, d):
 def snapshot_round_trip(spark, d):
     store = Snapshots(spark, shared_path(spark, "snapshots"))
     store.save("daily", _daily(spark, d))
-    return store.load("daily").groupBy("event_type").agg(F.count("*").alias("days"), F.round(F.sum("demand"), 4).alias("demand"))
+    first = store.load("daily")
+    store.save("daily", _daily(spark, d).where(F.dayofmonth("date") > 15))
+    # The first version is read after the second was saved.
+    sums = lambda df, version: df.groupBy("event_type").agg(F.count("*").alias("days"), F.round(F.sum("demand"), 4).alias("demand")).withColumn("version", F.lit(version))
+    return sums(first, 1).unionByName(sums(store.load("daily"), 2))
 
 
 def _replayed(spark, d, start, max_files):
@@ -292,7 +296,7 @@ round(sin((month(o_orderdate) - 1) * (2 * pi() / 12)), 6) + 0.0 as month_sin, ro
     "label_codes": "with n as (select c_mktsegment, row_number() over (order by c_mktsegment) - 1 as code from (select distinct c_mktsegment from customer where c_mktsegment is not null)) select c_mktsegment, cast(code as int) as code, count(*) as n from customer left join n using (c_mktsegment) group by 1, 2",
     "date_split": "select 'train' as part, count(*) as n, round(avg(o_totalprice), 4) as mean from orders where cast(o_orderdate as date) between date '1995-01-01' and date '1997-12-31' union all select 'validation', count(*), round(avg(o_totalprice), 4) from orders where cast(o_orderdate as date) between date '1998-01-01' and date '1998-12-31'",
     "serving_rows": "select o_orderkey as product_id, round(o_totalprice, 4) as price, round(o_totalprice / 2, 4) as lag_14_demand, 0.0::double as lag_1_demand, cast(o_custkey % 3 as double) as store_size_encoded, round(cos((month(o_orderdate) - 1) * (2 * pi() / 12)), 6) + 0.0 as month_cos from orders",
-    "snapshot_round_trip": f"select event_type, count(*) as days, round(sum(demand), 4) as demand from ({_DAILY}) group by 1",
+    "snapshot_round_trip": f"select event_type, count(*) as days, round(sum(demand), 4) as demand, 1 as version from ({_DAILY}) group by 1 union all select event_type, count(*), round(sum(demand), 4), 2 from ({_DAILY}) where day(date) > 15 group by 1",
     "stream_reports": f"with {_psi(_BATCHES)}, {_ks(_BATCHES)}, {_MEANS.format(v='v')}, {_ROWS} select cast(split_part(feature, '|', 1) as int) as part, split_part(feature, '|', 2) as feature, * exclude (feature) from rows",
     "stream_window_psi": _STREAM,
     "stream_window_psi_all": _STREAM.rsplit(" where ", 1)[0],

@@ -138,13 +138,39 @@ def regressor_gate(spark, d):
     return models.gate(metrics.regression(model.transform(rows.where(test)), "label", "prediction").withColumn("champion_mae", F.lit(None).cast("double"))).select("passed", "reason")
 
 
+def _parts(spark, d):
+    """Parts with two features and a label that is linear in them, and as a background one row for each nation."""
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").cast("double").alias("price"))
+    n = read(spark, d, "nation").select(F.col("n_nationkey").cast("double").alias("size"), (F.col("n_regionkey") * 100.0 + 1000.0).alias("price"))
+    return materialise(p.withColumn("label", 3.0 * F.col("size") - 0.5 * F.col("price") + 7.0)), n
+
+
 def sampled_attribution(spark, d):
-    rows = materialise(_price_rows(spark, d))
-    model = models.train_regressor(rows, ["l_quantity", "l_discount"], "label", trees=2)
-    phi = models.sampled_attributions(model, rows, rows, ["l_quantity", "l_discount"], permutations=2)
+    """Importances by sampled attributions of a boosted model of few trees."""
+    rows, background = _parts(spark, d)
+    model = models.train_regressor(rows, ["size", "price"], "label", trees=2)
+    phi = models.sampled_attributions(model, rows, background, ["size", "price"], error=0.5, max_rounds=4)
     return metrics.ranked_importances(phi)
 
 
+def attribution_linear(spark, d):
+    """Sampled attributions of a linear model, which are exact: the standard error is 0."""
+    rows, background = _parts(spark, d)
+    model = models.train_line(rows, ["size", "price"], "label")
+    phi = models.sampled_attributions(model, rows, background, ["size", "price"])
+    return phi.select("id", "feature", F.round("phi", 3).alias("phi"), (F.col("standard_error") < 1e-3).alias("exact"))
+
+
+def attribution_sums(spark, d):
+    """How many rows there are whose attributions by a boosted model sum to its prediction less the background's mean."""
+    rows, background = _parts(spark, d)
+    model = models.train_regressor(rows, ["size", "price"], "label", trees=2)
+    base = model.transform(background).agg(F.avg("prediction")).first()[0]
+    sums = models.sampled_attributions(model, rows, background, ["size", "price"], max_rounds=2).groupBy("id").agg(F.sum("phi").alias("phi"))
+    told = model.transform(rows).select("id", "prediction").join(sums, "id")
+    return told.groupBy((F.abs(F.col("phi") - (F.col("prediction") - F.lit(base))) < 1e-6).alias("sums")).agg(F.count("*").alias("n"))
+
+
 def _demand(spark, d) -> DataFrame:
     """Daily demand and mean price by event type as store and a hash bucket of users as product."""
     e = read(spark, d, "events").where("value is not null")
@@ -162,6 +188,25 @@ def workflow(spark, d):
     return models.monitoring_workflow(table, ["store_id", "product_id"], ("2024-01-25", "2024-01-30"), store).select("n_reference_samples", "n_current_samples", "overall_drift_detected", "retraining_recommended", "summary")
 
 
+def workflow_line(spark, d):
+    """The training workflow with least squares on one feature, and the row counts of the monitoring report after it."""
+    table = materialise(_demand(spark, d))
+    root = shared_path(spark, "workflow")
+    store = Snapshots(spark, root)
+    loose = models.Gate(max_mae=1e12, max_rmse=1e12, min_r2=-1e12)
+    line = lambda rows, _, label: models.train_line(rows, ["lag_1_demand"], label)
+    trained = models.training_workflow(table, ["store_id", "product_id"], ("2024-01-15", "2024-01-21"), ("2024-01-22", "2024-01-24"), store, f"{root}/model", limits=loose, train_model=line)
+    report = models.monitoring_workflow(table, ["store_id", "product_id"], ("2024-01-25", "2024-01-30"), store)
+    return trained.crossJoin(report).select("n_train_samples", *(F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2")), "passed", "n_reference_samples", "n_current_samples")  # one row each
+
+
+def logistic_solution(spark, d):
+    """Weight and intercept of the logistic model of one feature."""
+    rows = materialise(_scored(spark, d).select(F.col("y_true").cast("double").alias("y"), "y_prob"))
+    fitted = models.train_classifiers(rows, ["y_prob"], "y", trees=1)["logistic"].stages[-1]
+    return spark.createDataFrame([(float(fitted.coefficients[0]), float(fitted.intercept))], "weight double, intercept double").select(F.round("weight", 2).alias("weight"), F.round("intercept", 2).alias("intercept"))
+
+
 def clamped_predictions(spark, d):
     o = read(spark, d, "orders")
     return o.select("o_orderkey", features.clamped((F.col("o_totalprice") - 200_000) / 7).alias("prediction"))
@@ -199,10 +244,12 @@ def model_round_trip(spark, d):
 
 
 def batch_prediction(spark, d):
-    """Serving rows through a fitted model, clamped at 0."""
-    model, _ = _line(spark, d)
+    """Raw requests through a saved model that holds its serving features, clamped at 0."""
+    path = shared_path(spark, "serving")
+    save_model(models.serving_model(_line(spark, d)[0]), path)
+    model = load_model(path)
     o = read(spark, d, "orders").select(F.col("o_custkey").alias("store_id"), F.col("o_orderkey").alias("product_id"), F.to_date("o_orderdate").alias("date"), (F.col("o_totalprice") / 10_000 - 5).alias("price"))
-    return models.predictions(model, o).select("product_id", F.round("predicted_demand", 1).alias("predicted_demand"))
+    return models.predictions(model, o).select("product_id", "predicted_demand")
 
 
 def model_store(spark, d):
@@ -232,7 +279,7 @@ def top_importances(spark, d):
     return metrics.top_importances(phi, 2).select("feature", F.round("mean_abs", 4).alias("mean_abs"), "rank")
 
 
-QUERIES = {f.__name__: f for f in (classifier_metrics, gain_table, fairness_slices, risk_score, card_compare, card_promotion, card_json, registry_current, registry_update, registry_tags, champions, next_version, regression_metrics, promotion_gate, stratified_split, linear_attribution, regressor_gate, sampled_attribution, workflow, clamped_predictions, top_slices, classifier_training, model_round_trip, batch_prediction, model_store, champion_metric, top_importances)}
+QUERIES = {f.__name__: f for f in (classifier_metrics, gain_table, fairness_slices, risk_score, card_compare, card_promotion, card_json, registry_current, registry_update, registry_tags, champions, next_version, regression_metrics, promotion_gate, stratified_split, linear_attribution, regressor_gate, sampled_attribution, attribution_linear, attribution_sums, workflow, workflow_line, logistic_solution, clamped_predictions, top_slices, classifier_training, model_round_trip, batch_prediction, model_store, champion_metric, top_importances)}
 
 
 def _rows(scale: float) -> str:
@@ -287,10 +334,26 @@ select l_returnflag, starts_with(reason, 'PASSED') as passed, reason from t""",
     "stratified_split": f"with s as ({_rows(600000.0)}) select t as y_true, cast(floor(count(*) * 0.25) as bigint) as n_test, count(*) - cast(floor(count(*) * 0.25) as bigint) as n_train from s group by 1",
     "linear_attribution": """with m as (select avg(l_quantity) as q, avg(l_discount) as d, avg(l_tax) as t from lineitem), a as (select 'l_quantity' as feature, avg(abs(1500.0 * (l_quantity - q))) as v from lineitem, m union all select 'l_discount', avg(abs(-200.0 * (l_discount - d))) from lineitem, m union all select 'l_tax', avg(abs(10.0 * (l_tax - t))) from lineitem, m)
 select feature, round(v, 4) as mean_abs, cast(row_number() over (order by v desc, feature) as int) as rank from a""",
+    "attribution_linear": """with b as (select avg(n_nationkey) as s, avg(n_regionkey * 100.0 + 1000.0) as p from nation)
+select p_partkey as id, 'size' as feature, round(3.0 * (p_size - s), 3) as phi, true as exact from part, b union all select p_partkey, 'price', round(-0.5 * (p_retailprice - p), 3), true from part, b""",
+    "attribution_sums": "select true as sums, count(*) as n from part",
+    "workflow_line": """with s as (select event_type as store_id, user_id % 4 as product_id, cast(ts as date) as date, sum(value) as demand, avg(value) as price from events where value is not null group by 1, 2, 3),
+l as (select *, lag(demand, 1) over w as l1, lag(demand, 7) over w as l7, lag(demand, 14) over w as l14, case when count(demand) over w7 = 7 then 1 end as r7, case when count(demand) over w14 = 14 then 1 end as r14 from s
+window w as (partition by store_id, product_id order by date), w7 as (partition by store_id, product_id order by date rows between 7 preceding and 1 preceding), w14 as (partition by store_id, product_id order by date rows between 14 preceding and 1 preceding)),
+f as (select * from l where l1 is not null and l7 is not null and l14 is not null and r7 is not null and r14 is not null),
+a as (select * from f where date between date '2024-01-15' and date '2024-01-21'), m as (select regr_slope(demand, l1) as b, regr_intercept(demand, l1) as a, count(*) as n from a),
+v as (select demand as y, demand - (m.a + m.b * l1) as e from f, m where date between date '2024-01-22' and date '2024-01-24')
+select (select n from m) as n_train_samples, round(avg(abs(e)), 4) as mae, round(sqrt(avg(e * e)), 4) as rmse, round(1 - sum(e * e) / (var_pop(y) * count(y)), 4) as r2, true as passed, (select n from m) as n_reference_samples, (select count(*) from f where date between date '2024-01-25' and date '2024-01-30') as n_current_samples from v""",
+    "logistic_solution": f"""with recursive s as materialized (select t::double as y, s as x from ({_rows(600000.0)})), c as (select count(*)::double as n from s),
+w(i, a, b) as (select 0, 0.0::double, 0.0::double union all
+ select i + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) from (
+  select i, a, b, sum(p - y) as ga, sum((p - y) * x) + b / 0.1 as gb, sum(p * (1 - p)) as haa, sum(p * (1 - p) * x) as hab, sum(p * (1 - p) * x * x) + 1 / 0.1 as hbb
+  from (select i, a, b, x, y, 1 / (1 + exp(-(a + b * x))) as p from w, s where i < 12) group by i, a, b))
+select round(b, 2) as weight, round(a, 2) as intercept from w where i = 12""",
     "clamped_predictions": "select o_orderkey, greatest(0.0, round_even((o_totalprice - 200000) / 7, 2)) as prediction from orders",
     "top_slices": f"with {_perf('a', 600000.0)} select slice_name, round(disparate_impact, 6) as disparate_impact from a_d order by a_d.disparate_impact, slice_name limit 3",
     "model_round_trip": "with m as (select regr_slope(l_extendedprice, l_quantity) as b, regr_intercept(l_extendedprice, l_quantity) as a from lineitem) select distinct l_quantity as price, round(a + b * l_quantity, 4) as prediction from lineitem, m",
-    "batch_prediction": "with m as (select regr_slope(l_extendedprice, l_quantity) as b, regr_intercept(l_extendedprice, l_quantity) as a from lineitem) select o_orderkey as product_id, round(greatest(0.0, round_even(a + b * (o_totalprice / 10000 - 5), 2)), 1) as predicted_demand from orders, m",
+    "batch_prediction": "with m as (select regr_slope(l_extendedprice, l_quantity) as b, regr_intercept(l_extendedprice, l_quantity) as a from lineitem) select o_orderkey as product_id, greatest(0.0, round_even(a + b * (o_totalprice / 10000 - 5), 2)) as predicted_demand from orders, m",
     "model_store": """with m as (select case when l_discount < 0.05 then 'low' else 'high' end as model, regr_slope(l_extendedprice, l_quantity) as b, regr_intercept(l_extendedprice, l_quantity) as a, cast(count(*) as double) as n from lineitem group by 1),
 k as (select model, b, a, case model when 'low' then 1::bigint else 2::bigint end as version, n as n_rows, model = 'low' as is_champion from m union all select 'champion', b, a, null, null, null from m where model = 'low'), x as (select unnest(range(1, 11)) as p)
 select model, cast(p as double) as price, round(a + b * p, 4) as prediction, version, n_rows, is_champion from k, x""",

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+from collections.abc import Callable
+from datetime import UTC, datetime
+
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-INDEX = "name string, path string, saved_at timestamp"
+from driftwell.sources.event_log import EventLog
+
+SAVES = "seq long, name string, version int, path string, saved_at timestamp"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,32 +20,46 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Snapshots:
-    """Named Parquet snapshots under ``root``, with an index table of every save."""
+    """Named Parquet snapshots under ``root``: each save has a folder of its own that never changes, and is committed by an event in a log.
+
+    Readers of a snapshot are not disturbed by later saves, earlier versions can be loaded by number or by time, and a save that
+    failed midway is never seen.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _index(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(INDEX).parquet(f"{self.root}/_snapshot_index")
-        except AnalysisException:
-            return self.spark.createDataFrame([], INDEX)
+        self.log = EventLog(spark, f"{self.root}/_saves", SAVES)
 
     def save(self, name: str, df: DataFrame) -> str:
-        """Write a snapshot, in place of any of that name."""
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        self.spark.range(1).select(F.lit(name).alias("name"), F.lit(path).alias("path"), F.current_timestamp().alias("saved_at")).write.mode("append").parquet(f"{self.root}/_snapshot_index")
+        """Write a new version of a snapshot and return its folder."""
+        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+
+        def commit(seq: int, before: DataFrame) -> dict:
+            last = before.where(F.col("name") == name).agg(F.max("version")).first()[0] or 0
+            return {"name": name, "version": last + 1, "path": path, "saved_at": datetime.now(UTC).isoformat()}
+
+        self.log.append(commit)
         return path
 
+    def versions(self, name: str | None = None) -> DataFrame:
+        """Every save, or those of one name."""
+        saves = self.log.events()
+        return saves if name is None else saves.where(F.col("name") == name)
+
     def list(self) -> DataFrame:
         """The latest save of each name."""
-        w = Window.partitionBy("name").orderBy(F.desc("saved_at"))
-        return self._index().withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").orderBy("name")
-
-    def load(self, name: str) -> DataFrame:
-        """A snapshot; KeyError if there is none of that name."""
-        row = self.list().where(F.col("name") == name).head(1)
+        last = self.versions().groupBy("name").agg(F.max_by(F.struct("version", "path", "saved_at"), "seq").alias("s"))
+        return last.select("name", "s.*").orderBy("name")
+
+    def load(self, name: str, version: int | None = None, as_of: datetime | None = None) -> DataFrame:
+        """A snapshot: the latest, that of a number, or the latest saved at a time or before; KeyError if there is none."""
+        saves = self.versions(name)
+        if version is not None:
+            saves = saves.where(F.col("version") == version)
+        if as_of is not None:
+            saves = saves.where(F.col("saved_at") <= F.lit(as_of))
+        row = saves.orderBy(F.desc("seq")).head(1)
         if not row:
             raise KeyError(name)
         return self.spark.read.parquet(row[0]["path"])
@@ -69,46 +88,53 @@ MODELS = "seq long, artifact_id string, artifact_type string, version int, creat
 
 
 class ModelStore:
-    """Fitted models under ``root``, each with a row of metadata in an append-only event table."""
+    """Fitted models under ``root``, each with an event of metadata in a log that several writers may append to."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.log = EventLog(spark, f"{self.root}/_events", MODELS)
 
     def events(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(MODELS).parquet(f"{self.root}/_events")
-        except AnalysisException:
-            return self.spark.createDataFrame([], MODELS)
-
-    def _append(self, artifact_id: str, version: int, event: str, metadata: dict[str, float]) -> None:
-        seq = self.events().count() + 1
-        pairs = [F.lit(x) for k, v in metadata.items() for x in (k, float(v))]
-        row = self.spark.range(1).select(
-            F.lit(seq).cast("long").alias("seq"), F.lit(artifact_id).alias("artifact_id"), F.lit("model").alias("artifact_type"), F.lit(version).alias("version"),
-            F.current_timestamp().alias("created_at"), F.lit(event).alias("event"), F.create_map(*pairs).cast("map<string,double>").alias("metadata"))
-        row.write.mode("append").parquet(f"{self.root}/_events")
+        return self.log.events()
+
+    def _append(self, artifact_id: str, event: str, told: Callable[[DataFrame], tuple[int, dict[str, float]]]) -> int:
+        def make(seq: int, before: DataFrame) -> dict:
+            version, metadata = told(before)
+            return {"artifact_id": artifact_id, "artifact_type": "model", "version": version, "created_at": datetime.now(UTC).isoformat(), "event": event, "metadata": {k: float(v) for k, v in metadata.items()}}
+
+        return self.log.append(make)["version"]
 
     def save(self, model: PipelineModel, artifact_id: str, metadata: dict[str, float]) -> int:
         """The version of the model, one more than the models saved before."""
-        version = self.events().where("event = 'save'").select("artifact_id").distinct().count() + 1
         save_model(model, f"{self.root}/{artifact_id}")
-        self._append(artifact_id, version, "save", metadata)
-        return version
+        return self._append(artifact_id, "save", lambda before: (before.where("event = 'save'").select("artifact_id").distinct().count() + 1, metadata))
 
-    def promote(self, artifact_id: str) -> None:
-        """Make a saved model the champion. KeyError if there is none of that id."""
-        row = self.events().where((F.col("event") == "save") & (F.col("artifact_id") == artifact_id)).orderBy(F.desc("seq")).head(1)
+    def _saved(self, artifact_id: str, events: DataFrame):
+        row = events.where((F.col("event") == "save") & (F.col("artifact_id") == artifact_id)).orderBy(F.desc("seq")).head(1)
         if not row:
             raise KeyError(artifact_id)
-        self._append(artifact_id, row[0]["version"], "promote", row[0]["metadata"])
+        return row[0]
+
+    def promote(self, artifact_id: str) -> None:
+        """Make a saved model the champion. KeyError if there is none of that id."""
+
+        def told(before: DataFrame) -> tuple[int, dict[str, float]]:
+            saved = self._saved(artifact_id, before)
+            return saved["version"], saved["metadata"]
+
+        self._append(artifact_id, "promote", told)
 
     def load(self, artifact_id: str) -> PipelineModel:
         """A model by id. KeyError if there is none of that id."""
-        if not self.events().where((F.col("event") == "save") & (F.col("artifact_id") == artifact_id)).head(1):
-            raise KeyError(artifact_id)
+        self._saved(artifact_id, self.events())
         return PipelineModel.load(f"{self.root}/{artifact_id}")
 
+    def champion(self) -> tuple[PipelineModel, str, dict[str, float]] | None:
+        """The model promoted last, its id and its metadata, from one reading of the log; or None."""
+        row = self.events().where("event = 'promote'").orderBy(F.desc("seq")).head(1)
+        return (PipelineModel.load(f"{self.root}/{row[0]['artifact_id']}"), row[0]["artifact_id"], row[0]["metadata"]) if row else None
+
     def load_champion(self) -> PipelineModel | None:
         """The model promoted last, or None."""
-        row = self.events().where("event = 'promote'").orderBy(F.desc("seq")).head(1)
-        return self.load(row[0]["artifact_id"]) if row else None
+        found = self.champion()
+        return found[0] if found else None

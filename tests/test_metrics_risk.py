@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -128,7 +130,7 @@ def test_attributions(spark):
     total = phi.groupBy("id").agg(F.sum("phi").alias("s")).join(rows, "id").select((F.col("s") - (2 * F.col("a") - F.col("b") - 57)).alias("d"))
     assert all(abs(r["d"]) < 1e-9 for r in total.collect())
     model = models.train_regressor(rows.withColumn("y", 3 * F.col("a")), ["a", "b"], "y", trees=3)
-    sampled = metrics.ranked_importances(models.sampled_attributions(model, rows, rows, ["a", "b"], permutations=2)).orderBy("rank").collect()
+    sampled = metrics.ranked_importances(models.sampled_attributions(model, rows, rows, ["a", "b"], max_rounds=2, background_rows=16)).orderBy("rank").collect()
     assert sampled[0]["feature"] == "a" and sampled[1]["mean_abs"] <= sampled[0]["mean_abs"]
 
 
@@ -136,3 +138,28 @@ def test_split_is_exact(spark):
     df = spark.range(103).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"))
     got = {r["y"]: r["n"] for r in models.stratified_split(df.repartition(5), "y", "id").where("is_test").groupBy("y").agg(F.count("*").alias("n")).collect()}
     assert got == {0: 17, 1: 8}
+
+
+def test_attributions_of_a_classifier_meet_their_error(spark):
+    """Exact values of three features by all orders, within the stated errors; sums are the class's probability less the background's mean."""
+    rows = spark.createDataFrame([(k, float(k % 5), float(k % 3), float(k % 7), float(k % 5 > 1 and k % 3 < 2)) for k in range(60)], "id int, a double, b double, c double, y double")
+    names = ["a", "b", "c"]
+    model = models.train_classifiers(rows, names, "y", trees=6)["boosted"]
+    background = rows.where("id < 8")
+    asked = rows.where("id between 20 and 26")
+    got = {(r["id"], r["feature"]): r for r in models.sampled_attributions(model, asked, background, names, error=0.01, max_rounds=12).collect()}
+    probability = lambda df: {tuple(r[:3]): float(r["probability"][1]) for r in model.transform(df).select(*names, "probability").collect()}
+    others = [tuple(r) for r in background.select(*names).collect()]
+    mixed = {tuple(x[i] if m >> i & 1 else b[i] for i in range(3)) for x in (tuple(r) for r in asked.select(*names).collect()) for b in others for m in range(8)}
+    f = probability(spark.createDataFrame(sorted(mixed), "a double, b double, c double"))
+    for r in asked.collect():
+        x = (r["a"], r["b"], r["c"])
+        at = lambda taken: sum(f[tuple(x[i] if i in taken else b[i] for i in range(3))] for b in others) / len(others)  # noqa: B023, E731
+        total = 0.0
+        for i, name in enumerate(names):
+            exact = sum(at(set(o[: o.index(i) + 1])) - at(set(o[: o.index(i)])) for o in itertools.permutations(range(3))) / 6
+            found = got[r["id"], name]
+            assert abs(found["phi"] - exact) <= 5 * found["standard_error"] + 1e-6
+            assert 2 <= found["rounds"] <= 12 and (found["standard_error"] <= 0.01 or found["rounds"] == 12)
+            total += found["phi"]
+        assert total == pytest.approx(at({0, 1, 2}) - at(set()), abs=1e-9)

@@ -3,13 +3,19 @@ from __future__ import annotations
 import random
 import re
 import time
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from driftwell.operators import decomposition, pii_spans, records, tensor
-from driftwell.sources.tables import Snapshots, export_csv
+from driftwell.operators import decomposition, features, models, pii_spans, records, registry, tensor
+from driftwell.sources.event_log import EventLog
+from driftwell.sources.tables import ModelStore, Snapshots, export_csv, load_model, save_model
 
 POSITIVE = {
     "SSN": ["id 123-45-6789."], "PHONE": ["call 800-555-1234", "312.555.0192", "+1 650-555-2020"], "EMAIL": ["john+work@company.org"],
@@ -200,7 +206,15 @@ def test_snapshots_and_csv(spark, tmp_path):
     store.save("a", spark.range(3))
     store.save("a", spark.range(5))
     store.save("b", spark.range(1))
-    assert store.load("a").count() == 5 and [r["name"] for r in store.list().collect()] == ["a", "b"]
+    old = store.load("a", version=1)
+    between = store.versions("a").where("version = 1").first()["saved_at"]
+    store.save("a", spark.range(7))
+    assert old.count() == 3 and store.load("a", version=2).count() == 5 and store.load("a", as_of=between).count() == 3
+    assert store.load("a").count() == 7 and [r["name"] for r in store.list().collect()] == ["a", "b"]
+    with pytest.raises(KeyError):
+        store.load("a", version=9)
+    with pytest.raises(KeyError):
+        store.load("a", as_of=datetime(2001, 1, 1))
     export_csv({"x": spark.range(2)}, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv/x")).count() == 2
 
@@ -268,3 +282,78 @@ def test_no_cells_and_chosen_rank(spark):
     empty = cells(spark, np.zeros((1, 1, 1))).limit(0)
     assert decomposition.cp_als(empty, 2).fit == 1.0 and decomposition.cp_als(cells(spark, np.zeros((2, 2, 2))), 2).fit == 1.0
     assert decomposition.chosen_rank([(1, 0, 0.5), (2, 0, 0.1), (3, 0, 0.098)]) == 2
+
+
+def test_two_writers_give_one_order(spark, tmp_path):
+    """Writers that append at once take turns: numbers without gaps, each event once, and one champion."""
+    root = str(tmp_path / "log")
+    schema = "seq long, who int, k int, seen long"
+
+    def write(who):
+        log = EventLog(spark, root, schema)
+        return [log.append(lambda seq, before, k=k: {"who": who, "k": k, "seen": before.count()})["seq"] for k in range(4)]
+
+    with ThreadPoolExecutor(3) as pool:
+        numbers = sorted(n for ns in pool.map(write, range(3)) for n in ns)
+    rows = EventLog(spark, root, schema).events().orderBy("seq").collect()
+    assert numbers == [r["seq"] for r in rows] == list(range(1, 13)) and all(r["seen"] == r["seq"] - 1 for r in rows)
+    assert {(r["who"], r["k"]) for r in rows} == {(w, k) for w in range(3) for k in range(4)}
+
+
+def test_a_number_is_renamed_to_once(spark, tmp_path):
+    """What file systems other than the local one use."""
+    log = EventLog(spark, str(tmp_path / "log"), "seq long")
+    drafts = []
+    for name in ("one", "two"):
+        (tmp_path / name).write_text(name)
+        drafts.append(log._hadoop(f"file://{tmp_path}/{name}")[0])
+    target = log._hadoop(f"file://{tmp_path}/target")[0]
+    assert log._renamed(drafts[0], target) and not log._renamed(drafts[1], target)
+    assert (tmp_path / "target").read_text() == "one"
+
+
+def test_two_model_stores(spark, tmp_path):
+    rows = spark.range(20).select(F.col("id").cast("double").alias("a"), (F.col("id") * 2.0).alias("y"))
+    model = models.train_line(rows, ["a"], "y")
+
+    def run(name):
+        # Each writer has a store of its own.
+        store = ModelStore(spark, str(tmp_path / "store"))
+        version = store.save(model, name, {"mae": 1.0})
+        store.promote(name)
+        return version
+
+    with ThreadPoolExecutor(2) as pool:
+        versions = sorted(pool.map(run, ["a", "b"]))
+    store = ModelStore(spark, str(tmp_path / "store"))
+    events = store.events()
+    assert versions == [1, 2] and sorted(r["seq"] for r in events.collect()) == [1, 2, 3, 4]
+    found, name, metadata = store.champion()
+    assert registry.champions(events).where("is_champion").count() == 1 and name == events.where("event = 'promote'").orderBy(F.desc("seq")).first()["artifact_id"] and metadata == {"mae": 1.0}
+    assert found.transform(rows).where("abs(prediction - y) > 1e-6").count() == 0
+    with pytest.raises(KeyError):
+        store.promote("absent")
+
+
+def test_features_are_saved_with_the_model(spark, tmp_path):
+    """One saved pipeline holds lags, encodings and model, and gives the same predictions in a new session."""
+    rows = spark.createDataFrame([(s, 1, f"2024-01-{d + 1:02d}", float(d * (s + 1)), 2.0) for s in range(2) for d in range(30)], "store_id int, product_id int, date string, demand double, price double").withColumn("date", F.to_date("date"))
+    fitted = Pipeline(stages=[features.FeaturePipeline(keys=["store_id", "product_id"]), VectorAssembler(inputCols=["lag_1_demand", "rolling_7_mean"], outputCol="x"), LinearRegression(featuresCol="x", labelCol="demand")]).fit(rows)
+    save_model(fitted, str(tmp_path / "m"))
+    want = fitted.transform(rows).select("store_id", "date", "prediction").collect()
+    again = spark.newSession()
+    got = load_model(str(tmp_path / "m")).transform(again.createDataFrame(rows.toPandas(), rows.schema)).select("store_id", "date", "prediction").collect()
+    assert len(want) == 32 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    request = spark.createDataFrame([(1, 2, "2024-02-01", 3.0)], "store_id int, product_id int, date string, lag_1_demand double").withColumn("date", F.to_date("date"))
+    served = models.serving_model(models.train_line(rows.withColumn("lag_1_demand", F.col("demand")), ["lag_1_demand"], "demand"))
+    save_model(served, str(tmp_path / "s"))
+    assert models.predictions(load_model(str(tmp_path / "s")), request).first()["predicted_demand"] == 3.0
+
+
+def test_keys_of_a_child_in_one_scan(spark):
+    child = spark.createDataFrame([(1, "a"), (1, "b"), (9, "a"), (None, None), (2, "z")], "k int, s string")
+    links = [("k", child, spark.createDataFrame([(1,), (2,), (2,)], "id int"), "k", "id"), ("s", child, spark.createDataFrame([("a",), ("b",)], "name string"), "s", "name"), ("fine", child.where("k = 1"), spark.createDataFrame([(1,)], "id int"), "k", "id")]
+    got = records.integrity(links)
+    assert {tuple(r) for r in got.collect()} == {("k", 2), ("s", 2), ("fine", 0)}
+    plan = records.integrity(links[:2])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD [k#") + plan.count("LocalRelation [k#") + plan.count("Generate inline") == 2, plan

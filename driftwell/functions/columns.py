@@ -94,7 +94,12 @@ def quantiles(summed: DataFrame, group: list[str], value: str, count: str, point
     needed = F.broadcast(summed.groupBy(*group).agg(F.max(cum).alias("_n")).where("_n > 0").withColumn("_ranks", ends))
     rows = summed.where(F.col(count) > 0)
     held = rows.join(needed, group) if group else rows.crossJoin(needed)  # one row on the right
-    # Only the few rows that hold a needed rank go on.
+    grid = next((m for m in range(1, 101) if all(abs(p * m - round(p * m)) < 1e-9 for p in points)), None)
+    if grid:
+        # Points i / grid: one comparison leaves few rows, those whose ranks, or the ones beside them, reach over a point.
+        scale = F.try_divide(F.lit(float(grid)), F.col("_n") - 1)
+        held = held.where(F.coalesce(F.ceil(cum * scale + 1e-9) - F.floor((cum - F.col(count) - 1) * scale - 1e-9) > 1, F.lit(True)))
+    # Only the rows that hold a needed rank go on.
     at = held.select(*group, "_n", F.col(value).alias("_v"), F.explode(F.filter("_ranks", lambda x: (x >= cum - F.col(count)) & (x < cum))).alias("_rank"))
     found = at.groupBy(*group).agg(F.any_value("_n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
     value_at = lambda r: F.element_at("_at", r.cast("long"))

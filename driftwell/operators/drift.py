@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwell.functions.columns import kolmogorov_p, long_values, numeric_columns, quantiles, quantiles_of, running_sums, shared_numeric_columns
+from driftwell.sources.shared import materialise
 
 PSI_WARNING, PSI_CRITICAL, KS_ALPHA, EMPTY_SHARE = 0.10, 0.20, 0.05, 1e-6
 REF, CUR = "reference", "current"
@@ -70,7 +71,8 @@ def psi(values: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def psi_of_ties(ties: DataFrame, bins: int = 10) -> DataFrame:
-    edges = edges_of(quantiles(ties, ["feature"], "value", "r", [k / bins for k in range(bins + 1)]))
+    # A row for each feature, written as it is used twice.
+    edges = materialise(edges_of(quantiles(ties, ["feature"], "value", "r", [k / bins for k in range(bins + 1)])))
     return psi_from_edges(edges, bin_counts(ties, edges, bins))
 
 

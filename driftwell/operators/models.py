@@ -37,6 +37,7 @@ def gate(result: DataFrame, limits: Gate = Gate()) -> DataFrame:
     """
     mae, rmse, r2, champion = (F.col(c) for c in ("mae", "rmse", "r2", "champion_mae"))
     required = champion * (1 - limits.min_improvement)
+    # The reasons' texts.
     reason = (
         F.when(mae > limits.max_mae, F.format_string(f"FAILED: MAE %.4f exceeds threshold {limits.max_mae}", mae))
         .when(rmse > limits.max_rmse, F.format_string(f"FAILED: RMSE %.4f exceeds threshold {limits.max_rmse}", rmse))

@@ -111,7 +111,7 @@ def note_type(encounter_type: Column, encounter_id: Column, seed: int = 0) -> Co
     return F.when(encounter_type == "inpatient", "discharge_summary").when(drawn(encounter_id, 2, seed) == 0, "soap").otherwise("referral")
 
 
-def drawn(key: Column, n: int, seed: int = 0) -> Column:
+def drawn(key: Column, n: int | Column, seed: int = 0) -> Column:
     """A number from 0 to n - 1 that a digest of the key and the seed gives."""
     digest = F.md5(F.concat_ws("/", key.cast("string"), F.lit(str(seed))))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
@@ -120,11 +120,14 @@ def drawn(key: Column, n: int, seed: int = 0) -> Column:
 def notes(encounters: DataFrame, patients: DataFrame, labs: DataFrame, phrases: DataFrame, as_of: str) -> DataFrame:
     """(encounter_id, patient_id, note_type, text): a note for each encounter with a patient, in the layout of its type.
 
-    ``phrases`` (note_type, phrase) gives the closing words of each type; one row each.
+    ``phrases`` (note_type, phrase) is a pool of phrases for each type, few as they are written by hand; a digest of the encounter's id draws one of
+    them, in the order of their text, so that a note is the same whenever it is made.
     """
+    pools = phrases.groupBy("note_type").agg(F.array_sort(F.collect_set("phrase")).alias("_pool"))
     fields = ["test_name", "value", "unit", "reference_low", "reference_high", "collection_date"]
     rows = with_children(with_parent(encounters, patients, "patient_id"), labs, "encounter_id", fields, "labs")
-    rows = rows.withColumn("note_type", note_type(F.col("encounter_type"), F.col("encounter_id"))).join(phrases, "note_type", "left")
+    rows = rows.withColumn("note_type", note_type(F.col("encounter_type"), F.col("encounter_id"))).join(F.broadcast(pools), "note_type", "left")  # one row for each type
+    rows = rows.withColumn("phrase", F.get("_pool", drawn(F.col("encounter_id"), F.greatest(F.size("_pool"), F.lit(1)), 3).cast("int")))
     first = F.coalesce(F.get(F.col("diagnoses"), 0)["description"], F.lit("none"))
     name, years = F.concat_ws(" ", "first_name", "last_name"), age(F.col("dob"), F.lit(as_of).cast("date"))
     who = F.format_string("Patient: %s, %d years, %s", name, years, F.when(F.col("sex") == "M", "male").otherwise("female"))

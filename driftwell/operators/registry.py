@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STATUSES = ("staging", "production", "archived")
@@ -60,7 +60,3 @@ def tags_to_json(df: DataFrame, column: str = "tags") -> DataFrame:
 def stable_id(*columns: str):
     """An id that a retried task makes again: a digest of the natural key."""
     return F.sha2(F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns)), 256)
-
-
-def event_table(spark: SparkSession, path: str, schema: str = EVENTS) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftwell.functions.columns import long_values
 from driftwell.operators import drift, features, metrics
 from driftwell.operators.summaries import ReferenceSummary
-from driftwell.sources.shared import shared_path
+from driftwell.sources.shared import materialise, shared_path
 from driftwell.sources.tables import Snapshots, read
 from driftwell.streaming import monitor
 
@@ -138,10 +138,10 @@ def prepared_features(spark, d):
 
 
 def ordered_series(spark, d):
-    """Rows in order of series and date, with the values of those before and after that order gives."""
-    rows = features.in_order(_series(spark, d))
-    first = features.in_order(_series(spark, d), "date").limit(5).select("store_id", "product_id", "date", F.lit("date").alias("by"))
-    return rows.limit(7).select("store_id", "product_id", "date", F.lit("series").alias("by")).unionByName(first)
+    """All rows with their places in the order of series and in that of dates."""
+    rows = materialise(_series(spark, d).select("store_id", "product_id", "date"))
+    placed = lambda by: features.numbered(rows, by).withColumn("by", F.lit(by))
+    return placed("series").unionByName(placed("date"))
 
 
 def snapshot_round_trip(spark, d):
@@ -279,7 +279,7 @@ window w as (partition by store_id, product_id order by date), w7 as (partition
 select store_id, product_id, date, round(price, 4) as price, round(sin((isodow(date) - 1) * (2 * pi() / 7)), 4) + 0.0 as day_of_week_sin, round(cos((isodow(date) - 1) * (2 * pi() / 7)), 4) + 0.0 as day_of_week_cos, round(sin((month(date) - 1) * (2 * pi() / 12)), 4) + 0.0 as month_sin, round(cos((month(date) - 1) * (2 * pi() / 12)), 4) + 0.0 as month_cos,
 cast(isodow(date) >= 6 as double) as is_weekend, cast((month(date), day(date)) in ((1, 1), (1, 18), (7, 4), (11, 11), (11, 27), (12, 24), (12, 25)) as double) as is_holiday, round(l1, 4) as lag_1_demand, round(l7, 4) as lag_7_demand, round(l14, 4) as lag_14_demand, round(r7, 4) as rolling_7_mean, round(r14, 4) as rolling_14_mean,
 case product_id when 1 then 1.0::double when 2 then 2.0 else 0.0 end as store_size_encoded, case product_id when 3 then 2.0::double else 0.0 end as product_category_encoded from l where l14 is not null and l7 is not null and l1 is not null and r7 is not null and r14 is not null and price is not null""",
-    "ordered_series": f"with s as ({_SERIES}), a as (select store_id, product_id, date, 'series' as by from s order by store_id, product_id, date limit 7), b as (select store_id, product_id, date, 'date' as by from s order by date, store_id, product_id limit 5) select * from a union all select * from b",
+    "ordered_series": f"with s as ({_SERIES}) select store_id, product_id, date, 'series' as by, row_number() over (order by store_id, product_id, date) as place from s union all select store_id, product_id, date, 'date', row_number() over (order by date, store_id, product_id) from s",
     "label_drift": f"with {_ks(_ORDERS)}, {_MEANS.format(v='kv')} select feature, 'KS' as method, round(ks, 6) as statistic, round(p, 6) as p_value, p < 0.05 as is_drift, case when p < 0.05 then 'critical' else 'none' end as severity, {_SHIFT} from ks join ms using (feature)",
     "column_stats": " union all ".join(f"select '{c}' as feature, count({c}) as n, round(avg({c}), 4) as mean, round(stddev_samp({c}), 4) as std, round(quantile_cont({c}, 0.25), 4) as q25, round(quantile_cont({c}, 0.5), 4) as q50, round(quantile_cont({c}, 0.75), 4) as q75 from lineitem" for c in COLUMNS),
     "paired_histogram": _hist(),

@@ -95,7 +95,7 @@ def quarantine(spark, d):
 def rendered_notes(spark, d):
     """Notes of all encounters in their three layouts; texts as digests, with their type and length."""
     dx = F.array(F.struct(F.lit("E11.9").alias("code"), F.col("encounter_type").alias("description")))
-    phrases = read(spark, d, "region").select(F.when(F.col("r_regionkey") == 0, "soap").when(F.col("r_regionkey") == 1, "discharge_summary").when(F.col("r_regionkey") == 2, "referral").alias("note_type"), F.col("r_name").alias("phrase")).where("note_type is not null")
+    phrases = read(spark, d, "nation").select(F.element_at(F.array(F.lit("soap"), F.lit("discharge_summary"), F.lit("referral")), (F.col("n_regionkey") % 3 + 1).cast("int")).alias("note_type"), F.col("n_name").alias("phrase"))
     labs = _labs(spark, d).withColumn("collection_date", F.lit("2001-01-01").cast("date"))
     notes = records.notes(_encounters(spark, d).withColumn("diagnoses", dx), _patients(spark, d), labs, phrases, "2002-01-01")
     return notes.select("encounter_id", "patient_id", "note_type", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
@@ -316,8 +316,9 @@ def _notes() -> str:
     return f"""with l as (select l_orderkey as lk, string_agg('. ' || cast(l_partkey as varchar) || ': ' || cast(l_quantity as varchar) || ' u (ref 10.0-40.0)' || case when l_quantity > 40 then ' [H]' when l_quantity < 10 then ' [L]' else '' end, chr(10) order by cast(l_partkey as varchar), l_quantity) as x from lineitem group by 1),
 e as (select o_orderkey, o_custkey, cast(o_orderdate as date) as day, {_TYPE} as k, {pick(7, 1)} as a, {pick(12, 2)} as w, {pick(2, 0)} as s from orders),
 f as (select *, case when k = 'inpatient' then 'discharge_summary' when s = 0 then 'soap' else 'referral' end as note_type from e),
-g as (select f.*, c.*, r_name as phrase, case when x is null then 'LABORATORY DATA:' || chr(10) || 'No labs on file for this encounter.' || chr(10) else 'LABORATORY DATA (collected 2001-01-01):' || chr(10) || x || chr(10) end as labs
- from f join customer as c on c_custkey = o_custkey left join l on lk = o_orderkey join region on r_regionkey = case note_type when 'soap' then 0 when 'discharge_summary' then 1 else 2 end),
+pools as (select case n_regionkey % 3 when 0 then 'soap' when 1 then 'discharge_summary' else 'referral' end as note_type, list_sort(list(distinct n_name)) as pool from nation group by 1),
+g as (select f.*, c.*, pool[1 + {pick('len(pool)', 3)}] as phrase, case when x is null then 'LABORATORY DATA:' || chr(10) || 'No labs on file for this encounter.' || chr(10) else 'LABORATORY DATA (collected 2001-01-01):' || chr(10) || x || chr(10) end as labs
+ from f join customer as c on c_custkey = o_custkey left join l on lk = o_orderkey join pools using (note_type)),
 t as (select o_orderkey, o_custkey, note_type, {text} as text from g)
 select o_orderkey as encounter_id, o_custkey as patient_id, note_type, length(text) as n_chars, md5(text) as text_md5 from t"""
 

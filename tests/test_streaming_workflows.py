@@ -97,7 +97,7 @@ def drift_rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("range_values", [7, 100, 1 << 16])
+@pytest.mark.parametrize("range_values", [60, 1 << 16])
 def test_summary_rows_equal_both_tables(spark, tmp_path, range_values):
     """Against ranges of any size: values inside, between, below and above them, ties, missing values, absent columns."""
     rng = random.Random(range_values)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 import re
 import textwrap
@@ -337,3 +338,42 @@ def test_score_equals_rules_in_python(spark):
 @pytest.mark.parametrize("line, word, rest", [("User: hi", "user", "hi"), ("[assistant] yes", "assistant", "yes"), ("<|system|> be", "system", "be"), ("### Response: x", "response", "x"), ("the time: now", "", "the time: now"), ("", "", "")])
 def test_markers(line, word, rest):
     assert transcripts.marker(line) == (word, rest)
+
+
+def test_chat_query_equals_all_paths(spark, tmp_path):
+    """The query on short conversations, with columns whose names clash, against every path of states and turns put together by hand."""
+    rng = random.Random(6)
+    words = ["Hello there.", "What is it?", "fine", "Yes: see", "ok\nand more", "", "User of tools", "no marker here!"]
+    rows = [(c, t, transcripts.ROLES[(t + c) % 3 if t else 0], rng.choice(words), "x", 1, "y") for c in range(40) for t in range(1 + c % 3)]
+    rows += [(40, 0, "user", None, "x", 1, "y"), (41, 0, "wizard", "odd role", "x", 1, "y"), (42, None, "user", "no turn", "x", 1, "y"), (None, 0, "user", "no id", "x", 1, "y"), rows[3], rows[3]]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, id string, part int, marked string")
+    table.write.parquet(str(tmp_path / "conversations.parquet"))
+    raw = transcripts.raw_transcripts(table).collect()
+    counts = {}
+    for r in raw:
+        if zlib.crc32(str(r["id"]).encode()) % 4 == 2:
+            continue
+        states = transcripts.states_of([(t["role"], t["lines"]) for t in r["turns"]])
+        keys = [("first", "", states[0]), *(("step", str(a), b) for a, b in itertools.pairwise(states)), *(("seen", f, s) for x, s in zip(r["text"].split("\n"), states, strict=True) for f in transcripts.features(x))]
+        for k in keys:
+            counts[k] = counts.get(k, 0) + 1
+    model = transcripts.model_of(counts)
+    got = {r["conv_id"]: r for r in transcripts.op1_chat_format(spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(43)) == sorted(r["id"] for r in raw)
+    for r in raw:
+        lines = r["text"].split("\n")
+        emit = model.lines(lines)
+        score = lambda path: model.first[path[0]] + sum(model.steps[a, b] for a, b in itertools.pairwise(path)) + sum(emit[k, s] for k, s in enumerate(path))  # noqa: B023, E731
+        best = max(itertools.product(range(len(transcripts.STATES)), repeat=len(lines)), key=score)
+        turns = []
+        for line, s in zip(lines, best, strict=True):
+            role, opens = transcripts.STATES[s]
+            if opens or not turns:
+                turns.append((role, [transcripts.marker(line)[1]]))
+            else:
+                turns[-1][1].append(line)
+        true = [t["role"] for t in r["turns"] for _ in range(t["lines"])]
+        found = got[r["id"]]
+        assert found["text"] == "".join(f"<|{role}|>\n" + "\n".join(x).replace("<|", "< |") + "\n<|end|>\n" for role, x in turns)
+        assert (found["roles"], found["n_turns"], found["n_lines"]) == (",".join(role for role, _ in turns), len(turns), len(lines))
+        assert found["n_right"] == sum(transcripts.STATES[s][0] == t for s, t in zip(best, true, strict=True)) and found["held_out"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2)

@@ -78,12 +78,12 @@ def stratified_split(df: DataFrame, label: str, id_col: str, share: float = 0.25
 
 def serving_model(model: PipelineModel) -> PipelineModel:
     """A fitted model that takes raw prediction requests: it holds the serving features too, and is saved and loaded with them."""
-    return PipelineModel([features.ServingFeatures(), *model.stages])
+    return model if isinstance(model.stages[0], features.ServingFeatures) else PipelineModel([features.ServingFeatures(), *model.stages])
 
 
 def predictions(model: PipelineModel, requests: DataFrame) -> DataFrame:
-    """Batch prediction of requests by a ``serving_model``, clamped at 0."""
-    return model.transform(requests).select("store_id", "product_id", "date", features.clamped(F.col("prediction")).alias("predicted_demand"))
+    """Batch prediction of requests by a ``serving_model``, or by a model of serving features, clamped at 0."""
+    return serving_model(model).transform(requests).select("store_id", "product_id", "date", features.clamped(F.col("prediction")).alias("predicted_demand"))
 
 
 def linear_attributions(rows: DataFrame, background: DataFrame, coefficients: dict[str, float], id_col: str = "id") -> DataFrame:

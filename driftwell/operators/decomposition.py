@@ -36,35 +36,38 @@ def ready(cells: DataFrame) -> DataFrame:
     return typed.where(" and ".join(f"{c} is not null" for c in (*MODES, "value")))
 
 
-def _columns(prefix: str, rank: int) -> list[str]:
-    return [f"{prefix}{r}" for r in range(rank)]
+def _columns(prefix: str, model: int, rank: int) -> list[str]:
+    return [f"{prefix}{model}_{r}" for r in range(rank)]
 
 
-def _with_factors(cells: DataFrame, tables: dict[str, DataFrame], modes: list[str], rank: int) -> DataFrame:
-    """``cells`` with ``z0``...: the products of the rows of ``modes``."""
+def _with_factors(cells: DataFrame, tables: dict[str, DataFrame], modes: list[str], ranks: list[int], *more: str) -> DataFrame:
+    """``cells`` with ``z0_0``...: for each model, the products of the rows of ``modes``."""
+    places = [f"{k}_{r}" for k, rank in enumerate(ranks) for r in range(rank)]
     for m in modes:
-        own = tables[m].select(F.col("idx").alias(m), *(F.col(f"x{r}").alias(f"_{m}{r}") for r in range(rank)))
-        cells = cells.join(own, m)
-    product = lambda r: reduce(Column.__mul__, [F.col(f"_{m}{r}") for m in modes])
-    return cells.select(*MODES, "value", *(product(r).alias(f"z{r}") for r in range(rank)))
+        cells = cells.join(tables[m].select(F.col("idx").alias(m), *(F.col(f"x{c}").alias(f"_{m}{c}") for c in places)), m)
+    return cells.select(*MODES, "value", *more, *(reduce(Column.__mul__, [F.col(f"_{m}{c}") for m in modes]).alias(f"z{c}") for c in places))
 
 
 def _pairs(rank: int) -> list[tuple[int, int]]:
     return [(p, q) for p in range(rank) for q in range(p, rank)]
 
 
-def _gram(table: DataFrame, rank: int, *more: Column) -> tuple[np.ndarray, list[float]]:
-    """(the products of a factor table's columns with each other, further sums)."""
-    row = table.agg(*(F.coalesce(F.sum(F.col(f"x{p}") * F.col(f"x{q}")), F.lit(0.0)) for p, q in _pairs(rank)), *(F.coalesce(c, F.lit(0.0)) for c in more)).first()
-    out = np.zeros((rank, rank))
-    for (p, q), v in zip(_pairs(rank), row, strict=False):
-        out[p, q] = out[q, p] = v
-    return out, list(row[len(_pairs(rank)) :])
+def _grams(table: DataFrame, ranks: list[int], sums: list[Column] | None = None) -> tuple[list[np.ndarray], list[float]]:
+    """(each model's products of a factor table's columns with each other, further sums), read in one pass."""
+    products = [F.sum(F.col(f"x{k}_{p}") * F.col(f"x{k}_{q}")) for k, rank in enumerate(ranks) for p, q in _pairs(rank)]
+    row = list(table.agg(*(F.coalesce(c, F.lit(0.0)) for c in products + (sums or []))).first())
+    grams = []
+    for rank in ranks:
+        gram = np.zeros((rank, rank))
+        for p, q in _pairs(rank):
+            gram[p, q] = gram[q, p] = row.pop(0)
+        grams.append(gram)
+    return grams, row
 
 
-def _combined(names: list[str], matrix: np.ndarray, to: str) -> list[Column]:
-    """Columns ``to0``...: a row of ``names`` times a matrix of the driver's."""
-    return [sum(F.col(c) * F.lit(float(matrix[q, r])) for q, c in enumerate(names)).alias(f"{to}{r}") for r in range(matrix.shape[1])]
+def _combined(names: list[str], matrix: np.ndarray, to: list[str]) -> list[Column]:
+    """Columns ``to``: a row of ``names`` times a matrix of the driver's."""
+    return [sum(F.col(c) * F.lit(float(matrix[q, r])) for q, c in enumerate(names)).alias(name) for r, name in enumerate(to)]
 
 
 def cp_als(cells: DataFrame, rank: int, rounds: int = 200, tolerance: float = 1e-7, seed: int = 0) -> Factors:
@@ -72,41 +75,58 @@ def cp_als(cells: DataFrame, rank: int, rounds: int = 200, tolerance: float = 1e
 
     First factors come from hashes of the indices. Each factor table is written when it is worked out, and the one before deleted.
     """
+    return cp_models(cells, [(rank, F.lit(True))], rounds, tolerance, seed)[0]
+
+
+def cp_models(cells: DataFrame, models: list[tuple[int, Column]], rounds: int = 200, tolerance: float = 1e-7, seed: int = 0) -> list[Factors]:
+    """The factors of several models, each (rank, which cells it is fitted on), side by side: one pass over the cells for
+    each mode and round serves them all. Rounds end when no model's fit changes any more.
+
+    Each model's factors are those that ``cp_als`` finds on its own cells; indices without such cells have no row.
+    """
     spark = cells.sparkSession
-    own = materialise(ready(cells))
-    total = float(own.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0)
-    start = lambda m, r: (F.pmod(F.xxhash64("idx", F.lit(m), F.lit(r), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)).alias(f"x{r}")
-    tables = {m: materialise(own.select(F.col(m).alias("idx")).distinct().select("idx", *(start(m, r) for r in range(rank)))) for m in MODES}
-    grams = {m: _gram(t, rank)[0] for m, t in tables.items()}
+    every, ranks = range(len(models)), [rank for rank, _ in models]
+    kept = [f"k{k}" for k in every]
+    own = materialise(ready(cells).select(*MODES, "value", *(F.coalesce(where, F.lit(False)).alias(f"k{k}") for k, (_, where) in enumerate(models))))
+    totals = [float(v or 0.0) for v in own.agg(*(F.sum(F.when(F.col(k), F.col("value") * F.col("value"))) for k in kept)).first()]
+    first = lambda m, k, r: F.when(F.col(f"k{k}"), F.pmod(F.xxhash64("idx", F.lit(m), F.lit(r), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)).otherwise(0.0)
+    tables = {}
+    for m in MODES:
+        held = own.groupBy(F.col(m).alias("idx")).agg(*(F.max(k).alias(k) for k in kept))
+        tables[m] = materialise(held.select("idx", *kept, *(first(m, k, r).alias(f"x{k}_{r}") for k in every for r in range(ranks[k]))))
+    grams = {m: _grams(t, ranks)[0] for m, t in tables.items()}
     places: dict[str, str] = {}
-    weights, fit = np.ones(rank), 1.0
-    last = -1.0
-    for _ in range(rounds if total else 0):
+    weights, fits = [np.ones(rank) for rank in ranks], [1.0 for _ in every]
+    last = [-1.0 for _ in every]
+    for _ in range(rounds if any(totals) else 0):
+        inner = [0.0 for _ in every]
         for mode in MODES:
             rest = [m for m in MODES if m != mode]
-            joined = _with_factors(own, tables, rest, rank)
-            sums = joined.groupBy(F.col(mode).alias("idx")).agg(*(F.sum(F.col("value") * F.col(f"z{r}")).alias(f"s{r}") for r in range(rank)))
-            solve = np.linalg.pinv(grams[rest[0]] * grams[rest[1]])
-            new, place = written(sums.select("idx", *_columns("s", rank), *_combined(_columns("s", rank), solve, "x")))
-            gram, (inner,) = _gram(new, rank, F.sum(sum(F.col(f"s{r}") * F.col(f"x{r}") for r in range(rank))))
-            weights = np.sqrt(np.maximum(gram.diagonal(), 0.0))
-            size = np.where(weights > 0, weights, 1.0)
-            grams[mode] = gram / np.outer(size, size)
-            tables[mode] = new.select("idx", *((F.col(f"x{r}") / F.lit(float(size[r]))).alias(f"x{r}") for r in range(rank)))
+            joined = _with_factors(own, tables, rest, ranks, *kept)
+            summed = [F.coalesce(F.sum(F.when(F.col(f"k{k}"), F.col("value") * F.col(f"z{k}_{r}"))), F.lit(0.0)).alias(f"s{k}_{r}") for k in every for r in range(ranks[k])]
+            sums = joined.groupBy(F.col(mode).alias("idx")).agg(*(F.max(k).alias(k) for k in kept), *summed)
+            solved = [_combined(_columns("s", k, ranks[k]), np.linalg.pinv(grams[rest[0]][k] * grams[rest[1]][k]), _columns("x", k, ranks[k])) for k in every]
+            new, place = written(sums.select("*", *(c for one in solved for c in one)))
+            found, inner = _grams(new, ranks, [F.sum(sum(F.col(f"s{k}_{r}") * F.col(f"x{k}_{r}") for r in range(ranks[k]))) for k in every])
+            weights = [np.sqrt(np.maximum(gram.diagonal(), 0.0)) for gram in found]
+            sizes = [np.where(w > 0, w, 1.0) for w in weights]
+            grams[mode] = [gram / np.outer(size, size) for gram, size in zip(found, sizes, strict=True)]
+            tables[mode] = new.select("idx", *kept, *((F.col(f"x{k}_{r}") / F.lit(float(sizes[k][r]))).alias(f"x{k}_{r}") for k in every for r in range(ranks[k])))
             if mode in places:
                 discard(spark, places[mode])
             places[mode] = place
-        square = max(0.0, total - 2 * inner + float(weights @ (grams["machine"] * grams["sensor"] * grams["t"]) @ weights))
-        fit = 1 - (square / total) ** 0.5
-        if abs(fit - last) < tolerance:
+        for k in every:
+            square = max(0.0, totals[k] - 2 * inner[k] + float(weights[k] @ (grams["machine"][k] * grams["sensor"][k] * grams["t"][k]) @ weights[k]))
+            fits[k] = 1 - (square / totals[k]) ** 0.5 if totals[k] else 1.0
+        if all(abs(fit - before) < tolerance for fit, before in zip(fits, last, strict=True)):
             break
-        last = fit
-    frame = reduce(DataFrame.unionByName, [t.select(F.lit(m).alias("mode"), "idx", F.array(*_columns("x", rank)).alias("vec")) for m, t in tables.items()])
-    return Factors(frame, [float(w) for w in weights], fit)
+        last = list(fits)
+    frame = lambda k: reduce(DataFrame.unionByName, [t.where(f"k{k}").select(F.lit(m).alias("mode"), "idx", F.array(*_columns("x", k, ranks[k])).alias("vec")) for m, t in tables.items()])
+    return [Factors(frame(k), [float(w) for w in (weights[k] if totals[k] else np.ones(ranks[k]))], fits[k]) for k in every]
 
 
 def _table(factors: Factors, mode: str) -> DataFrame:
-    return factors.frame.where(F.col("mode") == mode).select("idx", *(F.col("vec")[r].alias(f"x{r}") for r in range(len(factors.weights))))
+    return factors.frame.where(F.col("mode") == mode).select("idx", *(F.col("vec")[r].alias(f"x0_{r}") for r in range(len(factors.weights))))
 
 
 def solved_rows(cells: DataFrame, factors: Factors, mode: str = "t") -> DataFrame:
@@ -115,8 +135,8 @@ def solved_rows(cells: DataFrame, factors: Factors, mode: str = "t") -> DataFram
     The normal equations of each index are sums by key; their small systems are solved in Arrow batches.
     """
     rank, rest = len(factors.weights), [m for m in MODES if m != mode]
-    joined = _with_factors(ready(cells), {m: _table(factors, m) for m in rest}, rest, rank)
-    z = [F.col(f"z{r}") * F.lit(w) for r, w in enumerate(factors.weights)]
+    joined = _with_factors(ready(cells), {m: _table(factors, m) for m in rest}, rest, [rank])
+    z = [F.col(f"z0_{r}") * F.lit(w) for r, w in enumerate(factors.weights)]
     sums = joined.groupBy(F.col(mode).alias("idx")).agg(
         F.array(*(F.sum(F.col("value") * z[r]) for r in range(rank))).alias("right"), F.array(*(F.sum(z[p] * z[q]) for p, q in _pairs(rank))).alias("left")
     )
@@ -155,20 +175,19 @@ def reconstruct(cells: DataFrame, factors: DataFrame, weights: list[float]) -> D
 
 
 def held_out_errors(cells: DataFrame, ranks: list[int], folds: int = 3, rounds: int = 50, seed: int = 0) -> list[tuple[int, int, float]]:
-    """(rank, fold, relative error): factors are fitted without a fold's time steps; their rows are solved from one half of
-    their cells, and the error is that of the other half."""
+    """(rank, fold, relative error): factors are fitted without a fold's time steps, all ranks and folds side by side; the
+    steps' rows are solved from one half of their cells, and the error is that of the other half."""
     own = materialise(ready(cells))
     fold = F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(folds))
     half = F.pmod(F.xxhash64(*MODES, F.lit(seed)), F.lit(2))
+    tried = [(rank, k) for rank in ranks for k in range(folds)]
     out = []
-    for rank in ranks:
-        for k in range(folds):
-            fitted = cp_als(own.where(fold != k), rank, rounds, seed=seed)
-            left = own.where(fold == k)
-            rows = solved_rows(left.where(half == 0), fitted)
-            estimated = reconstruct(left.where(half == 1), fitted.frame.where("mode <> 't'").unionByName(rows), fitted.weights).where("estimate is not null")
-            r, v = F.col("value") - F.col("estimate"), F.col("value")
-            out.append((rank, k, estimated.agg(F.coalesce(F.try_divide(F.sqrt(F.sum(r * r)), F.sqrt(F.sum(v * v))), F.lit(0.0))).first()[0]))
+    for (rank, k), fitted in zip(tried, cp_models(own, [(rank, fold != k) for rank, k in tried], rounds, seed=seed), strict=True):
+        left = own.where(fold == k)
+        rows = solved_rows(left.where(half == 0), fitted)
+        estimated = reconstruct(left.where(half == 1), fitted.frame.where("mode <> 't'").unionByName(rows), fitted.weights).where("estimate is not null")
+        r, v = F.col("value") - F.col("estimate"), F.col("value")
+        out.append((rank, k, estimated.agg(F.coalesce(F.try_divide(F.sqrt(F.sum(r * r)), F.sqrt(F.sum(v * v))), F.lit(0.0))).first()[0]))
     return out
 
 

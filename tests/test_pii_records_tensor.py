@@ -270,6 +270,20 @@ def test_factors_are_tables_and_new_steps_are_solved(spark):
     assert decomposition.with_new_steps(found, seen).where("mode = 't'").count() == 10
 
 
+def test_models_side_by_side_are_those_fitted_alone(spark):
+    rng = np.random.default_rng(5)
+    x = cells(spark, np.einsum("ir,jr,kr->ijk", rng.random((4, 2)), rng.random((3, 2)), rng.random((6, 2))))
+    parts = [(1, F.col("t") != 2), (2, F.col("machine") > 0), (2, F.lit(None).cast("boolean"))]
+    many = decomposition.cp_models(x, parts, rounds=2)
+    for (rank, where), got in zip(parts[:2], many, strict=False):
+        alone = decomposition.cp_als(x.where(where), rank, rounds=2)
+        table = lambda f: {(r["mode"], r["idx"]): r["vec"] for r in f.frame.collect()}
+        assert got.fit == pytest.approx(alone.fit) and got.weights == pytest.approx(alone.weights)
+        mine, want = table(got), table(alone)
+        assert mine.keys() == want.keys() and all(mine[k] == pytest.approx(want[k]) for k in want)
+    assert many[2].fit == 1.0 and not many[2].frame.count()
+
+
 def test_readings_without_factors_are_counted(spark):
     factors = spark.createDataFrame([("machine", 0, [1.0]), ("sensor", 0, [2.0]), ("sensor", 1, [3.0]), ("t", 0, [1.0])], "mode string, idx long, vec array<double>")
     rows = spark.createDataFrame([(0, 0, 0, 2.0), (0, 1, 0, 6.0), (0, 7, 0, 5.0), (1, 0, 0, 1.0), (0, 0, 9, 1.0)], "machine long, sensor long, t long, value double")

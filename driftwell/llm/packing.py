@@ -37,6 +37,8 @@ CELL_PIECES, MAX_CELL, LEAST_SAVED = 4096, 65_536, 1e-4
 ROUNDS = 64
 #: A stop or comma that ends a part and belongs to a longer run of marks.
 MARKS = re.compile(r"(?:[^\w\s]|_)[.,] ")
+#: Parts of letters of Latin-1 only.
+LETTERS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ÿ]+")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECE}, no_id boolean, cell int, bin int, offset long, fill long, n_bins int, bound int"
 
@@ -56,6 +58,10 @@ class WordIds:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
+        suffix = getattr(self.lib.model, "end_of_word_suffix", None)
+        vocabulary = self.lib.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.cache = BoundedCache(lambda part: self.ids([part])[0], limit=500_000)
 
     def ids(self, parts: list[str]) -> list[bytes]:
@@ -67,14 +73,27 @@ class WordIds:
         raw = np.array(found.ids, "<u4").tobytes()
         return [raw[x:y] for x, y in pairwise(cuts)]
 
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of parts that are Latin-1 letters only. Each is one word, whose last id alone bears the vocabulary's
+        mark of a word's end, so that no offsets are needed; a vocabulary without such marks takes those."""
+        raw = np.array(self.lib.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        after = np.flatnonzero(self.ends[raw]) + 1
+        if len(after) != len(words) or after[-1] != len(raw):
+            return self.ids(words)
+        cuts, held = [0, *(4 * after).tolist()], raw.tobytes()
+        return [held[x:y] for x, y in pairwise(cuts)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cache, split = self.cache, [parts_of(t) for t in texts]
         if len(cache) > cache.limit:
             cache.clear()
         new = [p for p in set(filterfalse(cache.__contains__, chain.from_iterable(split))) if len(p) <= cache.longest]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            cache.update(zip(part, self.ids(part), strict=True))
+        words = list(filter(LETTERS.fullmatch, new))
+        others = list(filterfalse(LETTERS.fullmatch, new))
+        for kinds, found in ((words, self.word_ids), (others, self.ids)):
+            for k in range(0, len(kinds), 4096):
+                part = kinds[k : k + 4096]
+                cache.update(zip(part, found(part), strict=True))
         get = cache.__getitem__
         return [b"".join(map(get, parts)) for parts in split]
 

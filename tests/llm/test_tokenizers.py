@@ -84,17 +84,6 @@ def test_awkward_rows(docs):
     assert bpe.encode_texts(docs.limit(0), P.path("byte_bpe_50k.json")).count() == 0
 
 
-def test_ids_of_letter_words_need_no_offsets():
-    own = packing.WordIds(P.path("word_bpe_49k.json"))
-    words = ["the", "Straße", "ÀÉÿ", "ªºµ", "x", "zzyzxqq", "ABC", "andonshtiat", "the"]
-    assert all(map(packing.LETTERS.fullmatch, words)) and own.word_ids(words) == own.ids(words)
-    assert b"".join(own.word_ids(words)) == np.array(own.lib.encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()
-    assert not any(map(packing.LETTERS.fullmatch, ["", "don't", "a1", "</w>", "×", "Ⅷ", "ſ", "a b"]))
-    # Without marks of words' ends the offsets tell.
-    own.ends[:] = False
-    assert own.word_ids(words) == own.ids(words)
-
-
 def check_packing(rows, capacity):
     by = {}
     for r in rows:

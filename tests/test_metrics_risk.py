@@ -163,3 +163,24 @@ def test_attributions_of_a_classifier_meet_their_error(spark):
             assert 2 <= found["rounds"] <= 12 and (found["standard_error"] <= 0.01 or found["rounds"] == 12)
             total += found["phi"]
         assert total == pytest.approx(at({0, 1, 2}) - at(set()), abs=1e-9)
+
+
+class Watched:
+    """A fitted model that notes the partitions and rows of what it is given."""
+
+    def __init__(self, model):
+        self.model, self.stages, self.given = model, model.stages, []
+
+    def transform(self, df):
+        self.given.append((df.rdd.getNumPartitions(), df.count()))
+        return self.model.transform(df)
+
+
+def test_attributions_draw_equal_rows_once_and_in_many_tasks(spark):
+    rows = spark.range(240).select("id", (F.col("id") % 4).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b")).coalesce(1)
+    model = Watched(models.train_regressor(rows.withColumn("y", 3 * F.col("a") + F.col("b")), ["a", "b"], "y", trees=2))
+    got = models.sampled_attributions(model, rows, rows.limit(5), ["a", "b"], max_rounds=2).collect()
+    assert len(got) == 480 and len({(r["id"] % 12, r["feature"], r["phi"]) for r in got}) == 24
+    partitions, count = model.given[-1]
+    assert partitions == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert count <= 12 * 5 * 2

@@ -184,3 +184,15 @@ def test_attributions_draw_equal_rows_once_and_in_many_tasks(spark):
     partitions, count = model.given[-1]
     assert partitions == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
     assert count <= 12 * 5 * 2
+
+
+@pytest.mark.parametrize("names", [["a"], ["a", "b"]])
+def test_attributions_of_a_line_are_exact_and_score_mixed_rows_once(spark, names):
+    rows = spark.range(30).select("id", F.col("id").cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    background = rows.where("id < 4")
+    model = Watched(models.train_line(rows.withColumn("y", 2 * F.col("a") - (F.col("b") if "b" in names else 0)), names, "y"))
+    got = {(r["id"], r["feature"]): r for r in models.sampled_attributions(model, rows, background, names).collect()}
+    assert len(got) == 30 * len(names)
+    for (k, name), r in got.items():
+        assert r["phi"] == pytest.approx(2 * (k - 1.5) if name == "a" else 1.5 - k % 7, abs=1e-6) and r["standard_error"] < 1e-6
+    assert sum(count for _, count in model.given) <= 4 + 30 + 30 * 4 * 2

@@ -196,3 +196,19 @@ def test_attributions_of_a_line_are_exact_and_score_mixed_rows_once(spark, names
     for (k, name), r in got.items():
         assert r["phi"] == pytest.approx(2 * (k - 1.5) if name == "a" else 1.5 - k % 7, abs=1e-6) and r["standard_error"] < 1e-6
     assert sum(count for _, count in model.given) <= 4 + 30 + 30 * 4 * 2
+
+
+def test_training_holds_few_rows_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(models, "TASK_ROWS", 50, raising=False)
+    seen, fit = [], models.Pipeline.fit
+
+    def watched(self, df):
+        seen.append([r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()])
+        return fit(self, df)
+
+    monkeypatch.setattr(models.Pipeline, "fit", watched)
+    rows = spark.range(400).select(F.col("id").cast("double").alias("a"), (F.col("id") % 2).cast("double").alias("y")).coalesce(1)
+    models.train_regressor(rows, ["a"], "y", trees=1)
+    models.train_classifiers(rows, ["a"], "y", trees=1)
+    models.train_regressor(rows.limit(40), ["a"], "y", trees=1)
+    assert all(sum(counts) == 400 and max(counts) <= 60 for counts in seen[:3]) and seen[3] == [40]

@@ -212,3 +212,15 @@ def test_training_holds_few_rows_in_a_task(spark, monkeypatch):
     models.train_classifiers(rows, ["a"], "y", trees=1)
     models.train_regressor(rows.limit(40), ["a"], "y", trees=1)
     assert all(sum(counts) == 400 and max(counts) <= 60 for counts in seen[:3]) and seen[3] == [40]
+
+
+def test_attributions_leave_out_rows_that_the_model_skips(spark):
+    rows = spark.createDataFrame([(k, float(k), float(k % 3)) for k in range(12)], "id int, a double, b double")
+    model = models.train_regressor(rows.withColumn("y", 3 * F.col("a") - F.col("b")), ["a", "b"], "y", trees=2)
+    gap = spark.createDataFrame([(99, None, 1.0)], rows.schema)
+    background = rows.where("id < 4")
+    base = model.transform(background).agg(F.avg("prediction")).first()[0]
+    sums = models.sampled_attributions(model, rows.unionByName(gap), background.unionByName(gap), ["a", "b"], max_rounds=2).groupBy("id").agg(F.sum("phi").alias("phi"))
+    got = {r["id"]: r["phi"] for r in sums.collect()}
+    want = {r["id"]: r["prediction"] - base for r in model.transform(rows).select("id", "prediction").collect()}
+    assert got == pytest.approx(want, abs=1e-9)

@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import itertools
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from driftwell.operators import metrics, models, registry, risk
+from driftwell.plans import catalog
 
 
 def scored(spark, true, prob, pred=None):
@@ -224,3 +226,29 @@ def test_attributions_leave_out_rows_that_the_model_skips(spark):
     got = {r["id"]: r["phi"] for r in sums.collect()}
     want = {r["id"]: r["prediction"] - base for r in model.transform(rows).select("id", "prediction").collect()}
     assert got == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("name, train", [("attribution_linear", "train_line")])
+def test_attribution_queries_score_repeated_parts_once_and_in_many_tasks(spark, tmp_path, monkeypatch, name, train):
+    """Parts three times with shifted keys, in one file: the rows of the SQL, and as many mixed rows as those of one copy."""
+    fit, fitted = getattr(models, train), []
+
+    def watched(*args, **options):
+        fitted.append(Watched(fit(*args, **options)))
+        return fitted[-1]
+
+    monkeypatch.setattr(models, train, watched)
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    copies = parts.crossJoin(spark.range(3).withColumnRenamed("id", "k")).withColumn("p_partkey", F.col("p_partkey") + 1_000_000 * F.col("k")).drop("k")
+    copies.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/nation.parquet").coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("part", "nation"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(tuple(r) for r in df.select(*columns).collect()) == sorted(want.fetchall())
+    distinct, tasks = copies.select("p_size", "p_retailprice").distinct().count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    mixed = [(partitions, count) for partitions, count in fitted[0].given if count > copies.count()]
+    assert mixed == [(tasks, distinct * 25 * 2)] and tasks > 1

@@ -228,7 +228,7 @@ def test_attributions_leave_out_rows_that_the_model_skips(spark):
     assert got == pytest.approx(want, abs=1e-9)
 
 
-@pytest.mark.parametrize("name, train", [("attribution_linear", "train_line")])
+@pytest.mark.parametrize("name, train", [("attribution_linear", "train_line"), ("attribution_sums", "train_regressor")])
 def test_attribution_queries_score_repeated_parts_once_and_in_many_tasks(spark, tmp_path, monkeypatch, name, train):
     """Parts three times with shifted keys, in one file: the rows of the SQL, and as many mixed rows as those of one copy."""
     fit, fitted = getattr(models, train), []

@@ -252,3 +252,37 @@ def test_attribution_queries_score_repeated_parts_once_and_in_many_tasks(spark,
     distinct, tasks = copies.select("p_size", "p_retailprice").distinct().count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     mixed = [(partitions, count) for partitions, count in fitted[0].given if count > copies.count()]
     assert mixed == [(tasks, distinct * 25 * 2)] and tasks > 1
+
+
+def test_training_deals_rows_over_idle_cores(spark, monkeypatch):
+    monkeypatch.setattr(models, "CORE_ROWS", 50, raising=False)
+    seen, fit, cores = [], models.Pipeline.fit, spark.sparkContext.defaultParallelism
+
+    def watched(self, df):
+        seen.append([r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()])
+        return fit(self, df)
+
+    monkeypatch.setattr(models.Pipeline, "fit", watched)
+    rows = spark.range(400).select(F.col("id").cast("double").alias("a"), (F.col("id") % 2).cast("double").alias("y"))
+    models.train_regressor(rows.coalesce(1), ["a"], "y", trees=1)
+    models.train_regressor(rows.limit(90).coalesce(1), ["a"], "y", trees=1)
+    assert cores > 1 and sum(seen[0]) == 400 and len(seen[0]) == min(cores, 8) and seen[1] == [90]
+
+
+def test_regressor_gate_trains_all_trees_on_three_of_four_rows(spark, monkeypatch):
+    """200 trees, and the gate's decision on what they predict for the other rows."""
+    train, seen = models.train_regressor, []
+
+    def watched(df, *args, **options):
+        seen.append((df, train(df, *args, **options)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(models, "train_regressor", watched)
+    passed, reason = catalog.QUERIES["regressor_gate"](spark, "/root/testdata/sf0.001").select("passed", "reason").first()
+    ((trained, model),) = seen
+    assert model.stages[-1].getNumTrees == len(model.stages[-1].trees) == 200
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    others = model.transform(rows.join(trained, "id", "left_anti")).select("l_extendedprice", "prediction").collect()
+    assert trained.count() + len(others) == rows.count() and 0.2 < len(others) / rows.count() < 0.3
+    mae = sum(abs(r["l_extendedprice"] - r["prediction"]) for r in others) / len(others)
+    assert not passed and float(reason.split()[2]) == pytest.approx(mae, abs=1e-4)

@@ -286,3 +286,25 @@ def test_regressor_gate_trains_all_trees_on_three_of_four_rows(spark, monkeypatc
     assert trained.count() + len(others) == rows.count() and 0.2 < len(others) / rows.count() < 0.3
     mae = sum(abs(r["l_extendedprice"] - r["prediction"]) for r in others) / len(others)
     assert not passed and float(reason.split()[2]) == pytest.approx(mae, abs=1e-4)
+
+
+def test_sampled_attribution_explains_a_model_of_all_trees(spark, monkeypatch):
+    """200 trees on all parts; importances are those of exact values, by both orders of the two features."""
+    train, seen = models.train_regressor, []
+
+    def watched(df, *args, **options):
+        seen.append((df.count(), train(df, *args, **options)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(models, "train_regressor", watched)
+    got = {r["feature"]: r["mean_abs"] for r in catalog.QUERIES["sampled_attribution"](spark, "/root/testdata/sf0.001").collect()}
+    ((n, model),) = seen
+    assert model.stages[-1].getNumTrees == len(model.stages[-1].trees) == 200
+    parts = [(float(r["p_size"]), float(r["p_retailprice"])) for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()]
+    others = [(float(r["n_nationkey"]), r["n_regionkey"] * 100.0 + 1000.0) for r in spark.read.parquet("/root/testdata/sf0.001/nation.parquet").collect()]
+    assert n == len(parts)
+    mixed = sorted({m for x in parts for b in others for m in (x, b, (x[0], b[1]), (b[0], x[1]))})
+    f = {(r["size"], r["price"]): r["prediction"] for r in model.transform(spark.createDataFrame(mixed, "size double, price double")).collect()}
+    exact = [[sum(f[x] - f[b[0], x[1]] + f[x[0], b[1]] - f[b] for b in others), sum(f[x] - f[x[0], b[1]] + f[b[0], x[1]] - f[b] for b in others)] for x in parts]
+    size, price = (sum(abs(e[i]) for e in exact) / len(parts) / len(others) / 2 for i in range(2))
+    assert got == {"size": pytest.approx(size, abs=1e-9), "price": pytest.approx(price, abs=1e-9)}
